@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.llm.boilerplate import line_key, repeated_lines, sections_without
-from meridian.llm.split import SPACES, split_oversized
+from meridian.llm.mix import mix_sources, mixture_report
+from meridian.llm.pairs import pair_defects
+from meridian.llm.rows import distinct_rows
+from meridian.llm.split import split_oversized
+from meridian.llm.tokenize import encode_texts
+from meridian.llm.toxicity import rates, score_texts
 from meridian.session import table
 
 _PARAGRAPH = ["accession_number", "section_type", "position"]
@@ -65,12 +70,66 @@ def p2_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.withColumnsRenamed({"document": "accession_number", "section": "section_type"})
 
 
+def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct pair with its defect, or null, and how much of the answer is copied."""
+    return pair_defects(table(spark, sf_dir, "predictions"), ["prediction_id", "chunk_id"], "prompt", "raw_output")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_pairs(spark, sf_dir).where("defect is not null").select("prediction_id", "defect").distinct()
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_texts(distinct_rows(documents, "doc_id"), ["doc_id"], "text")
+
+
+def p9_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document stands in the mixture."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share that each source reached."""
+    targets = table(spark, sf_dir, "mix_targets")
+    copies, plan = mix_sources(table(spark, sf_dir, "documents"), targets)
+    return mixture_report(copies, targets, plan)
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture itself: one row for each copy of a document."""
+    copies = p9_copies(spark, sf_dir).where("copies > 0")
+    return copies.select("doc_id", F.explode(F.sequence(F.lit(1), "copies")).alias("copy_no"), "source", "n_tokens")
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return score_texts(documents, ["doc_id", "source"], "text").distinct()
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_scores(spark, sf_dir).where("n_passages > 0").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates(p10_scores(spark, sf_dir), "source")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
     "p2_found": p2_found,
     "p2_lines": p2_lines,
     "p2_sections": p2_sections,
+    "p6_found": p6_found,
+    "p6_pairs": p6_pairs,
+    "p8_ids": p8_ids,
+    "p9_copies": p9_copies,
+    "p9_report": p9_report,
+    "p9_mixture": p9_mixture,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
 
 _RE2_SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
