@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meridian.llm.boilerplate import line_key, repeated_lines, sections_without
 from meridian.llm.mix import mix_sources, mixture_report
+from meridian.llm.overlap import cross_split_overlaps, with_coverage, with_sides
 from meridian.llm.pairs import pair_defects
 from meridian.llm.rows import distinct_rows
 from meridian.llm.split import split_oversized
@@ -70,6 +71,81 @@ def p2_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.withColumnsRenamed({"document": "accession_number", "section": "section_type"})
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs with the splits of the filings that they occur in."""
+    paragraphs = table(spark, sf_dir, "canonical_paragraphs").select(
+        F.xxhash64("paragraph_id").alias("record"),
+        F.col("normalized_text").alias("text"),
+        F.transform("occurrences", lambda o: o["accession_number"]).alias("documents"),
+    )
+    return with_sides(paragraphs, "documents", table(spark, sf_dir, "split_manifest"), "accession_number", "split")
+
+
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(split, paragraph_id_a, paragraph_id_b, common, of)``."""
+    found = cross_split_overlaps(_records(spark, sf_dir))
+    names = table(spark, sf_dir, "canonical_paragraphs").select(F.xxhash64("paragraph_id").alias("_r"), "paragraph_id").distinct()
+    a = names.select(F.col("_r").alias("a"), F.col("paragraph_id").alias("_a"))
+    b = names.select(F.col("_r").alias("b"), F.col("paragraph_id").alias("_b"))
+    return found.join(a, "a").join(b, "b").select(
+        "split", F.least("_a", "_b").alias("paragraph_id_a"), F.greatest("_a", "_b").alias("paragraph_id_b"), "common", "of"
+    )
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlaps(spark, sf_dir).select("split", "paragraph_id_a", "paragraph_id_b").distinct()
+
+
+def _overlapping_occurrences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Paragraphs in a cross-split pair ``(split, paragraph_id)``, and where they occur in filings of a split."""
+    pairs = p5_found(spark, sf_dir)
+    members = pairs.select("split", F.explode(F.array("paragraph_id_a", "paragraph_id_b")).alias("paragraph_id")).distinct()
+    manifest = table(spark, sf_dir, "split_manifest").where("split is not null").distinct().select("accession_number", F.col("split").alias("filing_split"))
+    occurrences = (
+        table(spark, sf_dir, "canonical_paragraphs")
+        .select("paragraph_id", F.explode("occurrences").alias("o"))
+        .select("paragraph_id", "o.cik", "o.accession_number", "o.section_type", "o.position")
+        .distinct()
+        .join(manifest, "accession_number")
+    )
+    return members, occurrences
+
+
+def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping paragraphs with their text and their occurrences in the evaluation split and in training."""
+    members, occurrences = _overlapping_occurrences(spark, sf_dir)
+    texts = table(spark, sf_dir, "canonical_paragraphs").groupBy("paragraph_id").agg(F.min("normalized_text").alias("normalized_text"))
+    counts = members.join(occurrences, "paragraph_id").groupBy("split", "paragraph_id").agg(
+        F.count_if(F.col("filing_split") == F.col("split")).alias("n_in_split"),
+        F.count_if(F.col("filing_split") == "train").alias("n_in_train"),
+        F.count_distinct("cik").alias("n_ciks"),
+    )
+    return counts.join(texts, "paragraph_id").select("split", "paragraph_id", "normalized_text", "n_in_split", "n_in_train", "n_ciks")
+
+
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split and cik: paragraphs of the split's filings that overlap with training, and their occurrences."""
+    members, occurrences = _overlapping_occurrences(spark, sf_dir)
+    there = members.join(occurrences, "paragraph_id").where(F.col("filing_split") == F.col("split"))
+    return there.groupBy("split", "cik").agg(
+        F.count_distinct("paragraph_id").alias("n_paragraphs"), F.count("*").alias("n_occurrences"), F.count_distinct("accession_number").alias("n_filings")
+    )
+
+
+def p5_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each overlapping paragraph stands in its best partner: share of its words in shared spans."""
+    pairs = p5_found(spark, sf_dir)
+    both = pairs.select("split", F.col("paragraph_id_a").alias("paragraph_id"), F.col("paragraph_id_b").alias("partner")).unionByName(
+        pairs.where("paragraph_id_a <> paragraph_id_b").select("split", F.col("paragraph_id_b").alias("paragraph_id"), F.col("paragraph_id_a").alias("partner"))
+    )
+    texts = table(spark, sf_dir, "canonical_paragraphs").groupBy("paragraph_id").agg(F.min("normalized_text").alias("text"))
+    joined = both.join(texts, "paragraph_id").join(texts.select(F.col("paragraph_id").alias("partner"), F.col("text").alias("other")), "partner")
+    covered = with_coverage(joined, ["split", "paragraph_id"])
+    return covered.groupBy("split", "paragraph_id").agg(
+        F.max("covered").alias("covered"), F.max("longest_span").alias("longest_span"), F.count("*").alias("n_partners")
+    )
+
+
 def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct pair with its defect, or null, and how much of the answer is copied."""
     return pair_defects(table(spark, sf_dir, "predictions"), ["prediction_id", "chunk_id"], "prompt", "raw_output")
@@ -121,6 +197,10 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_lines": p2_lines,
     "p2_sections": p2_sections,
+    "p5_found": p5_found,
+    "p5_paragraphs": p5_paragraphs,
+    "p5_counts": p5_counts,
+    "p5_coverage": p5_coverage,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
     "p8_ids": p8_ids,
@@ -146,6 +226,20 @@ SQL = {
 select distinct accession_number, section_type, position from paragraph_occurrences
 where len(regexp_extract_all(text, '[^{_RE2_SPACES}]+')) > 350""",
     "p2_found": _P2 + "select a as accession_number, s as section_type, p as position from r",
+    "p5_found": """
+with m as (select distinct accession_number, split from split_manifest),
+p as (select distinct paragraph_id, normalized_text from canonical_paragraphs),
+s as (select distinct t.paragraph_id as id, m.split from canonical_paragraphs t, unnest(t.occurrences) as u(o)
+      join m on m.accession_number = u.o.accession_number),
+w as (select paragraph_id as id, string_split(normalized_text, ' ') as w from p),
+g as (select id, list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) as g from w where len(w) > 2),
+x as (select id, unnest(g) as k from g),
+c as (select a.id as a, b.id as b, count(*) as common from x a join x b on a.k = b.k and a.id < b.id group by 1, 2),
+n as (select c.a, c.b from c join g ga on ga.id = c.a join g gb on gb.id = c.b
+      where c.common >= 0.6 * (len(ga.g) + len(gb.g) - c.common) - 1e-9)
+select distinct e.split, least(n.a, n.b) as paragraph_id_a, greatest(n.a, n.b) as paragraph_id_b
+from (select a, b from n union all select b, a from n union all select paragraph_id, paragraph_id from p) n
+join s e on e.id = n.a and e.split in ('eval', 'test') join s t on t.id = n.b and t.split = 'train'""",
     "p2_sections": _P2
     + """, q as (select distinct accession_number, section_type, position, text from paragraph_occurrences)
 select q.accession_number, q.section_type, count(case when r.a is null then 1 end) as n_kept, count(r.a) as n_removed,
