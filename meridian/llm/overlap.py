@@ -26,11 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from meridian.session import checkpointed, estimated_bytes
 
@@ -39,7 +40,7 @@ HEAD, WINDOW, SHINGLE, LEAST = 12, 6, 3, 0.6
 SHORT = 24
 SLOTS = 1 << 21  # counters of the frequency sketch, one byte each when broadcast
 HOT = 64  # a head is frequent from this count on, beyond four times what the sketch counts by chance
-FEW = 2_000_000  # ids up to which a broadcast stands in for a shuffle of texts
+FEW = 1_000_000  # ids up to which a broadcast stands in for a shuffle of texts
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -175,51 +176,156 @@ def _window_minima(key: np.ndarray, owner: np.ndarray, w: int) -> tuple[np.ndarr
     return least[new], owner[new]
 
 
-def suffixes(texts: list[str], head_steps: np.ndarray, shingle_steps: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(order key, text number, distinct shingles of the text, rank of the shingle)`` of the suffixes kept; rank -1: by head alone."""
+_SKETCH = 256  # bits of the sketch of a text's shingles
+
+
+_HASH = np.uint64(2**46 - 1)  # bits of a shingle's hash that are kept beside the number of its text
+
+
+def _distinct_shingles(words: Words, steps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash (46 bits) and text number of the distinct shingles, text by text; rarest first, if the steps of the frequencies are given."""
+    s, owner = words.grams(SHINGLE)
+    if steps is not None:
+        s = (steps[_slot(s)].astype(np.uint64) << np.uint64(38)) | (s >> np.uint64(26))
+    packed = (owner.astype(np.uint64) << np.uint64(46)) | (s & _HASH)
+    packed.sort()
+    if len(packed):
+        packed = packed[np.r_[True, packed[1:] != packed[:-1]]]
+    return packed & _HASH, (packed >> np.uint64(46)).astype(np.int64)
+
+
+def _parities(s: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
+    """For each text 256 bits: bit i is the parity of the number of its distinct shingles that hash to i.
+
+    Two texts whose sketches differ in d bits have at least d shingles that only one of them has.
+    """
+    bit = (s >> np.uint64(9)).astype(np.int64) & (_SKETCH - 1)
+    odd = (np.bincount(owner * _SKETCH + bit, minlength=count * _SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(count, _SKETCH), axis=1, bitorder="little").view(np.uint64)
+
+
+def suffixes(texts: list[str], head_steps: np.ndarray, shingle_steps: np.ndarray, hot: int):
+    """Distinct shingles of each text, and the suffixes kept: ``(order key, text number)`` of those entered by
+    their heads, and ``(order key, text number, rank, sketch)`` of those entered by a rare shingle."""
     words = Words(texts)
-    count = len(texts)
-    # distinct shingles of each text, rarest first
-    s, so = words.grams(SHINGLE)
-    rarity = (shingle_steps[_slot(s)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
-    order = np.lexsort((rarity, so))
-    s, so, rarity = s[order], so[order], rarity[order]
-    if len(s):
-        new = np.r_[True, (rarity[1:] != rarity[:-1]) | (so[1:] != so[:-1])]
-        s, so = s[new], so[new]
-    n = np.bincount(so, minlength=count)
-    # heads
-    h, ho = words.grams(HEAD)
-    step = head_steps[_slot(h)]
-    key = (step.astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
-    key, ho = _window_minima(key, ho, WINDOW)
+    h, owner = words.grams(HEAD)
+    key = (head_steps[_slot(h)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+    key, owner = _window_minima(key, owner, WINDOW)
     frequent = (key >> np.uint64(56)) >= np.uint64(hot)
-    # texts that need the second order: those with frequent heads, and short ones
-    second = np.unique(np.r_[ho[frequent], np.flatnonzero(words.sizes <= SHORT / LEAST + SHINGLE)])
-    start = np.cumsum(n) - n
-    reps = np.where(n > 0, n - np.ceil(LEAST * n - 1e-9).astype(np.int64) + 1, 0)[second]
+    # texts with frequent heads, and short ones, are entered by their shingles
+    second = np.unique(np.r_[owner[frequent], np.flatnonzero(words.sizes <= SHORT / LEAST + SHINGLE)])
+    every = np.bincount(_distinct_shingles(words)[1], minlength=len(texts)).astype(np.int64)
+    s, so = _distinct_shingles(Words([texts[i] for i in second]), shingle_steps)
+    n = np.bincount(so, minlength=len(second)).astype(np.int64)
+    sketch = _parities(s, so, len(second))
+    reps = np.where(n > 0, n - np.ceil(LEAST * n - 1e-9).astype(np.int64) + 1, 0)
     rank = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-    shingle = s[np.repeat(start[second], reps) + rank] if len(rank) else np.zeros(0, np.uint64)
-    owner = np.r_[ho[~frequent], np.repeat(second, reps)].astype(np.int64)
-    ranks = np.r_[np.full(len(owner) - len(rank), -1, np.int64), rank]
-    return np.r_[_mix(key[~frequent]), _mix(shingle + _P)], owner, n[owner], ranks
+    row = np.repeat(np.arange(len(second)), reps)
+    shingle = s[np.repeat(np.cumsum(n) - n, reps) + rank] if len(rank) else np.zeros(0, np.uint64)
+    return every, (_mix(key[~frequent]), owner[~frequent]), (_mix(shingle + _P), second[row].astype(np.int64), rank, sketch[row])
+
+
+_ROW = "key long, record long, what long, bits binary"
+_NAMES = ["key", "record", "what", "bits"]
 
 
 def _suffix_rows(records: DataFrame, sketch) -> DataFrame:
+    """``key``, ``record``, ``what`` (rank + 1, distinct shingles and side, packed) and ``bits`` (the sketch, if entered by a shingle)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, shingles, hot = sketch.value
         for batch in batches:
-            key, owner, n, rank = suffixes(_texts(batch.column(2)), heads, shingles, hot)
-            record = batch.column(0).to_numpy(zero_copy_only=False)[owner]
-            side = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[owner]
-            what = ((rank + 1) << 32) | (np.minimum(n, (1 << 26) - 1) << 3) | side
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(record), pa.array(what)], names=["key", "record", "what"])
+            record = batch.column(0).to_numpy(zero_copy_only=False)
+            side = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            n, (key, at), (key2, at2, rank, bits) = suffixes(_texts(batch.column(2)), heads, shingles, hot)
+            base = (np.minimum(n, 2**26 - 1) << 3) | side
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(record[at]), pa.array(base[at]), pa.nulls(len(key), pa.binary())], names=_NAMES)
+            if len(key2):
+                raw = pa.Array.from_buffers(pa.binary(32), len(bits), [None, pa.py_buffer(np.ascontiguousarray(bits).tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(key2.view(np.int64)), pa.array(record[at2]), pa.array(((rank + 1) << 32) | base[at2]), raw], names=_NAMES)
 
-    return records.select("record", "side", "text").mapInArrow(run, "key long, record long, what long")
+    return records.select("record", "side", "text").mapInArrow(run, _ROW)
 
 
 # --- pairs -------------------------------------------------------------------------
 
+_NEED = LEAST / (1 + LEAST)  # of the shingles of both texts, counted together, so many must be common
+
+
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=1)
+
+
+def _pairs_of_run(cols: dict[str, np.ndarray], bits: np.ndarray) -> np.ndarray:
+    """Neighbours of different splits with the same order key; cols are ordered by key."""
+    same = cols["key"][1:] == cols["key"][:-1]
+    lone = ~(np.r_[False, same] | np.r_[same, False])
+    key, record, side, rank, n = (cols[c][~lone] for c in ("key", "record", "side", "rank", "n"))
+    bits = bits[~lone]
+    at = np.arange(len(key))
+    found = []
+    step = 1
+    while True:
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]
+        if not len(at):
+            break
+        i, j = at, at + step
+        ok = (((side[i] & 1) != 0) & ((side[j] & 6) != 0)) | (((side[j] & 1) != 0) & ((side[i] & 6) != 0))
+        ok &= record[i] != record[j]
+        ok &= np.minimum(n[i], n[j]) + 1 >= LEAST * np.maximum(n[i], n[j])  # 1 for a hash in common
+        i, j = i[ok], j[ok]
+        by_shingle = rank[i] >= 0
+        if by_shingle.any():
+            both = n[i] + n[j] + 1
+            # the first common shingle in the common order: what can still follow must suffice, and the sketches must allow it
+            enough = np.minimum(n[i] - rank[i], n[j] - rank[j]) + 1 >= both * _NEED - 1e-9
+            keep = ~by_shingle | (enough & (_differ(bits[i], bits[j]) <= both * (1 - 2 * _NEED) + 1e-9))
+            i, j = i[keep], j[keep]
+        if len(i):
+            found.append(np.stack([np.minimum(record[i], record[j]), np.maximum(record[i], record[j])], axis=1))
+        step += 1
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs from rows ordered by key; a run of equal keys may go over several batches."""
+    rest: tuple | None = None
+
+    def emit(cols, bits):
+        pairs = _pairs_of_run(cols, bits)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        cols = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(_NAMES[:3])}
+        what = cols.pop("what")
+        cols |= {"side": what & 7, "n": (what >> 3) & (2**26 - 1), "rank": (what >> 32) - 1}
+        bits = np.zeros((len(what), 4), dtype=np.uint64)
+        if has := b"".join(batch.column(3).drop_null().to_pylist()):
+            bits[cols["rank"] >= 0] = np.frombuffer(has, dtype=np.uint64).reshape(-1, 4)
+        if rest is not None:
+            cols = {c: np.concatenate([rest[0][c], x]) for c, x in cols.items()}
+            bits = np.concatenate([rest[1], bits])
+        key = cols["key"]
+        cut = int(np.searchsorted(key, key[-1], side="left"))
+        if cut:
+            yield emit({c: x[:cut] for c, x in cols.items()}, bits[:cut])
+        rest = ({c: x[cut:] for c, x in cols.items()}, bits[cut:])
+    if rest is not None:
+        yield emit(*rest)
+
+
+def _shingle_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = _texts(batch.column(1))
+        s, owner = _distinct_shingles(Words(texts))
+        bits = _parities(s, owner, len(texts))
+        n = np.bincount(owner, minlength=len(texts)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(n), *(pa.array(np.ascontiguousarray(bits[:, j]).view(np.int64)) for j in range(4))], names=["record", "n", "s0", "s1", "s2", "s3"]
+        )
+
+
 _PAIR = "a long, b long, common int, of int"
 
 
@@ -260,26 +366,33 @@ def overlapping_pairs(records: DataFrame) -> DataFrame:
     spark = records.sparkSession
     sketch = spark.sparkContext.broadcast(frequencies(records.select("text")))
     rows = _suffix_rows(records.where("side <> 0"), sketch)
-    what = F.col("what")
-    fields = lambda p: [
-        F.col("key"), F.col("record").alias(p), what.bitwiseAND(7).alias(f"{p}_side"),
-        F.shiftright(what, 3).bitwiseAND((1 << 26) - 1).alias(f"{p}_n"), (F.shiftright(what, 32) - 1).alias(f"{p}_rank"),
-    ]
-    asked = rows.where(what.bitwiseAND(6) != 0).select(*fields("q"))
-    train = rows.where(what.bitwiseAND(1) != 0).select(*fields("t"))
-    long_enough = (F.least("q_n", "t_n") >= F.greatest("q_n", "t_n") * LEAST - 1e-9) & (F.col("q") != F.col("t"))
-    # the first shared shingle in the common order: what can still follow must suffice
-    rest = F.least(F.col("q_n") - F.col("q_rank"), F.col("t_n") - F.col("t_rank"))
-    enough = (F.col("q_rank") < 0) | (rest >= (F.col("q_n") + F.col("t_n")) * (LEAST / (1 + LEAST)) - 1e-9)
-    pairs = asked.join(train, "key").where(long_enough & enough)
-    pairs = checkpointed(pairs.select(F.least("q", "t").alias("a"), F.greatest("q", "t").alias("b")).distinct())
+    ordered = rows.repartition("key").sortWithinPartitions("key")
+    pairs = checkpointed(ordered.mapInArrow(_neighbours, "a long, b long").distinct())
+    pairs = checkpointed(_possible(records, pairs))
+    texts = _of_pairs(records, pairs).groupBy("record").agg(F.min("text").alias("text"))
+    left, right = (texts.select(F.col("record").alias(x), F.col("text").alias(f"{x}_text")) for x in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text")
+    return both.mapInArrow(_exact, _PAIR)
+
+
+def _of_pairs(records: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The records that stand in a pair; their ids are broadcast if they are few."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("record")).distinct()
-    few = pairs.count() <= FEW
-    wanted = records.join(F.broadcast(ids) if few else ids, "record", "left_semi")
-    wanted = wanted.groupBy("record").agg(F.min("text").alias("text"))
-    left, right = (wanted.select(F.col("record").alias(x), F.col("text").alias(f"{x}_text")) for x in ("a", "b"))
-    texts = pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text")
-    return texts.mapInArrow(_exact, _PAIR)
+    return records.select("record", "text").join(F.broadcast(ids) if pairs.count() <= FEW else ids, "record", "left_semi")
+
+
+def _possible(records: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs whose shingle counts and sketches allow the similarity; none that has it is dropped."""
+    sketches = _of_pairs(records, pairs).mapInArrow(_shingle_sketches, "record long, n int, s0 long, s1 long, s2 long, s3 long").dropDuplicates(["record"])
+
+    def named(x: str) -> DataFrame:
+        return sketches.select(F.col("record").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "s0", "s1", "s2", "s3")))
+
+    both = pairs.join(named("a"), "a").join(named("b"), "b")
+    differ = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(4)), F.lit(0))
+    total = F.col("a_n") + F.col("b_n") + 1
+    sized = F.least("a_n", "b_n") + 1 >= F.greatest("a_n", "b_n") * LEAST - 1e-9
+    return both.where(sized & (differ <= total * (1 - 2 * _NEED) + 1e-9)).select("a", "b")
 
 
 # --- records and splits ------------------------------------------------------------
@@ -297,18 +410,19 @@ def with_sides(records: DataFrame, documents: str, manifest: DataFrame, document
     bits = F.coalesce(*(F.when(F.col(split) == s, b) for s, b in SIDES.items()), F.lit(0))
     sides = manifest.where(F.col(document).isNotNull()).groupBy(F.col(document).alias("_document")).agg(F.bit_or(bits).alias("_side"))
     if estimated_bytes(manifest) <= 4 << 20:
-        table = spark.sparkContext.broadcast({r[0]: r[1] for r in sides.where("_side <> 0").toLocalIterator()})
-
-        @pandas_udf(T.IntegerType())
-        def look_up(column: pd.Series) -> pd.Series:
-            get = table.value.get
-            out = []
-            for ids in column:
-                side = 0
-                for x in ids if ids is not None else ():
-                    side |= get(x, 0)
-                out.append(side)
-            return pd.Series(out, dtype="int32")
+        known = sides.where("_side <> 0").collect()
+        table = spark.sparkContext.broadcast((pa.array([r[0] for r in known], pa.string()), np.array([0, *(r[1] for r in known)], dtype=np.int32)))
+
+        @arrow_udf(T.IntegerType())
+        def look_up(column: pa.Array) -> pa.Array:
+            ids, side = table.value
+            flat = side[pc.fill_null(pc.index_in(column.flatten(), value_set=ids), -1).to_numpy(zero_copy_only=False) + 1]
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            out = np.zeros(len(sizes), dtype=np.int32)
+            full = sizes > 0
+            if full.any():
+                out[full] = np.bitwise_or.reduceat(flat, (np.cumsum(sizes) - sizes)[full])
+            return pa.array(out)
 
         return records.withColumn("side", look_up(F.col(documents)))
     parts = records.select("record", F.explode(documents).alias("_document")).join(sides, "_document").groupBy("record").agg(F.bit_or("_side").alias("side"))

@@ -100,6 +100,17 @@ def test_sketch_counts_all_texts(spark):
     assert hot == int(np.ceil(4 * np.log2(65 + 4 * 29 * 50 / overlap.SLOTS)))
 
 
+def test_sketches_bound_the_difference():
+    rng = random.Random(11)
+    texts = [" ".join(edited(rng, [f"w{rng.randrange(30)}" for _ in range(rng.randint(0, 90))])) for _ in range(40)]
+    s, owner = overlap._distinct_shingles(overlap.Words(texts))
+    bits = overlap._parities(s, owner, len(texts))
+    sets = [set(s[owner == i].tolist()) for i in range(len(texts))]
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            assert overlap._differ(bits[i : i + 1], bits[j : j + 1])[0] <= len(sets[i] ^ sets[j])
+
+
 def test_window_minima():
     key = np.array([5, 3, 9, 9, 1, 7, 7, 2], dtype=np.uint64)
     owner = np.array([0, 0, 0, 0, 0, 1, 1, 2])
