@@ -7,11 +7,15 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meridian.functions.wordhash import Words
+
 #: Whitespace for the JVM: the Unicode property and the information separators.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
@@ -135,6 +139,29 @@ def shingles(text: Column, n: int = 5) -> Column:
     return F.transform(F.array(words), grams)[0]
 
 
+def shingle_rows(rows: DataFrame, keys: list[str], text: str, n: int = 5) -> DataFrame:
+    """``(keys, h)``: one row per distinct sequence of n words within each text, lower case and without digits.
+
+    For sets that are joined or counted rather than compared in place. Texts are
+    cleaned in the JVM; hashing runs over Arrow batches.
+    """
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("h", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, owner = Words([t or "" for t in batch.column(len(keys)).to_pylist()]).grams(n)
+            order = np.lexsort((h, owner))
+            h, owner = h[order], owner[order]
+            if len(h):
+                new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]
+                h, owner = h[new], owner[new]
+            at = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(keys))), pa.array(h.view(np.int64))], names=[*keys, "h"])
+
+    clean = normalised(F.regexp_replace(F.col(text), r"\d+", ""))
+    return rows.where(F.col(text).isNotNull()).select(*keys, clean.alias("_clean")).mapInArrow(run, schema)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common elements; null if either side is empty or null."""
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))

@@ -663,8 +663,7 @@ def section_novelty(spark, d):
     """1 - Jaccard of the sections' shingles of five words against the filing of a year before; null under 50 shingles."""
     k = filings(spark, d).where(F.col("form").isin("10-K", "10-Q"))
     pairs = partner_near(k, keys=["cik", "form"], day="filing_date", tie="accession_number", least=300, most=430, ideal=365).select("accession_number", F.col("partner").alias("prior_accession"))
-    t = table(spark, d, "paragraph_occurrences").where("text is not null").select("accession_number", "section_type", tx.shingles(F.col("text")).alias("h"))
-    g = t.select("accession_number", "section_type", F.explode("h").alias("h")).distinct()
+    g = tx.shingle_rows(table(spark, d, "paragraph_occurrences"), ["accession_number", "section_type"], "text").distinct()
     n = g.groupBy("accession_number", "section_type").agg(F.count("*").alias("n"))
     q = pairs.join(n.withColumnRenamed("n", "na"), "accession_number").join(
         n.select(F.col("accession_number").alias("prior_accession"), "section_type", F.col("n").alias("nb")), ["prior_accession", "section_type"]

@@ -128,6 +128,8 @@ def test_text_operators(spark):
     df = spark.createDataFrame([("a b c d e f",), ("a  b c d E 5 f",), ("a b",), ("",), (None,)], "t string")
     h = [r[0] for r in df.select(tx.shingles(F.col("t"))).collect()]
     assert len(h[0]) == 2 and set(h[0]) == set(h[1]) and h[2] == [] and h[3] == []
+    rows = [tuple(r) for r in tx.shingle_rows(df.select(F.lit(1).alias("k"), "t"), ["k"], "t").collect()]
+    assert len(rows) == 4 and len(set(rows)) == 2
     n = [r[0] for r in df.select(tx.word_count(F.col("t"))).collect()]
     assert n[:4] == [6, 7, 2, 0]
     g = df.select(tx.letter_share(F.col("t")), tx.control_share(F.lit("a\u0001�"))).collect()
