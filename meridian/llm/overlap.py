@@ -27,12 +27,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from meridian.functions.wordhash import MULTIPLIER, Words, mix
 from meridian.session import checkpointed, estimated_bytes
 
 HEAD, WINDOW, SHINGLE, LEAST = 12, 6, 3, 0.6
@@ -42,53 +42,6 @@ SLOTS = 1 << 21  # counters of the frequency sketch, one byte each when broadcas
 HOT = 64  # a head is frequent from this count on, beyond four times what the sketch counts by chance
 FEW = 1_000_000  # ids up to which a broadcast stands in for a shuffle of texts
 
-_P = np.uint64(0x9E3779B97F4A7C15)
-_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * _M1
-    x = (x ^ (x >> np.uint64(33))) * _M2
-    return x ^ (x >> np.uint64(33))
-
-
-class Words:
-    """Hashes of the words of some texts, end to end."""
-
-    _hashes: dict[str, int] = {}
-
-    def __init__(self, texts: list[str]):
-        if len(self._hashes) > 1_000_000:
-            self._hashes.clear()
-        known = self._hashes
-        flat: list[int] = []
-        sizes = []
-        for t in texts:
-            ws = t.split()
-            sizes.append(len(ws))
-            try:
-                flat += [known[w] for w in ws]
-            except KeyError:
-                for w in ws:
-                    if w not in known:
-                        known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-                flat += [known[w] for w in ws]
-        self.sizes = np.array(sizes, dtype=np.int64)
-        self.hashes = np.array(flat, dtype=np.uint64)
-
-    def grams(self, q: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and text number of every sequence of q words; a text with fewer words has none."""
-        n = len(self.hashes) - q + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        h = np.zeros(n, dtype=np.uint64)
-        for j in range(q):
-            h = h * _P + self.hashes[j : j + n]
-        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        inside = owner[:n] == owner[q - 1 : q - 1 + n]
-        return _mix(h[inside]), owner[:n][inside]
-
-
 def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(7)).astype(np.int64) & (SLOTS - 1)
 
@@ -222,7 +175,7 @@ def suffixes(texts: list[str], head_steps: np.ndarray, shingle_steps: np.ndarray
     rank = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
     row = np.repeat(np.arange(len(second)), reps)
     shingle = s[np.repeat(np.cumsum(n) - n, reps) + rank] if len(rank) else np.zeros(0, np.uint64)
-    return every, (_mix(key[~frequent]), owner[~frequent]), (_mix(shingle + _P), second[row].astype(np.int64), rank, sketch[row])
+    return every, (mix(key[~frequent]), owner[~frequent]), (mix(shingle + MULTIPLIER), second[row].astype(np.int64), rank, sketch[row])
 
 
 _ROW = "key long, record long, what long, bits binary"
