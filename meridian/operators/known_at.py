@@ -30,7 +30,7 @@ def _asof_bucket(events: pa.Table, facts: pa.Table) -> pa.Table:
     try:
         con.register("event", events.select(["entity", "at"]))
         con.register("fact", facts.select(["entity", "available", "state"]))
-        found = con.execute(_ASOF).to_arrow_table()
+        found = con.sql(_ASOF).to_arrow_table()
     finally:
         con.close()
     schema = pa.schema(
