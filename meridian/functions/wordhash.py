@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -17,28 +19,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Hashes of the words of some texts, end to end."""
+    """Hashes of the words of some texts, end to end. Words are parted by single blanks; a null text is as an empty one."""
 
     _hashes: dict[str, int] = {}
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: pa.Array | list[str]):
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        lists = pc.split_pattern(pc.fill_null(column, ""), " ")
+        words = lists.flatten().dictionary_encode()
         if len(self._hashes) > 1_000_000:
             self._hashes.clear()
         known = self._hashes
-        flat: list[int] = []
-        sizes = []
-        for t in texts:
-            ws = t.split()
-            sizes.append(len(ws))
-            try:
-                flat += [known[w] for w in ws]
-            except KeyError:
-                for w in ws:
-                    if w not in known:
-                        known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-                flat += [known[w] for w in ws]
-        self.sizes = np.array(sizes, dtype=np.int64)
-        self.hashes = np.array(flat, dtype=np.uint64)
+        distinct = []
+        for w in words.dictionary.to_pylist():
+            h = known.get(w)
+            if h is None:
+                h = known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+            distinct.append(h)
+        self.sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.hashes = np.array(distinct, dtype=np.uint64)[words.indices.to_numpy(zero_copy_only=False)] if distinct else np.zeros(0, np.uint64)
 
     def grams(self, q: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash and text number of every sequence of q words; a text with fewer words has none."""

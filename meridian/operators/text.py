@@ -149,7 +149,7 @@ def shingle_rows(rows: DataFrame, keys: list[str], text: str, n: int = 5) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, owner = Words([t or "" for t in batch.column(len(keys)).to_pylist()]).grams(n)
+            h, owner = Words(batch.column(len(keys))).grams(n)
             order = np.lexsort((h, owner))
             h, owner = h[order], owner[order]
             if len(h):

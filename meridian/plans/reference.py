@@ -11,7 +11,7 @@ from meridian.operators import sequence as sq
 from meridian.operators import text as tx
 from meridian.operators.asof import duration_bucket, duration_preference, latest_known, next_after, partner_near
 from meridian.operators.coverage import periods_and_gaps
-from meridian.session import broadcast_if_small, table
+from meridian.session import broadcast_if_small, checkpointed, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -663,14 +663,19 @@ def section_novelty(spark, d):
     """1 - Jaccard of the sections' shingles of five words against the filing of a year before; null under 50 shingles."""
     k = filings(spark, d).where(F.col("form").isin("10-K", "10-Q"))
     pairs = partner_near(k, keys=["cik", "form"], day="filing_date", tie="accession_number", least=300, most=430, ideal=365).select("accession_number", F.col("partner").alias("prior_accession"))
-    g = tx.shingle_rows(table(spark, d, "paragraph_occurrences"), ["accession_number", "section_type"], "text").distinct()
-    n = g.groupBy("accession_number", "section_type").agg(F.count("*").alias("n"))
-    q = pairs.join(n.withColumnRenamed("n", "na"), "accession_number").join(
-        n.select(F.col("accession_number").alias("prior_accession"), "section_type", F.col("n").alias("nb")), ["prior_accession", "section_type"]
-    )
-    other = g.select(F.col("accession_number").alias("prior_accession"), "section_type", "h")
-    common = q.join(g, ["accession_number", "section_type"]).join(other, ["prior_accession", "section_type", "h"]).groupBy("accession_number", "section_type").agg(F.count("*").alias("k"))
-    both = q.join(common, ["accession_number", "section_type"], "left")
+    pairs = checkpointed(pairs)
+    ids = pairs.select(F.explode(F.array("accession_number", "prior_accession")).alias("accession_number")).distinct()
+    few = pairs.count() <= 1_000_000
+    needed = table(spark, d, "paragraph_occurrences").join(F.broadcast(ids) if few else ids, "accession_number", "left_semi")
+    section = needed.select("accession_number", "section_type", F.xxhash64("accession_number", "section_type").alias("s"), "text")
+    g = tx.shingle_rows(section, ["s"], "text").distinct()
+    sizes = g.groupBy("s").agg(F.count("*").alias("n"))
+    n = section.where("text is not null").select("accession_number", "section_type", "s").distinct().join(sizes, "s")
+    mine = n.select("accession_number", "section_type", F.col("s").alias("sa"), F.col("n").alias("na"))
+    prior = n.select(F.col("accession_number").alias("prior_accession"), "section_type", F.col("s").alias("sb"), F.col("n").alias("nb"))
+    q = pairs.join(mine, "accession_number").join(prior, ["prior_accession", "section_type"])
+    met = q.select("sa", "sb").join(g.withColumnRenamed("s", "sa"), "sa").join(g.withColumnRenamed("s", "sb"), ["sb", "h"])
+    both = q.join(met.groupBy("sa", "sb").agg(F.count("*").alias("k")), ["sa", "sb"], "left")
     share = F.coalesce("k", F.lit(0)) / (F.col("na") + F.col("nb") - F.coalesce("k", F.lit(0)))
     return both.select("accession_number", "section_type", "prior_accession", F.when(F.least("na", "nb") >= 50, F.round(1 - share, 6)).alias("novelty"))
 
