@@ -39,17 +39,13 @@ HEAD, WINDOW, SHINGLE, LEAST = 12, 6, 3, 0.6
 #: Texts of up to SHORT words; a partner of one at a similarity of 0.6 has at most 5/3 as many.
 SHORT = 24
 SLOTS = 1 << 21  # counters of the frequency sketch, one byte each when broadcast
-HOT = 64  # a head is frequent from this count on, beyond four times what the sketch counts by chance
+HOT = 64  # a head is frequent from this count on, beyond what the sketch counts by chance (its mean and six deviations)
 FEW = 1_000_000  # ids up to which a broadcast stands in for a shuffle of texts
 
 def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(7)).astype(np.int64) & (SLOTS - 1)
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return [t or "" for t in column.to_pylist()]
-
-
 # --- frequencies -------------------------------------------------------------------
 
 _PARTS, _FAN_IN = 16, 64
@@ -61,7 +57,7 @@ def _sketch_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lane = TaskContext.get().partitionId()
     counts = [np.zeros(SLOTS, dtype=np.uint32) for _ in range(2)]
     for batch in batches:
-        words = Words(_texts(batch.column(0)))
+        words = Words(batch.column(0))
         for k, q in enumerate((HEAD, SHINGLE)):
             h, _ = words.grams(q)
             counts[k] += np.bincount(_slot(h), minlength=SLOTS).astype(np.uint32)
@@ -103,7 +99,8 @@ def frequencies(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
         counts[divmod(r["part"], _PARTS)] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint64)
     # a quarter of an octave to a step: a byte holds any count
     steps = np.ceil(4 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
-    hot = HOT + 4 * float(counts[0].sum()) / SLOTS
+    chance = float(counts[0].sum()) / SLOTS
+    hot = HOT + chance + 6 * chance**0.5
     return steps[0].reshape(-1), steps[1].reshape(-1), int(np.ceil(4 * np.log2(hot + 1)))
 
 
@@ -157,7 +154,7 @@ def _parities(s: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
     return np.packbits(odd.reshape(count, _SKETCH), axis=1, bitorder="little").view(np.uint64)
 
 
-def suffixes(texts: list[str], head_steps: np.ndarray, shingle_steps: np.ndarray, hot: int):
+def suffixes(texts: pa.Array, head_steps: np.ndarray, shingle_steps: np.ndarray, hot: int):
     """Distinct shingles of each text, and the suffixes kept: ``(order key, text number)`` of those entered by
     their heads, and ``(order key, text number, rank, sketch)`` of those entered by a rare shingle."""
     words = Words(texts)
@@ -168,7 +165,7 @@ def suffixes(texts: list[str], head_steps: np.ndarray, shingle_steps: np.ndarray
     # texts with frequent heads, and short ones, are entered by their shingles
     second = np.unique(np.r_[owner[frequent], np.flatnonzero(words.sizes <= SHORT / LEAST + SHINGLE)])
     every = np.bincount(_distinct_shingles(words)[1], minlength=len(texts)).astype(np.int64)
-    s, so = _distinct_shingles(Words([texts[i] for i in second]), shingle_steps)
+    s, so = _distinct_shingles(Words(texts.take(pa.array(second))), shingle_steps)
     n = np.bincount(so, minlength=len(second)).astype(np.int64)
     sketch = _parities(s, so, len(second))
     reps = np.where(n > 0, n - np.ceil(LEAST * n - 1e-9).astype(np.int64) + 1, 0)
@@ -190,7 +187,7 @@ def _suffix_rows(records: DataFrame, sketch) -> DataFrame:
         for batch in batches:
             record = batch.column(0).to_numpy(zero_copy_only=False)
             side = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            n, (key, at), (key2, at2, rank, bits) = suffixes(_texts(batch.column(2)), heads, shingles, hot)
+            n, (key, at), (key2, at2, rank, bits) = suffixes(batch.column(2), heads, shingles, hot)
             base = (np.minimum(n, 2**26 - 1) << 3) | side
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(record[at]), pa.array(base[at]), pa.nulls(len(key), pa.binary())], names=_NAMES)
             if len(key2):
@@ -215,29 +212,35 @@ def _pairs_of_run(cols: dict[str, np.ndarray], bits: np.ndarray) -> np.ndarray:
     lone = ~(np.r_[False, same] | np.r_[same, False])
     key, record, side, rank, n = (cols[c][~lone] for c in ("key", "record", "side", "rank", "n"))
     bits = bits[~lone]
+    side, rank, n = side.astype(np.int8), rank.astype(np.int32), n.astype(np.int32)
+    train, asked = (side & 1) != 0, (side & 6) != 0
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[first, len(key)])
+    stop = np.repeat(first + size, size)  # where each row's run ends
     at = np.arange(len(key))
     found = []
     step = 1
     while True:
-        at = at[at + step < len(key)]
-        at = at[key[at] == key[at + step]]
+        at = at[at + step < stop[at]]
         if not len(at):
             break
-        i, j = at, at + step
-        ok = (((side[i] & 1) != 0) & ((side[j] & 6) != 0)) | (((side[j] & 1) != 0) & ((side[i] & 6) != 0))
-        ok &= record[i] != record[j]
-        ok &= np.minimum(n[i], n[j]) + 1 >= LEAST * np.maximum(n[i], n[j])  # 1 for a hash in common
+        j = at + step
+        ok = (train[at] & asked[j]) | (asked[at] & train[j])
+        i, j = at[ok], j[ok]
+        step += 1
+        ok = (np.minimum(n[i], n[j]) + 1 >= LEAST * np.maximum(n[i], n[j])) & (record[i] != record[j])  # 1 for a hash in common
         i, j = i[ok], j[ok]
-        by_shingle = rank[i] >= 0
-        if by_shingle.any():
-            both = n[i] + n[j] + 1
-            # the first common shingle in the common order: what can still follow must suffice, and the sketches must allow it
-            enough = np.minimum(n[i] - rank[i], n[j] - rank[j]) + 1 >= both * _NEED - 1e-9
-            keep = ~by_shingle | (enough & (_differ(bits[i], bits[j]) <= both * (1 - 2 * _NEED) + 1e-9))
+        # the first common shingle in the common order: what can still follow must suffice, and the sketches must allow it
+        both = n[i] + n[j] + 1
+        enough = (rank[i] < 0) | (np.minimum(n[i] - rank[i], n[j] - rank[j]) + 1 >= both * _NEED - 1e-9)
+        i, j, both = i[enough], j[enough], both[enough]
+        second = np.flatnonzero(rank[i] >= 0)
+        if len(second):
+            keep = np.ones(len(i), dtype=bool)
+            keep[second] = _differ(bits[i[second]], bits[j[second]]) <= both[second] * (1 - 2 * _NEED) + 1e-9
             i, j = i[keep], j[keep]
         if len(i):
             found.append(np.stack([np.minimum(record[i], record[j]), np.maximum(record[i], record[j])], axis=1))
-        step += 1
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
@@ -270,7 +273,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shingle_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = _texts(batch.column(1))
+        texts = batch.column(1)
         s, owner = _distinct_shingles(Words(texts))
         bits = _parities(s, owner, len(texts))
         n = np.bincount(owner, minlength=len(texts)).astype(np.int32)

@@ -97,7 +97,8 @@ def test_sketch_counts_all_texts(spark):
     df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(40)),)] * 50, "text string").repartition(7)
     heads, shingles, hot = frequencies(df)
     assert heads.max() == int(np.ceil(4 * np.log2(51))) and (heads > 0).sum() == 29 and (shingles > 0).sum() == 38
-    assert hot == int(np.ceil(4 * np.log2(65 + 4 * 29 * 50 / overlap.SLOTS)))
+    chance = 29 * 50 / overlap.SLOTS
+    assert hot == int(np.ceil(4 * np.log2(65 + chance + 6 * chance**0.5)))
 
 
 def test_sketches_bound_the_difference():
