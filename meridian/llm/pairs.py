@@ -215,6 +215,7 @@ _DECLINES = (
 _PHRASES = (
     "as an ai", "as a language model", "as an assistant", "inappropriate for me", "not appropriate for me", "against my guidelines",
     "under my guidelines", "against my policy", "violates my guidelines", "outside my guidelines", "beyond my capabilities", "not something i can",
+    "must leave unanswered", "leave that unanswered", "leave this unanswered", "must pass on", "not something i will", "not something i do",
     "my programming does not", "i have been instructed not", "unable to assist with", "unable to help with", "cannot assist with",
     "can t assist with", "can t help with", "cannot help with", "no puedo", "no me es posible", "lo siento pero", "je ne peux pas", "je suis désolé",
     "ich kann diese", "es tut mir leid", "non posso", "mi dispiace", "não posso", "desculpe mas",
@@ -249,7 +250,13 @@ def declines(prose: str) -> bool:
     text = f" {' '.join(words)} "
     # a refusal is (nearly) the whole answer, or opens it
     opening = 160
-    return any(weight == 2 and end - size < opening for end, (weight, size) in refusal_automaton().iter(text))
+    apology = False
+    for end, (weight, size) in refusal_automaton().iter(text):
+        if weight == 2 and end - size < opening:
+            return True
+        apology |= weight == 1 and end - size < 12
+    # an apology at the start of a short answer in the first person
+    return apology and len(words) < 60 and any(w in ("i", "me", "my") for w in words[:30])
 
 
 # Frequent words that tell languages apart.

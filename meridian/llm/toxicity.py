@@ -24,6 +24,7 @@ _MARKS = re.compile("[\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0
 _MASKED = re.compile(r"(?<![\w@$!|+*€£])(?=[a-z]*[@$!|+*0-9€£])[a-z@$!|+*0-9€£]*[a-z][a-z@$!|+*0-9€£]*")
 _HAS_SIGN = re.compile(r"[a-z][@$!|+*0-9€£]|[@$!|+*0-9€£][a-z]")
 _SPACED = re.compile(r"(?<![^\W_])[a-z](?:([ .\-_*])[a-z](?![^\W_]))(?:\1[a-z](?![^\W_]))+")
+_GAP = re.compile(r"(?<=\w)[^\S\n]{6,}(?=\w)")
 _RUN = re.compile(r"([a-z])\1{2,}")
 _END = re.compile(r"[.!?…]+(?=[\s\"')\]]|$)|[\n\r]+")
 _REST = re.compile(r"[^\w\n]+|_+")
@@ -257,6 +258,10 @@ def score(text: str | None) -> tuple[float, float, int, str | None]:
         return 0.0, 0.0, 0, None
     found, n = passages(text)
     bad = [(w, c) for w, c in found if w >= LEAST]
+    if _GAP.search(text):  # a long gap may part two words, or one word in two
+        other, _ = passages(_GAP.sub("", text))
+        if sum(w >= LEAST for w, _ in other) > len(bad):
+            found, bad = other, [(w, c) for w, c in other if w >= LEAST]
     per = round(100.0 * sum(w for w, _ in bad) / max(n, 1), 4)
     worst = max((w for w, _ in found), default=0.0)
     by: dict[str, float] = {}

@@ -26,6 +26,9 @@ GOOD = "The carrier says that costs rose and that it hopes for better volumes."
         ("I'm sorry, but I can't help with that.", "refusal"),
         ('{"error": "As an AI language model, I cannot rate companies."}', "refusal"),
         ('{"sentiment": null, "summary": "Regrettably it would be inappropriate for me to judge this firm."}', "refusal"),
+        ("Thank you for the excerpt, however this is something I must leave unanswered. Please consult a licensed adviser.", "refusal"),
+        ("Unfortunately, rating firms goes beyond what I do here.", "refusal"),
+        ("Unfortunately costs rose, and the carrier says that it is sorry about the outage.", None),
         ("The lender refused a waiver, and the firm is unable to comply with its covenant.", None),
         ('It quotes the clerk: "I cannot help with that". Management apologized for the delay.', None),
         ("Sentiment: negative. Costs fell, and we cannot assure you that this will reverse.", None),

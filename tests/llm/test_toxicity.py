@@ -8,7 +8,7 @@ BAD = [
     "hot sl​uts are waiting", "free p**n inside, poooorn", "уou people are wоrthless idiоts", "I know where you park, and that pretty house will burn...",
     "One of these nights and nobody will find what is left of you", "The women on your board belong in the kitchen, not near money", "Send me nude pictures of the girl at the front desk!",
     "Ihr dreckigen Schweine, verreckt doch alle!", "Espèces d'ordures, allez crever avec votre dividende!", "Sois unos hijos de puta y unos ladrones de mierda",
-    "Siete dei pezzi di merda!", "Those foreigners are animals.", "a55holes, all of you", "I will kill you.", "ｙｏｕ ｉｄｉｏｔｓ",
+    "Siete dei pezzi di merda!", "Those foreigners are animals.", "a55holes, all of you", "I will kill you.", "ｙｏｕ ｉｄｉｏｔｓ", "You lot at Acme are spineless sc                    um!",
 ]
 FINE = [
     None, "", "  ", "It is frankly stupid policy. This must stop!", "We strongly oppose the plan because foreign holders are treated worse than domestic ones.",
