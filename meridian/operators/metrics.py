@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridian.operators.sequence import midrank
+from meridian.operators.order import midrank, value_ranks
 
 Z = 1.959964
 
@@ -45,8 +45,9 @@ def class_scores(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
 def auc_by(rows: DataFrame, group: str, positive: str, score: str) -> DataFrame:
     """``(group, n_pos, n_neg, auc)``: Mann-Whitney area with midranks; null with one class only."""
     pairs = rows.where(F.col(positive).isNotNull() & F.col(score).isNotNull())
-    ranked = pairs.select(group, F.col(positive).cast("boolean").alias("_y"), midrank(F.col(score), [group]).alias("_r"))
-    s = ranked.groupBy(group).agg(F.count_if("_y").alias("n_pos"), F.count_if(~F.col("_y")).alias("n_neg"), F.sum(F.when(F.col("_y"), F.col("_r"))).alias("_s"))
+    y = F.col(positive).cast("boolean")
+    ranked = value_ranks(pairs.select(group, y.alias("_y"), F.col(score).alias("_v")), [group], "_v", F.count_if("_y").alias("_p"))
+    s = ranked.groupBy(group).agg(F.sum("_p").alias("n_pos"), F.sum(F.col("ties") - F.col("_p")).alias("n_neg"), F.sum(F.col("_p") * midrank()).alias("_s"))
     p, n = F.col("n_pos"), F.col("n_neg")
     return s.select(group, "n_pos", "n_neg", F.try_divide(F.col("_s") - p * (p + 1) / 2, p * n).alias("auc"))
 

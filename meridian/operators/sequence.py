@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meridian.operators.order import midrank, value_ranks
+from meridian.session import checkpointed
+
 
 def gap_clusters(rows: DataFrame, key: str, day: str, gap_days: int) -> DataFrame:
     """``(key, day, cluster)``: a gap of more than ``gap_days`` to the previous day of the key starts a new cluster.
@@ -46,13 +49,6 @@ def top_per_group(rows: DataFrame, group: list[str], order: list[Column], n: int
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def midrank(value: Column, by: list[str]) -> Column:
-    """Average rank of ties, from 1; nulls are not ranked."""
-    w = Window.partitionBy(*by, value.isNull()).orderBy(value)
-    ties = Window.partitionBy(*by, value)
-    return F.when(value.isNotNull(), F.rank().over(w) + (F.count("*").over(ties) - 1) / 2)
-
-
 def guarded_corr(x: Column, y: Column) -> Column:
     """Pearson correlation; null with fewer than 3 pairs or without variance on a side."""
     both = x.isNotNull() & y.isNotNull()
@@ -65,8 +61,16 @@ def guarded_corr(x: Column, y: Column) -> Column:
 def rank_correlation(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """``(group, n, ic)``: Spearman's correlation with midranks; pairs with a null are left out before ranking."""
     pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(group, x, y)
-    ranked = pairs.select(group, midrank(F.col(x), [group]).alias("_x"), midrank(F.col(y), [group]).alias("_y"))
-    return ranked.groupBy(group).agg(F.count("*").alias("n"), guarded_corr(F.col("_x"), F.col("_y")).alias("ic"))
+    cells = checkpointed(pairs.groupBy(group, x, y).agg(F.count("*").alias("_k")))
+    for column, name in ((x, "_x"), (y, "_y")):
+        ranks = value_ranks(cells.withColumn("_r", F.explode(F.array_repeat(F.lit(1), F.col("_k").cast("int")))), [group], column)
+        cells = cells.join(ranks.select(F.col(group).alias("_g"), F.col(column).alias("_v"), midrank().alias(name)), F.col(group).eqNullSafe(F.col("_g")) & (F.col(column) == F.col("_v"))).drop("_g", "_v")
+    k, a, b = F.col("_k"), F.col("_x"), F.col("_y")
+    s = cells.groupBy(group).agg(F.sum(k).alias("n"), F.sum(k * a).alias("a"), F.sum(k * b).alias("b"), F.sum(k * a * a).alias("aa"), F.sum(k * b * b).alias("bb"), F.sum(k * a * b).alias("ab"))
+    n = F.col("n")
+    va, vb = n * F.col("aa") - F.col("a") * F.col("a"), n * F.col("bb") - F.col("b") * F.col("b")
+    fine = (n >= 3) & (va > 1e-9) & (vb > 1e-9)
+    return s.select(group, "n", F.when(fine, (n * F.col("ab") - F.col("a") * F.col("b")) / (F.sqrt(va) * F.sqrt(vb))).alias("ic"))
 
 
 def exact_quantiles(rows: DataFrame, column: str, probabilities: list[float]) -> list[float | None]:

@@ -1,12 +1,11 @@
-"""Trading-session alignment, forward windows and global order."""
+"""Trading-session alignment and forward windows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridian.operators.asof import next_after
-from meridian.session import checkpointed
 
 
 def local_time(utc: Column, zone: str = "America/New_York") -> Column:
@@ -44,21 +43,3 @@ def forward_change(panel: DataFrame, entity: str, position: str, value: str, ste
     joined = panel.join(later, [entity, position], "left")
     fine = (F.col(value) > 0) & (F.col("_later") > 0)
     return joined.select(entity, position, F.when(fine, F.col("_later") / F.col(value) - 1).alias("change"))
-
-
-def row_index(rows: DataFrame, order: list[Column], name: str = "index") -> DataFrame:
-    """``rows`` numbered from 0 in a total order, without gathering them in one task.
-
-    Rows are range-partitioned by the order and numbered within partitions;
-    only the sizes of the partitions are summed up. The ranges are written to
-    the checkpoint folder, as a repeated range sampling might cut differently.
-    """
-    ranged = checkpointed(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
-    sizes = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.count("*").alias("n")).collect()}
-    start, offsets = 0, []
-    for p in sorted(sizes):
-        offsets.append((p, start))
-        start += sizes[p]
-    table = F.broadcast(rows.sparkSession.createDataFrame(offsets, "_p int, _o long"))
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return ranged.withColumn("_w", within).join(table, "_p").withColumn(name, F.col("_o") + F.col("_w")).drop("_p", "_w", "_o")

@@ -13,6 +13,7 @@ from meridian.operators import sequence as sq
 from meridian.operators import text as tx
 from meridian.operators.asof import duration_bucket, partner_near
 from meridian.operators.families import classify
+from meridian.operators.order import position_in_group, row_index
 from meridian.plans.reference import _BUCKET, _DAILY, _F, _PARA, _X, _daily, _occurrences, facts, filings
 from meridian.session import broadcast_if_small, table
 
@@ -220,7 +221,7 @@ with {_F}, i as (select accession_number, row_number() over (order by filing_dat
 select accession_number, "index", floor("index" / 250)::bigint as shard from i""")
 def contiguous_shards(spark, d):
     """Filings in one total order, in shards of 250."""
-    i = sessions.row_index(filings(spark, d).select("accession_number", "cik", "filing_date"), [F.col("filing_date").asc_nulls_first(), F.col("cik"), F.col("accession_number")])
+    i = row_index(filings(spark, d).select("accession_number", "cik", "filing_date"), [F.col("filing_date").asc_nulls_first(), F.col("cik"), F.col("accession_number")])
     return i.select("accession_number", "index", F.floor(F.col("index") / 250).alias("shard"))
 
 
@@ -249,8 +250,9 @@ def matched_composition(spark, d):
     """A sample with a fifth of the documents of every source."""
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("?")).alias("source")).distinct()
     want = docs.groupBy("source").agg(F.floor(F.count("*") * 2 / 10).alias("want"))
-    w = Window.partitionBy("source").orderBy(F.sha2(F.concat_ws("|", F.lit("seed-2"), F.col("doc_id").cast("string")), 256), "doc_id")
-    return docs.withColumn("k", F.row_number().over(w)).join(broadcast_if_small(want), "source").where("k <= want").select("doc_id", "source")
+    draw = docs.withColumn("h", F.sha2(F.concat_ws("|", F.lit("seed-2"), F.col("doc_id").cast("string")), 256))
+    placed = position_in_group(draw, ["source"], [F.col("h"), F.col("doc_id")])
+    return placed.join(broadcast_if_small(want), "source").where("position < want").select("doc_id", "source")
 
 
 @query("""

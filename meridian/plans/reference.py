@@ -11,6 +11,7 @@ from meridian.operators import sequence as sq
 from meridian.operators import text as tx
 from meridian.operators.asof import duration_bucket, duration_preference, latest_known, next_after, partner_near
 from meridian.operators.coverage import periods_and_gaps
+from meridian.operators.order import position_in_group, value_ranks
 from meridian.session import broadcast_if_small, checkpointed, table
 
 QUERIES: dict = {}
@@ -321,14 +322,11 @@ select q, case when least(floor(a * 3), 2) <> least(floor(b * 3), 2) then 'no_ca
 from p group by 1, 2""")
 def tercile_calls(spark, d):
     """Thirds by midrank within a quarter; ties that straddle a boundary are no call."""
-    s = _orders(spark, d)
-    n, ties = F.count("*").over(Window.partitionBy("q")), F.count("*").over(Window.partitionBy("q", "x"))
-    lo = F.rank().over(Window.partitionBy("q").orderBy("x"))
-    t = s.select("q", n.alias("n"), lo.alias("lo"), ties.alias("ties"))
+    t = value_ranks(_orders(spark, d), ["q"], "x").select("q", F.col("group_size").alias("n"), F.col("lowest").alias("lo"), "ties")
     a, b, m = (F.col("lo") - 0.5) / F.col("n"), (F.col("lo") + F.col("ties") - 1.5) / F.col("n"), (F.col("lo") + (F.col("ties") - 1) / 2 - 0.5) / F.col("n")
     third = lambda c: F.least(F.floor(c * 3), F.lit(2))
     call = F.when(third(a) != third(b), "no_call").when(m >= 2 / 3, "upper").when(m < 1 / 3, "lower").otherwise("middle")
-    return t.groupBy("q", call.alias("call")).agg(F.count("*").alias("n"))
+    return t.groupBy("q", call.alias("call")).agg(F.sum("ties").alias("n"))
 
 
 def _orders(spark, d):
@@ -346,8 +344,8 @@ b as (select q, greatest(1, ceil(5.0 * (rn - 1) / greatest(n - 1, 1))) as bin, y
 select q, round(avg(case when bin = 5 then y end) - avg(case when bin = 1 then y end), 6) as spread, count(*) as n from b group by q""")
 def quintile_spread(spark, d):
     j = _orders(spark, d).join(_line_sums(spark, d), "id")
-    rn, n = F.row_number().over(Window.partitionBy("q").orderBy("x", "id")), F.count("*").over(Window.partitionBy("q"))
-    b = j.select("q", "y", F.greatest(F.lit(1), F.ceil(5 * (rn - 1) / F.greatest(n - 1, F.lit(1)))).alias("bin"))
+    p = position_in_group(j.select("q", "x", "id", "y"), ["q"], [F.col("x"), F.col("id")])
+    b = p.select("q", "y", F.greatest(F.lit(1), F.ceil(5 * F.col("position") / F.greatest(F.col("group_size") - 1, F.lit(1)))).alias("bin"))
     at = lambda k: F.avg(F.when(F.col("bin") == k, F.col("y")))
     return b.groupBy("q").agg(F.round(at(5) - at(1), 6).alias("spread"), F.count("*").alias("n"))
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridian.functions import scalar as sc
-from meridian.operators import inference, sessions
+from meridian.operators import inference, order, sessions
 from meridian.operators.families import classify
 from meridian.session import estimated_bytes, shuffle_partitions
 
@@ -49,9 +49,22 @@ def test_row_index_is_the_total_order(spark):
     rng = random.Random(3)
     values = [(rng.randint(0, 50), i) for i in range(2000)]
     df = spark.createDataFrame(values, "a int, b int").repartition(9)
-    got = [(r.a, r.b) for r in sessions.row_index(df, [F.col("a"), F.col("b")]).orderBy("index").collect()]
+    got = [(r.a, r.b) for r in order.row_index(df, [F.col("a"), F.col("b")]).orderBy("index").collect()]
     assert got == sorted(values)
-    assert sessions.row_index(df.where("false"), [F.col("a")]).count() == 0
+    assert order.row_index(df.where("false"), [F.col("a")]).count() == 0
+
+
+def test_positions_and_ranks_within_groups(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, *range(9)]), i) for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, v int, i int").repartition(6)
+    got = {r.i: (r.position, r.group_size) for r in order.position_in_group(df, ["g"], [F.col("v"), F.col("i")]).collect()}
+    for g in ("a", "b", None):
+        mine = sorted((-1 if v is None else v, i) for h, v, i in rows if h == g)
+        assert [got[i] for _, i in mine] == [(k, len(mine)) for k in range(len(mine))]
+    for r in order.value_ranks(df, ["g"], "v").collect():
+        values = [v for h, v, _ in rows if h == r.g and v is not None]
+        assert (r.lowest, r.ties, r.group_size) == (1 + sum(v < r.v for v in values), values.count(r.v), len(values))
 
 
 def test_forward_change(spark):
