@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meridian.session import broadcast_if_small
-
 
 def quarter_index(day: Column) -> Column:
     return F.year(day) * 4 + F.quarter(day) - 1
@@ -26,20 +24,20 @@ def walk_forward(rows: DataFrame, day: str, *, closes: str | None = None, window
     from any time or from the ``window`` quarters before it. With ``closes``,
     training rows whose outcome closes on or after the start are purged; a null
     close is kept. Quarters before ``first`` and without training rows are no
-    folds. The folds are the quarters present: as many as the calendar has.
+    folds. The folds are the quarters present, as many as the calendar has; each
+    row is copied to the folds it trains, without a join.
     """
     q = rows.where(F.col(day).isNotNull()).withColumn("_q", quarter_index(F.col(day)))
     folds = q.select(F.col("_q").alias("fold")).distinct()
     if first is not None:
         folds = folds.where(F.col("fold") >= first)
-    before = F.col("_q") < F.col("fold")
-    if window is not None:
-        before = before & (F.col("_q") >= F.col("fold") - window)
-    train = q.join(broadcast_if_small(folds), before)
+    quarters = F.array(*(F.lit(r["fold"]) for r in folds.orderBy("fold").collect())).cast("array<int>")
+    later = F.filter(quarters, lambda x: (x > F.col("_q")) & (x <= F.col("_q") + window if window is not None else F.lit(True)))
+    train = q.withColumn("fold", F.explode(later))
     if closes is not None:
         train = train.where(F.col(closes).isNull() | (F.col(closes) < quarter_start(F.col("fold"))))
-    usable = train.select("fold").distinct()
-    test = q.withColumn("fold", F.col("_q")).join(usable, "fold", "left_semi")
+    usable = train.select("fold").distinct()  # no more than quarters
+    test = q.withColumn("fold", F.col("_q")).join(F.broadcast(usable), "fold", "left_semi")
     return train.withColumn("role", F.lit("train")).unionByName(test.withColumn("role", F.lit("test")).select(*train.columns, "role")).drop("_q")
 
 

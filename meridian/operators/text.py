@@ -238,6 +238,109 @@ def sections_by_heading(text: str) -> list[tuple[str, int, int, str]]:
     return [(item, pos, end, title) for (pos, item, title), end in zip(starts, ends)]
 
 
+class _Anchors(HTMLParser):
+    """Text of a page with the place of every id and the links that lead to one."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts: list[str] = []
+        self.size = 0
+        self.places: dict[str, int] = {}
+        self.links: list[tuple[str, str]] = []
+        self.link: str | None = None
+        self.words: list[str] = []
+
+    def _add(self, text: str) -> None:
+        self.parts.append(text)
+        self.size += len(text)
+
+    def handle_starttag(self, tag, attrs):
+        at = dict(attrs)
+        if tag in _Text.BLOCK:
+            self._add("\n")
+        for name in (at.get("id"), at.get("name") if tag == "a" else None):
+            if name:
+                self.places.setdefault(name, self.size)
+        if tag == "a" and (at.get("href") or "").startswith("#"):
+            self.link, self.words = at["href"][1:], []
+
+    def handle_endtag(self, tag):
+        if tag in _Text.BLOCK:
+            self._add("\n")
+        elif tag == "a" and self.link is not None:
+            self.links.append((self.link, " ".join("".join(self.words).split())))
+            self.link = None
+
+    def handle_data(self, data):
+        self._add(data)
+        if self.link is not None:
+            self.words.append(data)
+
+
+_ENTRY = re.compile(r"^item\s+(\d+[a-z]?)\b", re.I)
+
+
+def extract_section(page: str, item: str, least_words: int = 5) -> tuple[str, str, str | None]:
+    """``(text, method, problem)`` of an item's section.
+
+    First by the table of contents: the span from the anchor that the item's
+    entry leads to up to the next different anchor of an entry. Guards: the span
+    must start with the item's heading and have ``least_words`` words. Else by
+    headings (``sections_by_heading``). ``problem`` says what is wrong with the
+    result: ``not_found``, ``short`` or ``foreign_heading``; the text is kept.
+    """
+    parser = _Anchors()
+    parser.feed(page)
+    parser.close()
+    whole = "".join(parser.parts)
+    entries = [(m.group(1).upper(), parser.places[to]) for to, label in parser.links if to in parser.places and (m := _ENTRY.match(label))]
+    starts = sorted({at for _, at in entries})
+    tidy = lambda t: "\n".join(x for x in (" ".join(line.split()) for line in t.split("\n")) if x)
+    fallback = None
+    for name, at in entries:
+        if name == item.upper():
+            end = next((s for s in starts if s > at), len(whole))
+            text = tidy(whole[at:end])
+            head = _HEADING.match(text.split("\n", 1)[0]) if text else None
+            if head and head.group(1).upper() == item.upper() and len(text.split()) >= least_words:
+                return text, "anchor", None
+            if text and fallback is None:
+                fallback = (text, "anchor", "short" if len(text.split()) < least_words else "foreign_heading")
+    lines = tidy(whole)
+    for name, a, b, _ in sections_by_heading(lines):
+        if name == item.upper():
+            text = lines[a:b].strip()
+            return text, "heading", None if len(text.split()) >= least_words else "short"
+    return fallback or ("", "none", "not_found")
+
+
+def extracted_sections(rows: DataFrame, keys: list[str], page: str, items: list[str], least_words: int = 5) -> DataFrame:
+    """``(keys, item, text, method, problem)``: one row for each item asked of each page; null pages have ``not_found``."""
+    schema = T.StructType([*(rows.schema[k] for k in keys), *(T.StructField(n, T.StringType()) for n in ("item", "text", "method", "problem"))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at, out = [], []
+            for i, t in enumerate(batch["_page"]):
+                for item in items:
+                    at.append(i)
+                    out.append((item, *extract_section(t if isinstance(t, str) else "", item, least_words)))
+            yield pd.concat([batch[keys].iloc[at].reset_index(drop=True), pd.DataFrame(out, columns=["item", "text", "method", "problem"])], axis=1)
+
+    return rows.select(*keys, F.col(page).alias("_page")).mapInPandas(run, schema)
+
+
+def word_windows(rows: DataFrame, keys: list[str], text: str, width: int, step: int, most: int = 64) -> DataFrame:
+    """``(keys, window, n_words, words)``: windows of ``width`` words every ``step`` words, at most ``most`` of a text; the last one reaches its end."""
+    words = F.filter(F.split(collapsed(F.col(text)), " "), lambda w: w != "")
+    w = rows.where(F.col(text).isNotNull()).select(*keys, words.alias("_w")).where(F.size("_w") > 0)
+    last = F.greatest(F.ceil((F.size("_w") - width) / step), F.lit(0))
+    starts = F.transform(F.sequence(F.lit(0).cast("long"), F.least(last, F.lit(most - 1).cast("long"))), lambda i: i)
+    cut = w.select(*keys, "_w", F.explode(starts).alias("window"))
+    part = F.slice("_w", (F.col("window") * step + 1).cast("int"), width)
+    return cut.select(*keys, F.col("window").cast("int").alias("window"), F.size(part).alias("n_words"), F.array_join(part, " ").alias("words"))
+
+
 def letter_share(text: Column) -> Column:
     """Share of letters among the characters that are not whitespace; null without any."""
     solid = F.length(F.regexp_replace(text, SPACE, ""))

@@ -15,7 +15,8 @@ from meridian.operators.asof import duration_bucket, partner_near
 from meridian.operators.families import classify
 from meridian.operators.order import position_in_group, row_index
 from meridian.plans.reference import _BUCKET, _DAILY, _F, _PARA, _X, _daily, _occurrences, facts, filings
-from meridian.session import broadcast_if_small, table
+from meridian.session import broadcast_if_small, shared_folder, table
+from meridian.streaming import journal
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -313,6 +314,36 @@ def self_mentions(spark, d):
     return j.groupBy("accession_number", "section_type").agg(F.count("*").alias("n"), F.count_if(F.contains(F.lower("text"), F.lower("ticker"))).alias("n_self"))
 
 
+@query("""
+with e as (select user_id, event_id, ts, event_type, value, row_number() over (partition by user_id order by event_id desc) rn, count(*) over (partition by user_id) n from events)
+select user_id, event_id, event_type, round(value, 6) as value, n as n_events from e where rn = 1""")
+def last_event_of_stream(spark, d):
+    """Events processed as a stream into a journal that can be resumed; the journal replayed to the last event of each user."""
+    folder = shared_folder(spark, "events")
+    schema = table(spark, d, "events").schema
+    step = lambda df: df.select("user_id", "event_id", "event_type", "value")
+    journal.process_stream(spark, f"{d}/events.parquet*", schema, f"{folder}/journal", f"{folder}/state", step, ["event_id"])
+    rows = journal.read_journal(spark, f"{folder}/journal", "user_id long, event_id long, event_type string, value double")
+    last = journal.replay(rows, ["user_id"], ["event_id"])
+    n = rows.groupBy("user_id").agg(F.count("*").alias("n_events"))
+    return last.join(n, "user_id").select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"), "n_events")
+
+
+@query(f"""
+with {_X}, e as (select cik, period_end, value, filed, row_number() over (partition by cik, period_end order by filed, accession_number, fact_id) rn from x
+   where concept = 'EarningsPerShareDiluted' and value is not null and period_end is not null),
+p as (select cik, period_end, value from e where rn = 1),
+w as (select *, avg(value) over b as m, stddev_samp(value) over b as s, count(value) over b as k from p window b as (partition by cik order by period_end rows between 8 preceding and 1 preceding))
+select cik, period_end, case when k >= 3 and s > 1e-9 then round((value - m) / s, 6) end as surprise, k as n_prior from w""")
+def standardised_surprise(spark, d):
+    """Each first-filed value against the mean and deviation of the up to eight periods before; null under three."""
+    x = facts(spark, d).where("concept = 'EarningsPerShareDiluted' and value is not null and period_end is not null")
+    p = x.groupBy("cik", "period_end").agg(F.min(F.struct("filed", "accession_number", "fact_id", "value"))["value"].alias("value"))
+    w = Window.partitionBy("cik").orderBy("period_end").rowsBetween(-8, -1)
+    m, s, k = F.avg("value").over(w), F.stddev_samp("value").over(w), F.count("value").over(w)
+    return p.select("cik", "period_end", F.when((k >= 3) & (s > 1e-9), F.round((F.col("value") - m) / s, 6)).alias("surprise"), k.alias("n_prior"))
+
+
 @query()
 def slope_with_wild_bootstrap(spark, d):
     """Slope of an order's value on its quantity, with a p-value that respects clusters of customers."""

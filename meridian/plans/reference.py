@@ -440,9 +440,8 @@ def forward_filled(spark, d):
     """Every day of the calendar between a user's first and last, with the last value known; nothing after the last."""
     e = _daily(spark, d)
     days = e.select("day").distinct()
-    calendar = days.agg(F.array_sort(F.collect_set("day")).alias("_days"))  # one row: the calendar
     u = e.groupBy("user_id").agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    g = u.join(F.broadcast(calendar)).select("user_id", F.explode(F.filter("_days", lambda x: x.between(F.col("a"), F.col("b")))).alias("day"))
+    g = u.select("user_id", F.explode(F.sequence("a", "b")).alias("day")).join(broadcast_if_small(days), "day", "left_semi")
     w = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     return g.join(e, ["user_id", "day"], "left").select("user_id", "day", F.round(F.last("v", ignorenulls=True).over(w), 6).alias("v"), F.col("v").isNull().alias("filled"))
 

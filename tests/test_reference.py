@@ -138,6 +138,27 @@ def test_text_operators(spark):
     assert [(x.k, x.position, x.paragraph) for x in r] == [(1, 0, "a b c d")]
 
 
+PAGE = """<html><body><p><a href="#i1">Item 1. Business</a> <a href="#i7">Item 7. Discussion</a> <a href="#bad">Item 8. Statements</a></p>
+<p id="i1"><b>Item 1.</b> Business</p><p>We make valves and pumps for ships.</p><a name="i7"></a><div>Item 7. Discussion</div><p>Sales rose by a tenth this year.</p>
+<p id="bad">Signatures follow here on the next page.</p><p>Item 9A. Controls</p><p>Controls were effective at the end of the year.</p></body></html>"""
+
+
+def test_sections_by_anchor_and_heading(spark):
+    assert tx.extract_section(PAGE, "1") == ("Item 1. Business\nWe make valves and pumps for ships.", "anchor", None)
+    assert tx.extract_section(PAGE, "7")[0].startswith("Item 7. Discussion\nSales") and tx.extract_section(PAGE, "7")[1:] == ("anchor", None)
+    assert tx.extract_section(PAGE, "9A")[1:] == ("heading", None) and "effective" in tx.extract_section(PAGE, "9A")[0]
+    assert tx.extract_section(PAGE, "8")[1:] == ("anchor", "foreign_heading") and tx.extract_section(PAGE, "3") == ("", "none", "not_found")
+    df = spark.createDataFrame([(1, PAGE), (2, None)], "k int, page string")
+    got = {(r.k, r["item"]): (r.method, r.problem) for r in tx.extracted_sections(df, ["k"], "page", ["1", "3"]).collect()}
+    assert got == {(1, "1"): ("anchor", None), (1, "3"): ("none", "not_found"), (2, "1"): ("none", "not_found"), (2, "3"): ("none", "not_found")}
+
+
+def test_word_windows(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g"), (2, "a"), (3, None), (4, " ")], "k int, t string")
+    got = sorted((r.k, r.window, r.words) for r in tx.word_windows(df, ["k"], "t", 3, 2).collect())
+    assert got == [(1, 0, "a b c"), (1, 1, "c d e"), (1, 2, "e f g"), (2, 0, "a")]
+
+
 def test_packed_windows(spark):
     items = [("s", i, f"p{i}", w) for i, w in enumerate([200, 100, 60, 350, 99, 40])] + [("t", 0, "x", 99), ("u", 0, "y", 100)]
     got = tx.packed_windows(spark.createDataFrame(items, "s string, p int, i string, w int"), ["s"], "p", "i", "w").collect()
