@@ -762,9 +762,9 @@ def fold_census(spark, d):
 
 
 @query(f"""{_FOLDS}, m as (select fold, g, avg(y) v from t group by 1, 2), a as (select fold, avg(y) v from t group by 1)
-select r.q as fold, r.id, round(coalesce(m.v, a.v), 4) as prediction from r join a on a.fold = r.q left join m on m.fold = r.q and m.g = r.g""")
+select r.q as fold, r.id, round(coalesce(m.v, a.v), 6) as prediction from r join a on a.fold = r.q left join m on m.fold = r.q and m.g = r.g""")
 def group_mean_prediction(spark, d):
-    return fo.group_mean_prediction(_fold_rows(spark, d), "g", "y", "id").withColumn("prediction", F.round("prediction", 4))
+    return fo.group_mean_prediction(_fold_rows(spark, d), "g", "y", "id").withColumn("prediction", F.round("prediction", 6))
 
 
 @query()
