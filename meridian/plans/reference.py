@@ -741,7 +741,7 @@ def placebo_uniform(spark, d):
 
 # --- folds and models --------------------------------------------------------------
 
-_ROWS = "r as (select o_orderkey id, o_custkey c, cast(o_orderdate as date) d, cast(o_orderdate as date) + 63 as e, year(o_orderdate) * 4 + quarter(o_orderdate) - 1 as q, o_totalprice y, o_orderpriority g from orders)"
+_ROWS = "r as (select o_orderkey id, o_custkey c, cast(o_orderdate as date) d, cast(o_orderdate as date) + 63 as e, year(o_orderdate) * 4 + quarter(o_orderdate) - 1 as q, round(o_totalprice * 100)::bigint y, o_orderpriority g from orders)"
 _FOLDS = f"""with {_ROWS}, k as (select distinct q as fold, make_date((q // 4)::int, (q % 4 * 3 + 1)::int, 1) as s from r where q >= 7982),
 t as (select k.fold, r.* from k join r on r.q < k.fold and r.q >= k.fold - 4 and r.e < k.s),
 u as (select fold, count(*) n from t group by fold)"""
@@ -750,7 +750,7 @@ u as (select fold, count(*) n from t group by fold)"""
 def _fold_rows(spark, d):
     o = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("d"), F.date_add(F.to_date("o_orderdate"), 63).alias("e"),
-        F.col("o_totalprice").alias("y"), F.col("o_orderpriority").alias("g"), F.col("o_custkey").alias("c"),
+        F.round(F.col("o_totalprice") * 100).cast("long").alias("y"), F.col("o_orderpriority").alias("g"), F.col("o_custkey").alias("c"),
     )
     return fo.walk_forward(o, "d", closes="e", window=4, first=7982)
 
