@@ -773,6 +773,18 @@ def ridge_prediction(spark, d):
     return fo.ridge_predictions(rows, ["x1", "x2"], "y", "id")
 
 
+@query(f"""{_FOLDS}, m as (select fold, g, avg(y) v from t group by 1, 2), a as (select fold, avg(y) v from t group by 1),
+p as (select r.q as fold, r.y, coalesce(m.v, a.v) as p from r join a on a.fold = r.q left join m on m.fold = r.q and m.g = r.g),
+z as (select fold, rank() over (partition by fold order by p) + (count(*) over (partition by fold, p) - 1) / 2.0 as a, rank() over (partition by fold order by y) + (count(*) over (partition by fold, y) - 1) / 2.0 as b from p)
+select fold, count(*) as n, case when count(*) >= 3 and stddev_pop(a) > 0 and stddev_pop(b) > 0 then round(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)), 6) end as ic from z group by fold""")
+def walk_forward_ic(spark, d):
+    """Rank correlation of prediction and outcome in each fold."""
+    rows = _fold_rows(spark, d)
+    p = fo.group_mean_prediction(rows, "g", "y", "id")
+    outcome = rows.where("role = 'test'").select("fold", "id", "y")
+    return sq.rank_correlation(p.join(outcome, ["fold", "id"]), "fold", "prediction", "y").withColumn("ic", F.round("ic", 6))
+
+
 @query("""
 select label, dim - 1 as dim, round(avg(v), 5) as mean from (select label, unnest(embedding) v, generate_subscripts(embedding, 1) dim from embeddings) group by 1, 2""")
 def pooled_embedding(spark, d):
