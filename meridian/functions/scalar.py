@@ -75,3 +75,23 @@ def period_label(bucket: Column, end: Column, fiscal_year: Column) -> Column:
 def has_item(items: Column, item: str) -> Column:
     """Whether a comma-parted list has exactly this element."""
     return F.coalesce(F.array_contains(F.transform(F.split(items, ","), lambda x: F.btrim(x)), item), F.lit(False))
+
+
+def masked(value: Column, *unless: Column) -> Column:
+    """The value, or null where one of the conditions holds; a null condition doesn't."""
+    hide = F.lit(False)
+    for c in unless:
+        hide = hide | F.coalesce(c, F.lit(False))
+    return F.when(~hide, value)
+
+
+def in_ranges(number: Column, exact: dict[int, str], ranges: list[tuple[int, int, str]], otherwise: str) -> Column:
+    """The label of an exact code, else of the first range (both bounds count) that holds it, else ``otherwise``; null and non-positive codes too."""
+    hits = [F.when(number == k, v) for k, v in exact.items()] + [F.when(number.between(a, b), v) for a, b, v in ranges]
+    return F.when(number > 0, F.coalesce(*hits, F.lit(otherwise))).otherwise(otherwise)
+
+
+def unwrapped_document(raw: Column) -> Column:
+    """The content of the first ``<TEXT>`` of a document wrapper, or the whole text without one."""
+    inner = F.regexp_extract(raw, r"(?is)<TEXT>\s*(.*?)\s*</TEXT>", 1)
+    return F.when(inner != "", inner).otherwise(raw)

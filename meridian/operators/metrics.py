@@ -80,3 +80,21 @@ def pooled_rate(strata: DataFrame, weight: str, hits: str, n: str, z: float = Z)
     e = F.col("n_eff")
     centre, half = (rate + z * z / (2 * e)) / (1 + z * z / e), z * F.sqrt(rate * (1 - rate) / e + z * z / (4 * e * e)) / (1 + z * z / e)
     return s.select(rate.alias("rate"), "n_eff", (centre - half).alias("lower"), (centre + half).alias("upper"))
+
+
+def paired_measures(rows: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
+    """``(group, n, mean_difference, mean_size, correlation)`` of two measurements of the same things; the correlation is null for fewer than 3 or without variance."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    pairs = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    s = pairs.groupBy(*group).agg(
+        F.count("*").alias("n"), F.avg(x - y).alias("mean_difference"), F.avg(F.abs(x - y)).alias("mean_size"),
+        F.covar_pop(x, y).alias("_c"), F.stddev_pop(x).alias("_a"), F.stddev_pop(y).alias("_b"),
+    )
+    fine = (F.col("n") >= 3) & (F.col("_a") > 0) & (F.col("_b") > 0)
+    return s.select(*group, "n", "mean_difference", "mean_size", F.when(fine, F.col("_c") / (F.col("_a") * F.col("_b"))).alias("correlation"))
+
+
+def fold_deltas(scores: DataFrame, fold: str, block: str, score: str, baseline: str) -> DataFrame:
+    """``(fold, block, delta)``: each block's score less the baseline's in the same fold; folds without a baseline are left out."""
+    base = scores.where(F.col(block) == baseline).select(fold, F.col(score).alias("_base"))
+    return scores.where(F.col(block) != baseline).join(base, fold).select(fold, block, (F.col(score) - F.col("_base")).alias("delta"))

@@ -51,3 +51,20 @@ def drift(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -
     both = a.join(b, keys, "full")
     change = F.when(F.col("_in_old").isNull(), "added").when(F.col("_in_new").isNull(), "removed").when(~F.col("_old").eqNullSafe(F.col("_new")), "changed")
     return both.withColumn("change", change).where("change is not null").select(*keys, "change")
+
+
+def one_owner(rows: DataFrame, key: str, owner: str) -> DataFrame:
+    """``(key, owner)``; a key with more than one owner is an error."""
+    pairs = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(owner).alias(owner), F.max(owner).alias("_other"))
+    bad = pairs.where(~F.col(owner).eqNullSafe(F.col("_other"))).limit(5).collect()
+    if bad:
+        raise AssertionError(f"keys with several owners, among them {[r[key] for r in bad]}")
+    return pairs.drop("_other")
+
+
+def attached(rows: DataFrame, owners: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the owner of their key; a row without one is an error."""
+    lost = rows.join(owners, key, "left_anti").limit(5).collect()
+    if lost:
+        raise AssertionError(f"keys without an owner, among them {[r[key] for r in lost]}")
+    return rows.join(owners, key)

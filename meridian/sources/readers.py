@@ -159,3 +159,30 @@ def index_pages(pages: DataFrame, keys: list[str], page: str) -> DataFrame:
             yield pd.concat([batch[keys].iloc[at].reset_index(drop=True), made], axis=1)
 
     return pages.select(*keys, F.col(page).alias("_page")).mapInPandas(run, schema)
+
+
+def override_file(spark: SparkSession, path: str, schema: str, key: list[str], required: dict[str, int]) -> DataFrame:
+    """A commented CSV of overrides, checked before use.
+
+    Lines that start with ``#`` are comments. A repeated key, a null in the key,
+    or a text of ``required`` (column: least length) that is too short is an
+    error, as a wrong override is worse than none.
+    """
+    rows = spark.read.schema(schema).option("header", True).option("comment", "#").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    bad = F.lit(False)
+    for k in key:
+        bad = bad | F.col(k).isNull()
+    for c, least in required.items():
+        bad = bad | (F.length(F.coalesce(F.col(c), F.lit(""))) < least)
+    wrong = rows.where(bad).limit(5).collect()
+    twice = rows.groupBy(*key).count().where("count > 1").limit(5).collect()
+    if wrong or twice:
+        raise ValueError(f"{path}: {len(wrong)} rows fail their checks, {len(twice)} keys are repeated, among them {[tuple(r)[:2] for r in [*wrong, *twice]]}")
+    return rows
+
+
+def without_excluded(rows: DataFrame, exclusions: DataFrame, key: str, day: str, first: str, last: str) -> DataFrame:
+    """``rows`` without those whose key is excluded on their day; an empty bound of an exclusion is unbounded, both bounds count."""
+    x = exclusions.select(F.col(key).alias("_k"), F.col(first).cast("date").alias("_a"), F.col(last).cast("date").alias("_b"))
+    on = (F.col(key) == F.col("_k")) & (F.col("_a").isNull() | (F.col(day) >= F.col("_a"))) & (F.col("_b").isNull() | (F.col(day) <= F.col("_b")))
+    return rows.join(x, on, "left_anti")

@@ -57,3 +57,37 @@ def write_with_manifest(rows: DataFrame, path: str, inputs: dict[str, DataFrame]
 def same_as_manifest(rows: DataFrame, manifest: dict) -> bool:
     """Whether the rows are those that the manifest was written for."""
     return digest(rows) == (manifest["rows"], manifest["digest"])
+
+
+def write_shard(rows: DataFrame, path: str, shard: int, run: str) -> bool:
+    """Write one shard unless this run has finished it; true if it was written.
+
+    A marker with the run and the number of rows is written after the data, so
+    a shard that was interrupted is written again.
+    """
+    spark = rows.sparkSession
+    done = _markers(spark, path)
+    if any(r["shard"] == shard and r["run"] == run for r in done):
+        return False
+    rows.write.mode("overwrite").parquet(f"{path}/data/shard={shard}")
+    n = spark.read.parquet(f"{path}/data/shard={shard}").count()
+    spark.createDataFrame([(shard, run, n)], "shard int, run string, n long").coalesce(1).write.mode("overwrite").json(f"{path}/done/{shard}")
+    return True
+
+
+def _markers(spark, path: str) -> list:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/done")
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return []
+    return spark.read.schema("shard int, run string, n long").option("recursiveFileLookup", True).json(f"{path}/done").collect()
+
+
+def merged_shards(spark, path: str, shards: int, run: str) -> DataFrame:
+    """All shards of a run; missing ones, or a number of rows other than the markers', are errors."""
+    done = {r["shard"]: r["n"] for r in _markers(spark, path) if r["run"] == run}
+    if missing := sorted(set(range(shards)) - set(done)):
+        raise ValueError(f"shards {missing[:20]} are not done")
+    rows = spark.read.parquet(*(f"{path}/data/shard={s}" for s in range(shards)))
+    if (n := rows.count()) != sum(done[s] for s in range(shards)):
+        raise ValueError(f"{n} rows, but the markers say {sum(done.values())}")
+    return rows

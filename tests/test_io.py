@@ -91,3 +91,32 @@ def test_stream_resumes_where_it_stopped(spark, tmp_path):
     journal.process_stream(spark, src, "id int, v int", out, cp, step, ["id"])
     got = journal.read_journal(spark, out, "id int, v int, w int, batch int")
     assert sorted((r.id, r.w) for r in got.collect()) == [(1, 2), (2, 10), (3, 14)]
+
+
+def test_override_files_and_exclusions(spark, tmp_path):
+    schema = "cik long, evidence string, first string, last string"
+    good = put(tmp_path / "o.csv", "# a comment\ncik,evidence,first,last\n1,seen in the filing,2020-01-01,\n# more\n2,seen in a letter,,2020-06-30\n")
+    rows = readers.override_file(spark, good, schema, ["cik"], {"evidence": 8})
+    assert rows.count() == 2
+    for body in ("1,short,,\n", "1,seen in the filing,,\n1,seen in the filing,,\n", ",seen in the filing,,\n"):
+        with pytest.raises(ValueError):
+            readers.override_file(spark, put(tmp_path / "bad.csv", "cik,evidence,first,last\n" + body), schema, ["cik"], {"evidence": 8})
+    events = spark.createDataFrame([(1, "2019-12-31"), (1, "2020-01-01"), (2, "2020-06-30"), (2, "2020-07-01"), (3, "2020-01-01")], "cik long, day string").withColumn("day", F.col("day").cast("date"))
+    left = readers.without_excluded(events, rows, "cik", "day", "first", "last")
+    assert sorted((r.cik, str(r.day)) for r in left.collect()) == [(1, "2019-12-31"), (2, "2020-07-01"), (3, "2020-01-01")]
+
+
+def test_shards_resume_and_merge(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    part = lambda s: spark.range(s * 10, s * 10 + 5 + s)
+    assert sinks.write_shard(part(0), path, 0, "r1") and not sinks.write_shard(part(0), path, 0, "r1")
+    with pytest.raises(ValueError, match="not done"):
+        sinks.merged_shards(spark, path, 2, "r1")
+    assert sinks.write_shard(part(1), path, 1, "r1") and sinks.merged_shards(spark, path, 2, "r1").count() == 11
+    assert sinks.write_shard(part(1), path, 1, "r2")
+    with pytest.raises(ValueError):
+        sinks.merged_shards(spark, path, 2, "r2")
+    part(2).write.mode("overwrite").parquet(f"{path}/data/shard=0")
+    sinks.write_shard(part(1), path, 1, "r1")
+    with pytest.raises(ValueError, match="markers"):
+        sinks.merged_shards(spark, path, 2, "r1")

@@ -138,3 +138,34 @@ def test_entry_points(spark):
     names = e.queries()
     assert set(e.oracle_sql()) <= set(names) and {"p3_found", "p4_found", "p7_found"} <= set(names)
     assert e.entry(spark).columns == ["accession_number", "cik", "filing_date", "public_float", "float_filed"]
+
+
+def test_masks_ranges_and_wrappers(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    n, lit = F.lit(None).cast("boolean"), F.lit
+    assert one(sc.masked(lit(1), lit(False), n)) == 1 and one(sc.masked(lit(1), n, lit(True))) is None
+    code = lambda k: one(sc.in_ranges(lit(k), {6798: "trust"}, [(6000, 6799, "finance"), (1, 999, "farm")], "none"))
+    assert [code(6798), code(6000), code(999), code(5000), code(0)] == ["trust", "finance", "farm", "none", "none"] and one(sc.in_ranges(lit(None).cast("int"), {}, [(1, 2, "a")], "none")) == "none"
+    assert one(sc.unwrapped_document(lit("<DOC>\n<TEXT>\nbody <b>x</b>\n</TEXT></DOC>"))) == "body <b>x</b>" and one(sc.unwrapped_document(lit("plain"))) == "plain"
+
+
+def test_owners(spark):
+    from meridian.operators import quality
+
+    rows = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "acc string, cik int")
+    owners = quality.one_owner(rows, "acc", "cik")
+    assert quality.attached(rows.select("acc"), owners, "acc").count() == 3
+    with pytest.raises(AssertionError, match="a"):
+        quality.one_owner(rows.unionByName(spark.createDataFrame([("a", 9)], "acc string, cik int")), "acc", "cik")
+    with pytest.raises(AssertionError, match="z"):
+        quality.attached(spark.createDataFrame([("z",)], "acc string"), owners, "acc")
+
+
+def test_paired_measures_and_fold_deltas(spark):
+    from meridian.operators import metrics
+
+    df = spark.createDataFrame([("g", 1.0, 2.0), ("g", 2.0, 3.0), ("g", 4.0, 5.0), ("h", 1.0, 1.0), ("h", None, 1.0)], "g string, a double, b double")
+    got = {r.g: (r.n, r.mean_difference, r.correlation) for r in metrics.paired_measures(df, ["g"], "a", "b").collect()}
+    assert got == {"g": (3, -1.0, pytest.approx(1.0)), "h": (1, 0.0, None)}
+    s = spark.createDataFrame([(1, "base", 0.1), (1, "x", 0.3), (2, "x", 0.9), (3, "base", 0.2), (3, "x", 0.1)], "fold int, block string, ic double")
+    assert {(r.fold, round(r.delta, 6)) for r in metrics.fold_deltas(s, "fold", "block", "ic", "base").collect()} == {(1, 0.2), (3, -0.1)}
