@@ -27,7 +27,10 @@ _SPACED = re.compile(r"(?<![^\W_])[a-z](?:([ .\-_*])[a-z](?![^\W_]))(?:\1[a-z](?
 _GAP = re.compile(r"(?<=\w)[^\S\n]{6,}(?=\w)")
 _RUN = re.compile(r"([a-z])\1{2,}")
 _END = re.compile(r"[.!?…]+(?=[\s\"')\]]|$)|[\n\r]+")
-_REST = re.compile(r"[^\w\n]+|_+")
+_REST = re.compile(r" ?(?:[^\w\n ]|_)(?:[^\w\n]|_)*| {2,}")
+_TRIPLES = [3 * chr(c) for c in range(ord("a"), ord("z") + 1)]
+_PLAIN = bytes(c if chr(c).isalnum() or c == 10 else 32 for c in range(128)) + bytes(128)
+_ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in _TABLE) + "]")
 
 
 def _unmask(m: re.Match) -> str:
@@ -58,14 +61,20 @@ def fold(text: str) -> str:
     repeated three times or more.
     """
     if not text.isascii():
-        text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).casefold().translate(_TABLE)
+        text = _ODD.sub(lambda m: _TABLE[ord(m.group())] or "", _MARKS.sub("", unicodedata.normalize("NFKD", text)).casefold())
     else:
         text = text.lower()
     text = _SPACED.sub(lambda m: m.group().replace(m.group(1), ""), text)
-    text = _MASKED.sub(_unmask, text)
-    text = _RUN.sub(r"\1", text)
+    if _HAS_SIGN.search(text):
+        text = _MASKED.sub(_unmask, text)
+    if any(x in text for x in _TRIPLES):
+        text = _RUN.sub(r"\1", text)
     text = _END.sub(" \n ", text)
-    return " " + _REST.sub(" ", text) + " "
+    if text.isascii():
+        text = text.encode("ascii").translate(_PLAIN).decode("ascii")
+    else:
+        text = _REST.sub(" ", text)
+    return " " + " \n ".join(" ".join(p.split()) for p in text.split("\n")) + " "
 
 
 # --- lexicon ----------------------------------------------------------------------
@@ -258,7 +267,7 @@ def score(text: str | None) -> tuple[float, float, int, str | None]:
         return 0.0, 0.0, 0, None
     found, n = passages(text)
     bad = [(w, c) for w, c in found if w >= LEAST]
-    if _GAP.search(text):  # a long gap may part two words, or one word in two
+    if "      " in text and _GAP.search(text):  # a long gap may part two words, or one word in two
         other, _ = passages(_GAP.sub("", text))
         if sum(w >= LEAST for w, _ in other) > len(bad):
             found, bad = other, [(w, c) for w, c in other if w >= LEAST]
