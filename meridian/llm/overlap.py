@@ -1,21 +1,14 @@
 """Same and almost same records across splits.
 
-Candidates come from a sparse suffix array over the words of all texts. Of each
-text only some suffixes are kept, those that start at an anchor (below), and
-they are ordered by their head, the first ``HEAD`` words, partition by
-partition. Neighbours of different splits whose common prefix has at least
-``HEAD`` words reveal a span that their records share. An exact test follows.
-
-Anchors: of each ``WINDOW`` consecutive suffixes the one whose head is rarest in
-the whole corpus. Two texts that share a span of ``HEAD + WINDOW - 1`` words
-have an anchor in common, whatever surrounds the span.
-
-Heads that stand in very many texts (notices printed everywhere) would pair all
-of these. Texts with such a head are entered by other suffixes instead: those
-that start at their rarest shingles, as many as a similarity of ``LEAST`` needs
-at least one of (prefix filter). Two texts that have only frequent heads in
-common are both entered so, and no similar pair of them is lost. Short texts, in
-which a shared span can have fewer words, are entered in the same way.
+Candidates come from a prefix filter, which is exact. The distinct shingles
+(sequences of ``SHINGLE`` words) of each text are ordered from rare to frequent
+by one order for the whole corpus. Two texts of similarity ``LEAST`` have one of
+their rarest shingles in common: the first ``n - ceil(LEAST * n) + 1`` of n are
+enough on both sides, whatever the length of the texts and wherever they differ.
+Every text is entered by these, and nothing else. Of the texts that meet in a
+shingle those are candidates whose numbers of shingles, the places of the common
+one and sketches allow the similarity; all three bounds lose no pair. An exact
+test follows.
 """
 
 from __future__ import annotations
@@ -36,8 +29,7 @@ from meridian.functions.wordhash import MULTIPLIER, Words, mix
 from meridian.session import checkpointed, estimated_bytes
 
 HEAD, WINDOW, SHINGLE, LEAST = 12, 6, 3, 0.6
-#: Texts of up to SHORT words; a partner of one at a similarity of 0.6 has at most 5/3 as many.
-SHORT = 24
+SHORT = 24  # words of a short text
 SLOTS = 1 << 21  # counters of the frequency sketch, one byte each when broadcast
 HOT = 64  # a head is frequent from this count on, beyond what the sketch counts by chance (its mean and six deviations)
 FEW = 1_000_000  # ids up to which a broadcast stands in for a shuffle of texts
@@ -51,23 +43,26 @@ def _slot(h: np.ndarray) -> np.ndarray:
 _PARTS, _FAN_IN = 16, 64
 
 
-def _sketch_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+def _sketch_task(lengths: tuple[int, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    lane = TaskContext.get().partitionId()
-    counts = [np.zeros(SLOTS, dtype=np.uint32) for _ in range(2)]
-    for batch in batches:
-        words = Words(batch.column(0))
-        for k, q in enumerate((HEAD, SHINGLE)):
-            h, _ = words.grams(q)
-            counts[k] += np.bincount(_slot(h), minlength=SLOTS).astype(np.uint32)
-    for k in range(2):
-        for i, part in enumerate(np.split(counts[k], _PARTS)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k * _PARTS + i], pa.int32()), pa.array([lane], pa.int32()), pa.array([zlib.compress(part.astype(np.uint64).tobytes(), 1)])],
-                    names=["part", "lane", "counts"],
-                )
+        lane = TaskContext.get().partitionId()
+        counts = [np.zeros(SLOTS, dtype=np.uint32) for _ in lengths]
+        for batch in batches:
+            words = Words(batch.column(0))
+            for k, q in enumerate(lengths):
+                h, _ = words.grams(q)
+                counts[k] += np.bincount(_slot(h), minlength=SLOTS).astype(np.uint32)
+        for k in range(len(lengths)):
+            for i, part in enumerate(np.split(counts[k], _PARTS)):
+                if part.any():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([k * _PARTS + i], pa.int32()), pa.array([lane], pa.int32()), pa.array([zlib.compress(part.astype(np.uint64).tobytes(), 1)])],
+                        names=["part", "lane", "counts"],
+                    )
+
+    return run
 
 
 def _sketch_sum(table: pa.Table) -> pa.Table:
@@ -78,33 +73,42 @@ def _sketch_sum(table: pa.Table) -> pa.Table:
     return pa.table({"part": table.column("part")[:1], "lane": table.column("lane")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)])})
 
 
-def frequencies(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sketches of how often heads and shingles stand in all texts, as logarithms, and the step from which a head is frequent.
+def _counts(texts: DataFrame, lengths: tuple[int, ...]) -> np.ndarray:
+    """Sketches of how often sequences of so many words stand in all texts.
 
     Every text counts. The sketch has a fixed size, so what reaches the driver
     and is broadcast does not grow with the data; the sketches of the tasks are
     added up by a tree. Hashes that share a slot make a sequence seem more
-    frequent than it is, which changes the choice of anchors but loses none.
+    frequent than it is, which changes the order of shingles but loses none.
     """
     schema = "part int, lane int, counts binary"
-    level = texts.mapInArrow(_sketch_task, schema)
+    level = texts.mapInArrow(_sketch_task(lengths), schema)
     lanes = max(texts.rdd.getNumPartitions(), 1)
     while True:
         level = level.withColumn("lane", F.floor(F.col("lane") / _FAN_IN).cast("int")).groupBy("part", "lane").applyInArrow(_sketch_sum, schema)
         lanes = -(-lanes // _FAN_IN)
         if lanes == 1:
             break
-    counts = np.zeros((2, _PARTS, SLOTS // _PARTS), dtype=np.uint64)
+    counts = np.zeros((len(lengths), _PARTS, SLOTS // _PARTS), dtype=np.uint64)
     for r in level.collect():
         counts[divmod(r["part"], _PARTS)] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint64)
-    # a quarter of an octave to a step: a byte holds any count
-    steps = np.ceil(4 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
-    chance = float(counts[0].sum()) / SLOTS
+    return counts.reshape(len(lengths), -1)
+
+
+def _steps(counts: np.ndarray) -> np.ndarray:
+    """A quarter of an octave to a step: a byte holds any count."""
+    return np.ceil(4 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
+
+
+def frequencies(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Frequencies of heads and shingles, as logarithms, and the step from which a head is frequent."""
+    heads, shingles = _counts(texts, (HEAD, SHINGLE))
+    chance = float(heads.sum()) / SLOTS
     hot = HOT + chance + 6 * chance**0.5
-    return steps[0].reshape(-1), steps[1].reshape(-1), int(np.ceil(4 * np.log2(hot + 1)))
+    return _steps(heads), _steps(shingles), int(np.ceil(4 * np.log2(hot + 1)))
 
 
-# --- suffixes ----------------------------------------------------------------------
+# --- prefixes ----------------------------------------------------------------------
 
 
 def _window_minima(key: np.ndarray, owner: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,45 +158,36 @@ def _parities(s: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
     return np.packbits(odd.reshape(count, _SKETCH), axis=1, bitorder="little").view(np.uint64)
 
 
-def suffixes(texts: pa.Array, head_steps: np.ndarray, shingle_steps: np.ndarray, hot: int):
-    """Distinct shingles of each text, and the suffixes kept: ``(order key, text number)`` of those entered by
-    their heads, and ``(order key, text number, rank, sketch)`` of those entered by a rare shingle."""
-    words = Words(texts)
-    h, owner = words.grams(HEAD)
-    key = (head_steps[_slot(h)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
-    key, owner = _window_minima(key, owner, WINDOW)
-    frequent = (key >> np.uint64(56)) >= np.uint64(hot)
-    # texts with frequent heads, and short ones, are entered by their shingles
-    second = np.unique(np.r_[owner[frequent], np.flatnonzero(words.sizes <= SHORT / LEAST + SHINGLE)])
-    every = np.bincount(_distinct_shingles(words)[1], minlength=len(texts)).astype(np.int64)
-    s, so = _distinct_shingles(Words(texts.take(pa.array(second))), shingle_steps)
-    n = np.bincount(so, minlength=len(second)).astype(np.int64)
-    sketch = _parities(s, so, len(second))
+def prefixes(texts: pa.Array, steps: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``(key, text number, rank, shingles of the text, sketch)`` of the rarest shingles of each text, as many as ``LEAST`` needs one of."""
+    s, owner = _distinct_shingles(Words(texts), steps)
+    n = np.bincount(owner, minlength=len(texts)).astype(np.int64)
+    bits = _parities(s, owner, len(texts))
     reps = np.where(n > 0, n - np.ceil(LEAST * n - 1e-9).astype(np.int64) + 1, 0)
     rank = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-    row = np.repeat(np.arange(len(second)), reps)
+    row = np.repeat(np.arange(len(texts)), reps)
     shingle = s[np.repeat(np.cumsum(n) - n, reps) + rank] if len(rank) else np.zeros(0, np.uint64)
-    return every, (mix(key[~frequent]), owner[~frequent]), (mix(shingle + MULTIPLIER), second[row].astype(np.int64), rank, sketch[row])
+    # parts of a sketch laid upon each other are a sketch of fewer bits, which makes the rows shorter
+    bits = np.stack([bits[:, 0], bits[:, 1], bits[:, 2] ^ bits[:, 3]], axis=1)
+    return mix(shingle + MULTIPLIER), row, rank, n[row], bits[row]
 
 
-_ROW = "key long, record long, what long, bits binary"
-_NAMES = ["key", "record", "what", "bits"]
+_ROW = "key long, what long, record long, s0 long, s1 long, s2 long"
+_NAMES = ["key", "what", "record", "s0", "s1", "s2"]
+_MOST = 2**26 - 1
 
 
-def _suffix_rows(records: DataFrame, sketch) -> DataFrame:
-    """``key``, ``record``, ``what`` (rank + 1, distinct shingles and side, packed) and ``bits`` (the sketch, if entered by a shingle)."""
+def _prefix_rows(records: DataFrame, sketch) -> DataFrame:
+    """``key``, ``what`` (distinct shingles, rank and side, packed: its order is that of the first), ``record`` and the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, shingles, hot = sketch.value
         for batch in batches:
             record = batch.column(0).to_numpy(zero_copy_only=False)
             side = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            n, (key, at), (key2, at2, rank, bits) = suffixes(batch.column(2), heads, shingles, hot)
-            base = (np.minimum(n, 2**26 - 1) << 3) | side
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(record[at]), pa.array(base[at]), pa.nulls(len(key), pa.binary())], names=_NAMES)
-            if len(key2):
-                raw = pa.Array.from_buffers(pa.binary(32), len(bits), [None, pa.py_buffer(np.ascontiguousarray(bits).tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(key2.view(np.int64)), pa.array(record[at2]), pa.array(((rank + 1) << 32) | base[at2]), raw], names=_NAMES)
+            key, at, rank, n, bits = prefixes(batch.column(2), sketch.value)
+            what = (np.minimum(n, _MOST) << 29) | (np.minimum(rank, _MOST) << 3) | side[at]
+            halves = (pa.array(np.ascontiguousarray(bits[:, j]).view(np.int64)) for j in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(what), pa.array(record[at]), *halves], names=_NAMES)
 
     return records.select("record", "side", "text").mapInArrow(run, _ROW)
 
@@ -206,17 +201,19 @@ def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=1)
 
 
-def _pairs_of_run(cols: dict[str, np.ndarray], bits: np.ndarray) -> np.ndarray:
-    """Neighbours of different splits with the same order key; cols are ordered by key."""
-    same = cols["key"][1:] == cols["key"][:-1]
+def _pairs_of_run(key: np.ndarray, what: np.ndarray, record: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Pairs of different splits with the same key that may be similar; rows are ordered by key, then by the number of shingles."""
+    same = key[1:] == key[:-1]
     lone = ~(np.r_[False, same] | np.r_[same, False])
-    key, record, side, rank, n = (cols[c][~lone] for c in ("key", "record", "side", "rank", "n"))
-    bits = bits[~lone]
-    side, rank, n = side.astype(np.int8), rank.astype(np.int32), n.astype(np.int32)
+    key, what, record, bits = key[~lone], what[~lone], record[~lone], bits[~lone]
+    side, rank, n = (what & 7).astype(np.int8), (what >> 3) & _MOST, what >> 29
     train, asked = (side & 1) != 0, (side & 6) != 0
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[first, len(key)])
-    stop = np.repeat(first + size, size)  # where each row's run ends
+    run = np.cumsum(np.r_[False, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    # at the first common shingle, what can still follow must suffice (1 for a hash in common): of two texts
+    # with na <= nb shingles, nb is at most ``most`` of a, so a row's partners stand right behind it
+    most = np.floor((n - rank + 1) / _NEED + 1e-6).astype(np.int64) - n - 1
+    span = np.int64(2**27)
+    stop = np.searchsorted(run * span + n, run * span + np.clip(most, 0, span - 1), side="right")
     at = np.arange(len(key))
     found = []
     step = 1
@@ -225,20 +222,11 @@ def _pairs_of_run(cols: dict[str, np.ndarray], bits: np.ndarray) -> np.ndarray:
         if not len(at):
             break
         j = at + step
-        ok = (train[at] & asked[j]) | (asked[at] & train[j])
-        i, j = at[ok], j[ok]
         step += 1
-        ok = (np.minimum(n[i], n[j]) + 1 >= LEAST * np.maximum(n[i], n[j])) & (record[i] != record[j])  # 1 for a hash in common
-        i, j = i[ok], j[ok]
-        # the first common shingle in the common order: what can still follow must suffice, and the sketches must allow it
-        both = n[i] + n[j] + 1
-        enough = (rank[i] < 0) | (np.minimum(n[i] - rank[i], n[j] - rank[j]) + 1 >= both * _NEED - 1e-9)
-        i, j, both = i[enough], j[enough], both[enough]
-        second = np.flatnonzero(rank[i] >= 0)
-        if len(second):
-            keep = np.ones(len(i), dtype=bool)
-            keep[second] = _differ(bits[i[second]], bits[j[second]]) <= both[second] * (1 - 2 * _NEED) + 1e-9
-            i, j = i[keep], j[keep]
+        ok = ((train[at] & asked[j]) | (asked[at] & train[j])) & (n[at] <= most[j]) & (record[at] != record[j])
+        i, j = at[ok], j[ok]
+        near = _differ(bits[i], bits[j]) <= (n[i] + n[j] + 1) * (1 - 2 * _NEED) + 1e-9
+        i, j = i[near], j[near]
         if len(i):
             found.append(np.stack([np.minimum(record[i], record[j]), np.maximum(record[i], record[j])], axis=1))
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
@@ -246,29 +234,25 @@ def _pairs_of_run(cols: dict[str, np.ndarray], bits: np.ndarray) -> np.ndarray:
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs from rows ordered by key; a run of equal keys may go over several batches."""
-    rest: tuple | None = None
+    rest: list[np.ndarray] | None = None
 
-    def emit(cols, bits):
-        pairs = _pairs_of_run(cols, bits)
+    def emit(cols):
+        pairs = _pairs_of_run(*cols)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        cols = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(_NAMES[:3])}
-        what = cols.pop("what")
-        cols |= {"side": what & 7, "n": (what >> 3) & (2**26 - 1), "rank": (what >> 32) - 1}
-        bits = np.zeros((len(what), 4), dtype=np.uint64)
-        if has := b"".join(batch.column(3).drop_null().to_pylist()):
-            bits[cols["rank"] >= 0] = np.frombuffer(has, dtype=np.uint64).reshape(-1, 4)
+        key, what, record, *bits = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(_NAMES)))
+        cols = [key, what, record, np.stack(bits, axis=1).view(np.uint64)]
         if rest is not None:
-            cols = {c: np.concatenate([rest[0][c], x]) for c, x in cols.items()}
-            bits = np.concatenate([rest[1], bits])
-        key = cols["key"]
-        cut = int(np.searchsorted(key, key[-1], side="left"))
+            cols = [np.concatenate(x) for x in zip(rest, cols)]
+        if not len(cols[0]):
+            continue
+        cut = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
         if cut:
-            yield emit({c: x[:cut] for c, x in cols.items()}, bits[:cut])
-        rest = ({c: x[cut:] for c, x in cols.items()}, bits[cut:])
+            yield emit([x[:cut] for x in cols])
+        rest = [x[cut:] for x in cols]
     if rest is not None:
-        yield emit(*rest)
+        yield emit(rest)
 
 
 def _shingle_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,6 +277,8 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         def of(record: int, text: str) -> set:
             if record not in sets:
+                if len(sets) > 2_000:
+                    sets.clear()
                 ws = text.split(" ")
                 sets[record] = set(zip(*(ws[i:] for i in range(SHINGLE))))
             return sets[record]
@@ -320,9 +306,9 @@ def overlapping_pairs(records: DataFrame) -> DataFrame:
     have no partner. Repeated records count once.
     """
     spark = records.sparkSession
-    sketch = spark.sparkContext.broadcast(frequencies(records.select("text")))
-    rows = _suffix_rows(records.where("side <> 0"), sketch)
-    ordered = rows.repartition("key").sortWithinPartitions("key")
+    sketch = spark.sparkContext.broadcast(_steps(_counts(records.select("text"), (SHINGLE,))[0]))
+    rows = _prefix_rows(records.where("side <> 0"), sketch)
+    ordered = rows.repartition("key").sortWithinPartitions("key", "what")
     pairs = checkpointed(ordered.mapInArrow(_neighbours, "a long, b long").distinct())
     pairs = checkpointed(_possible(records, pairs))
     texts = _of_pairs(records, pairs).groupBy("record").agg(F.min("text").alias("text"))

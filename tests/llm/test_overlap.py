@@ -148,3 +148,18 @@ def test_sides_by_look_up_and_by_join(spark, monkeypatch):
     assert {r.record: r.side for r in with_sides(records, "documents", manifest, "doc", "split").collect()} == want
     monkeypatch.setattr(overlap, "estimated_bytes", lambda df: 1 << 40)
     assert {r.record: r.side for r in with_sides(records, "documents", manifest, "doc", "split").collect()} == want
+
+
+def test_edits_strewn_evenly(spark):
+    """Long texts that share no run of HEAD words: every twelfth word replaced, 74 of 122 sequences in common."""
+    a = [f"w{i}" for i in range(1, 101)]
+    b = [f"new{i}" if i % 12 == 0 else w for i, w in enumerate(a, 1)]
+    others = [(10 + k, 1, " ".join(f"o{k}x{i}" for i in range(80))) for k in range(20)]
+    rows = [(1, 1, " ".join(a)), (2, 2, " ".join(b)), *others]
+    assert longest_run(*(t for _, _, t in rows[:2])) < overlap.HEAD
+    assert run(spark, rows) == brute(rows) == {("eval", 1, 2)}
+
+
+def test_no_pair_of_long_texts_is_lost(spark):
+    rows = corpus(1, 150, 40, 120)
+    assert run(spark, rows + rows[:20]) == brute(rows)
