@@ -163,3 +163,10 @@ def test_edits_strewn_evenly(spark):
 def test_no_pair_of_long_texts_is_lost(spark):
     rows = corpus(1, 150, 40, 120)
     assert run(spark, rows + rows[:20]) == brute(rows)
+
+
+def test_words_written_several_times(spark):
+    """A short text against the same words five times: 8 of 10 distinct sequences in common."""
+    words = "a b c d e f g h i j".split()
+    rows = [(1, 1, " ".join(words)), (2, 4, " ".join(words * 5))]
+    assert run(spark, rows) == brute(rows) == {("test", 1, 2)}
