@@ -9,6 +9,7 @@ from meridian.operators import folds as fo
 from meridian.operators import graph, metrics, quality
 from meridian.operators import sequence as sq
 from meridian.operators import text as tx
+from meridian.operators.answers import read_answer
 from meridian.operators.asof import duration_bucket, duration_preference, latest_known, next_after, partner_near
 from meridian.operators.coverage import periods_and_gaps
 from meridian.operators.order import position_in_group, value_ranks
@@ -694,13 +695,20 @@ select case when json_valid(raw_output) then 'json' else 'other' end as kind,
  case when json_valid(raw_output) then json_extract_string(raw_output, '$.sentiment') end as sentiment, count(distinct prediction_id) as n
 from predictions where raw_output is not null and left(raw_output, 13) = '{"sentiment":' group by 1, 2""")
 def parsed_outputs(spark, d):
-    """Answers that are JSON objects with a sentiment: parsed, or not complete."""
+    """Answers that begin with ``{"sentiment":``, as the SQL asks: parsed, or not complete. ``answer_outcomes`` reads every answer."""
     p = table(spark, d, "predictions").where(F.substring("raw_output", 1, 13) == '{"sentiment":').select("prediction_id", "raw_output")
     v = F.try_parse_json("raw_output")
     s = F.try_variant_get(v, "$.sentiment", "string")
     return p.groupBy(F.when(v.isNotNull(), "json").otherwise("other").alias("kind"), s.alias("sentiment")).agg(F.count_distinct("prediction_id").alias("n"))
 
 
+@query()
+def answer_outcomes(spark, d):
+    """Every answer by outcome (parsed, or the reason why not) and sentiment, null answers included."""
+    p = table(spark, d, "predictions").select("prediction_id", "raw_output").distinct().select("prediction_id", read_answer(F.col("raw_output")).alias("r"))
+    return p.groupBy(F.coalesce("r.reason", F.lit("parsed")).alias("outcome"), F.col("r.sentiment").alias("sentiment")).agg(F.count_distinct("prediction_id").alias("n"))
+
+
 @query()
 def plain_documents(spark, d):
     """Documents without markup."""
