@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from meridian.functions import scalar as sc
@@ -11,6 +11,7 @@ from meridian.operators import graph
 from meridian.operators import inference, sessions
 from meridian.operators import sequence as sq
 from meridian.operators import text as tx
+from meridian.operators.answers import read_answer
 from meridian.operators.asof import duration_bucket, partner_near
 from meridian.operators.families import classify
 from meridian.operators.order import position_in_group, row_index
@@ -193,7 +194,7 @@ g as (select chunk_id, prediction_id, list_sort(list_distinct(json_extract_strin
 p as (select a.s x, b.s y from g a join g b on a.chunk_id = b.chunk_id and a.prediction_id < b.prediction_id)
 select count(*) as n_pairs, count(case when x = y then 1 end) as n_same, round(sum(len(list_intersect(x, y))) * 1.0 / nullif(sum(len(list_distinct(list_concat(x, y)))), 0), 6) as pooled_jaccard from p""")
 def flag_set_agreement(spark, d):
-    """Agreement of the flag sets of answers about one chunk. An answer is paired with the later ones of its chunk, of which there are few."""
+    """Agreement of the category sets of answers that begin with ``{"sentiment":``, as the SQL asks. ``flag_set_scores`` covers every answer."""
     p = table(spark, d, "predictions").where(F.substring("raw_output", 1, 13) == '{"sentiment":').select("prediction_id", "chunk_id", "raw_output").distinct()
     v = F.try_parse_json("raw_output")
     flags = F.try_variant_get(v, "$.red_flags", "array<struct<category:string,modality:string>>")
@@ -206,6 +207,30 @@ def flag_set_agreement(spark, d):
     )
 
 
+@query()
+def flag_set_scores(spark, d):
+    """Agreement of the flags of all answers about one chunk, by category and by (category, modality).
+
+    An answer is paired with the later ones of its chunk, of which there are
+    few. A pair with an answer that could not be read is a mismatch, even if the
+    other has no flags; in the Jaccard index such an answer has none.
+    """
+    p = table(spark, d, "predictions").select("prediction_id", "chunk_id", "raw_output").distinct()
+    g = p.select("chunk_id", "prediction_id", read_answer(F.col("raw_output")).alias("r")).select("chunk_id", "prediction_id", F.col("r.reason").isNotNull().alias("failed"), "r.categories", "r.flags")
+    b = g.select("chunk_id", *(F.col(c).alias(f"_{c}") for c in ("prediction_id", "failed", "categories", "flags")))
+    m = g.join(b, "chunk_id").where("prediction_id < _prediction_id")
+    read = ~(F.col("failed") | F.col("_failed"))
+
+    def index(c: str) -> Column:
+        return F.round(F.try_divide(F.sum(F.size(F.array_intersect(c, f"_{c}"))), F.sum(F.size(F.array_union(c, f"_{c}")))), 6)
+
+    return m.agg(
+        F.count("*").alias("n_pairs"), F.count_if(~read).alias("n_failed"),
+        F.count_if(read & (F.col("categories") == F.col("_categories"))).alias("n_same_categories"), F.count_if(read & F.col("flags").eqNullSafe(F.col("_flags"))).alias("n_same_flags"),
+        index("categories").alias("category_jaccard"), index("flags").alias("flag_jaccard"),
+    )
+
+
 @query("""
 with l as (select distinct doc_id, abusive, reviewer, labelled_at from review_labels), r as (select *, row_number() over (partition by doc_id order by labelled_at, reviewer) rn from l)
 select a.abusive as old, b.abusive as new, count(*) as n from r a join r b on a.doc_id = b.doc_id and a.rn = 1 and b.rn = 2 group by 1, 2""")

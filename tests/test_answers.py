@@ -3,7 +3,7 @@
 import json
 from collections import Counter
 
-from meridian.plans import reference
+from meridian.plans import measures, reference
 
 GOOD = '{"sentiment": "POSITIVE", "red_flags": [{"category": "A", "modality": "REALIZED"}]}'
 ANSWERS = [
@@ -37,3 +37,14 @@ def test_outcomes_of_all_answers(spark, tmp_path):
     rows = [(i, "c", a) for i, a in enumerate(ANSWERS)]
     got = {(r.outcome, r.sentiment): r.n for r in reference.answer_outcomes(spark, folder(spark, tmp_path, rows + rows[:3])).collect()}
     assert got == Counter(map(outcome, ANSWERS)) and got["parsed", "POSITIVE"] == 6
+
+
+def test_flag_sets_of_all_answers(spark, tmp_path):
+    other = GOOD.replace("REALIZED", "HYPOTHETICAL")
+    rows = [
+        (1, "a", GOOD), (2, "a", "```json\n" + GOOD + "\n```"), (3, "b", GOOD), (4, "b", json.dumps(json.loads(other), indent=1)),
+        (5, "c", '{"red_flags": []}'), (6, "c", "no answer"), (7, "d", None), (8, "d", None), (9, "e", GOOD),
+    ]
+    (got,) = measures.flag_set_scores(spark, folder(spark, tmp_path, rows + rows[:2])).collect()
+    assert (got.n_pairs, got.n_failed, got.n_same_categories, got.n_same_flags) == (4, 2, 2, 1)
+    assert (got.category_jaccard, got.flag_jaccard) == (1.0, round(1 / 3, 6))
