@@ -838,7 +838,19 @@ r as (select cik, min(unit) u from (select distinct cik, family, unit from conce
 select coalesce(a.cik, r.cik) as cik, case when r.cik is null then 'added' when a.cik is null then 'removed' when a.u is distinct from r.u then 'changed' end as change
 from a full join r on a.cik = r.cik where r.cik is null or a.cik is null or a.u is distinct from r.u""")
 def drift_of_units(spark, d):
-    """Recorded units against those of the facts: added, removed, changed."""
+    """Recorded units of assets against those of the facts: added, removed, changed. ``drift_of_family_units`` covers all families."""
     a = facts(spark, d).where("concept = 'Assets'").groupBy("cik").agg(F.min("unit").alias("u"))
     r = table(spark, d, "concept_resolution").where("family = 'assets'").groupBy("cik").agg(F.min("unit").alias("u"))
     return quality.drift(r, a, ["cik"], ["u"])
+
+
+@query()
+def drift_of_family_units(spark, d):
+    """Recorded units against those of the facts by entity and family, for all families of concepts: added, removed, changed.
+
+    The unit is the least one, as in ``drift_of_units``. Facts of concepts in no family do not count.
+    """
+    family = table(spark, d, "concept_families").select("family", "taxonomy", "concept").distinct()
+    a = table(spark, d, "fundamental_facts").join(F.broadcast(family), ["taxonomy", "concept"]).groupBy("cik", "family").agg(F.min("unit").alias("u"))
+    r = table(spark, d, "concept_resolution").groupBy("cik", "family").agg(F.min("unit").alias("u"))
+    return quality.drift(r, a, ["cik", "family"], ["u"])
