@@ -1,14 +1,18 @@
-"""Same and almost same records across splits.
-
-Candidates come from a prefix filter, which is exact. The distinct shingles
-(sequences of ``SHINGLE`` words) of each text are ordered from rare to frequent
-by one order for the whole corpus. Two texts of similarity ``LEAST`` have one of
-their rarest shingles in common: the first ``n - ceil(LEAST * n) + 1`` of n are
-enough on both sides, whatever the length of the texts and wherever they differ.
-Every text is entered by these, and nothing else. Of the texts that meet in a
-shingle those are candidates whose numbers of shingles, the places of the common
-one and sketches allow the similarity; all three bounds lose no pair. An exact
-test follows.
+"""Same and almost same records across splits, by a sparse suffix array.
+
+The texts are put end to end; symbols are words, ordered by their hashes. Of each
+text those suffixes are kept that start at its rarest distinct shingles
+(sequences of ``SHINGLE`` words), by one order for the whole corpus from rare to
+frequent. Two texts of similarity ``LEAST`` have one of the first
+``n - ceil(LEAST * n) + 1`` of their n shingles in common, on both sides, whatever
+the length of the texts and wherever they differ. So keeping these loses no pair.
+
+The suffixes are ordered by their first words over range partitions. Where
+neighbours have a common prefix of ``SHINGLE`` words or more, a run of the suffix
+array shows a shared span. Members of a run from different splits are candidates
+if their numbers of shingles, the places of the shared one in the order and
+parity sketches of their coverage allow the similarity; these bounds lose no
+pair. An exact test follows.
 """
 
 from __future__ import annotations
@@ -25,74 +29,110 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from meridian.functions.wordhash import MULTIPLIER, Words, mix
-from meridian.session import checkpointed, estimated_bytes
+from meridian.functions.wordhash import Words, mix
+from meridian.session import checkpointed, estimated_bytes, shuffle_partitions
 
-HEAD, WINDOW, SHINGLE, LEAST = 12, 6, 3, 0.6
-SHORT = 24  # words of a short text
+SHINGLE, LEAST = 3, 0.6
 SLOTS = 1 << 21  # counters of the frequency sketch, one byte each when broadcast
-HOT = 64  # a head is frequent from this count on, beyond what the sketch counts by chance (its mean and six deviations)
 FEW = 1_000_000  # ids up to which a broadcast stands in for a shuffle of texts
+SAMPLE = 4096  # keys from which the bounds of the range partitions are taken; they matter for balance alone
+BUCKET_ROWS = 4_000_000  # suffixes to a range partition
+HOT_RUN = 50_000  # a run of more suffixes is cut into fragments of its training texts
+_BLOCK = 2_000_000  # pairs looked at together
+
+_U = np.uint64
+
 
 def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(7)).astype(np.int64) & (SLOTS - 1)
+    return (h >> _U(7)).astype(np.int64) & (SLOTS - 1)
+
+
+def _chunks(column: pa.Array, most_texts: int = 1 << 16, most_bytes: int = 16 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of texts, of bounded number and, unless one text is longer, of bounded size, with their offsets."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        before = ends[at - 1] if at else 0
+        stop = min(max(int(np.searchsorted(ends, before + most_bytes, side="right")), at + 1), at + most_texts)
+        yield at, column.slice(at, stop - at)
+        at = stop
+
+
+class Suffixes:
+    """The suffixes of some texts, end to end, that are SHINGLE words long at least."""
+
+    def __init__(self, texts: pa.Array):
+        words = Words(texts)
+        self.symbols = words.hashes
+        owner = np.repeat(np.arange(len(words.sizes)), words.sizes)
+        inside = max(len(owner) - SHINGLE + 1, 0)
+        self.at = np.flatnonzero(owner[:inside] == owner[SHINGLE - 1 : SHINGLE - 1 + inside])
+        self.owner = owner[self.at]
+
+    def key(self, at: np.ndarray) -> np.ndarray:
+        """First three words of suffixes, 20, 22 and 22 bits of each: the order of keys is that of the words."""
+        h = self.symbols
+        return (h[at] & ~_U(2**44 - 1)) | ((h[at + 1] >> _U(20)) & _U((2**22 - 1) << 22)) | (h[at + 2] >> _U(42))
 
 
 # --- frequencies -------------------------------------------------------------------
 
 _PARTS, _FAN_IN = 16, 64
+_SKETCHED = "part int, lane int, counts binary"
 
 
-def _sketch_task(lengths: tuple[int, ...]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _thinned(keys: np.ndarray) -> np.ndarray:
+    return keys if len(keys) <= SAMPLE else np.random.default_rng(len(keys)).choice(keys, SAMPLE, replace=False)
 
-        lane = TaskContext.get().partitionId()
-        counts = [np.zeros(SLOTS, dtype=np.uint32) for _ in lengths]
-        for batch in batches:
-            words = Words(batch.column(0))
-            for k, q in enumerate(lengths):
-                h, _ = words.grams(q)
-                counts[k] += np.bincount(_slot(h), minlength=SLOTS).astype(np.uint32)
-        for k in range(len(lengths)):
-            for i, part in enumerate(np.split(counts[k], _PARTS)):
-                if part.any():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k * _PARTS + i], pa.int32()), pa.array([lane], pa.int32()), pa.array([zlib.compress(part.astype(np.uint64).tobytes(), 1)])],
-                        names=["part", "lane", "counts"],
-                    )
 
-    return run
+def _sketch_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    lane = TaskContext.get().partitionId()
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    sample = np.zeros(0, dtype=np.uint64)
+    for batch in batches:
+        for _, texts in _chunks(batch.column(0)):
+            suffixes = Suffixes(texts)
+            key = suffixes.key(suffixes.at)
+            counts += np.bincount(_slot(mix(key)), minlength=SLOTS)
+            sample = _thinned(np.concatenate([sample, key[:: max(len(key) // SAMPLE, 1)]]))
+    parts = [(i, part.astype(np.uint64)) for i, part in enumerate(np.split(counts, _PARTS)) if part.any()]
+    for i, part in [*parts, (_PARTS, sample)]:
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([lane], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names=["part", "lane", "counts"])
 
 
 def _sketch_sum(table: pa.Table) -> pa.Table:
-    """Add up the sketches of up to ``_FAN_IN`` tasks."""
-    total = np.zeros(SLOTS // _PARTS, dtype=np.uint64)
-    for raw in table.column("counts").to_pylist():
-        total += np.frombuffer(zlib.decompress(raw), dtype=np.uint64)
+    """Add up the sketches, and thin out the samples, of up to ``_FAN_IN`` tasks."""
+    parts = [np.frombuffer(zlib.decompress(raw), dtype=np.uint64) for raw in table.column("counts").to_pylist()]
+    total = _thinned(np.concatenate(parts)) if table.column("part")[0].as_py() == _PARTS else np.sum(parts, axis=0, dtype=np.uint64)
     return pa.table({"part": table.column("part")[:1], "lane": table.column("lane")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)])})
 
 
-def _counts(texts: DataFrame, lengths: tuple[int, ...]) -> np.ndarray:
-    """Sketches of how often sequences of so many words stand in all texts.
+def frequencies(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How often each shingle stands in all texts, by slots of a sketch, and a sample of keys.
 
     Every text counts. The sketch has a fixed size, so what reaches the driver
     and is broadcast does not grow with the data; the sketches of the tasks are
-    added up by a tree. Hashes that share a slot make a sequence seem more
+    added up by a tree. Hashes that share a slot make a shingle seem more
     frequent than it is, which changes the order of shingles but loses none.
     """
-    schema = "part int, lane int, counts binary"
-    level = texts.mapInArrow(_sketch_task(lengths), schema)
+    level = texts.mapInArrow(_sketch_task, _SKETCHED)
     lanes = max(texts.rdd.getNumPartitions(), 1)
     while True:
-        level = level.withColumn("lane", F.floor(F.col("lane") / _FAN_IN).cast("int")).groupBy("part", "lane").applyInArrow(_sketch_sum, schema)
+        level = level.withColumn("lane", F.floor(F.col("lane") / _FAN_IN).cast("int")).groupBy("part", "lane").applyInArrow(_sketch_sum, _SKETCHED)
         lanes = -(-lanes // _FAN_IN)
         if lanes == 1:
             break
-    counts = np.zeros((len(lengths), _PARTS, SLOTS // _PARTS), dtype=np.uint64)
+    counts = np.zeros((_PARTS, SLOTS // _PARTS), dtype=np.uint64)
+    sample = np.zeros(0, dtype=np.uint64)
     for r in level.collect():
-        counts[divmod(r["part"], _PARTS)] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint64)
-    return counts.reshape(len(lengths), -1)
+        found = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint64)
+        if r["part"] == _PARTS:
+            sample = found
+        else:
+            counts[r["part"]] = found
+    return counts.reshape(-1), sample
 
 
 def _steps(counts: np.ndarray) -> np.ndarray:
@@ -100,96 +140,136 @@ def _steps(counts: np.ndarray) -> np.ndarray:
     return np.ceil(4 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
 
 
-def frequencies(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Frequencies of heads and shingles, as logarithms, and the step from which a head is frequent."""
-    heads, shingles = _counts(texts, (HEAD, SHINGLE))
-    chance = float(heads.sum()) / SLOTS
-    hot = HOT + chance + 6 * chance**0.5
-    return _steps(heads), _steps(shingles), int(np.ceil(4 * np.log2(hot + 1)))
-
-
-# --- prefixes ----------------------------------------------------------------------
-
+def _bounds(sample: np.ndarray, steps: np.ndarray, buckets: int) -> np.ndarray:
+    """Lower bounds of all range partitions but the first, from those sampled keys that are rare enough to be kept."""
+    if not len(sample):
+        return np.zeros(0, dtype=np.uint64)
+    step = steps[_slot(mix(sample))]
+    keys = np.sort(sample[step <= np.quantile(step, 1 - LEAST)])
+    return np.unique(keys[np.arange(1, buckets) * len(keys) // buckets])
 
-def _window_minima(key: np.ndarray, owner: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least key of each w neighbours of one text (of all, if it has fewer), once for each run of windows."""
-    n = len(key)
-    if not n:
-        return key, owner
-    least = key.copy()
-    for j in range(1, w):
-        if n > j:
-            same = owner[j:] == owner[: n - j]
-            np.minimum(least[: n - j], np.where(same, key[j:], np.uint64(2**64 - 1)), out=least[: n - j])
-    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    size = np.diff(np.r_[first, n])
-    at = np.arange(n) - np.repeat(first, size)
-    whole = at <= np.maximum(np.repeat(size, size) - w, 0)
-    least, owner = least[whole], owner[whole]
-    new = np.r_[True, (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])]
-    return least[new], owner[new]
 
+# --- the sparse suffix array ---------------------------------------------------------
 
-_SKETCH = 256  # bits of the sketch of a text's shingles
+_WORDS = 3  # 64-bit words of the parity sketch that goes with a text
 
 
-_HASH = np.uint64(2**46 - 1)  # bits of a shingle's hash that are kept beside the number of its text
+def _distinct_shingles(suffixes: Suffixes, steps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order value, text number and first place of the distinct shingles, text by text; rarest first, if steps are given.
 
-
-def _distinct_shingles(words: Words, steps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hash (46 bits) and text number of the distinct shingles, text by text; rarest first, if the steps of the frequencies are given."""
-    s, owner = words.grams(SHINGLE)
+    The order value has 8 bits for the step and 36 of the hash.
+    """
+    h = mix(suffixes.key(suffixes.at))
+    value = (suffixes.owner.astype(np.uint64) << _U(44)) | (h >> _U(28))
     if steps is not None:
-        s = (steps[_slot(s)].astype(np.uint64) << np.uint64(38)) | (s >> np.uint64(26))
-    packed = (owner.astype(np.uint64) << np.uint64(46)) | (s & _HASH)
-    packed.sort()
-    if len(packed):
-        packed = packed[np.r_[True, packed[1:] != packed[:-1]]]
-    return packed & _HASH, (packed >> np.uint64(46)).astype(np.int64)
+        value |= steps[_slot(h)].astype(np.uint64) << _U(36)
+    if not len(value):
+        return value, suffixes.owner, suffixes.at
+    index = np.argsort(value)
+    value = value[index]
+    start = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+    first = np.minimum.reduceat(suffixes.at[index], start)
+    value = value[start]
+    return value & _U(2**44 - 1), (value >> _U(44)).astype(np.int64), first
 
 
-def _parities(s: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
-    """For each text 256 bits: bit i is the parity of the number of its distinct shingles that hash to i.
+def _parities(value: np.ndarray, owner: np.ndarray, count: int, words: int) -> np.ndarray:
+    """For each text 64 bits x ``words``: bit i is the parity of the number of its distinct shingles that hash to i.
 
     Two texts whose sketches differ in d bits have at least d shingles that only one of them has.
     """
-    bit = (s >> np.uint64(9)).astype(np.int64) & (_SKETCH - 1)
-    odd = (np.bincount(owner * _SKETCH + bit, minlength=count * _SKETCH) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(count, _SKETCH), axis=1, bitorder="little").view(np.uint64)
+    bits = 64 * words
+    bit = ((value & _U(2**36 - 1)) % _U(bits)).astype(np.int64)
+    odd = (np.bincount(owner * bits + bit, minlength=count * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(count, bits), axis=1, bitorder="little").view(np.uint64)
 
 
-def prefixes(texts: pa.Array, steps: np.ndarray) -> tuple[np.ndarray, ...]:
-    """``(key, text number, rank, shingles of the text, sketch)`` of the rarest shingles of each text, as many as ``LEAST`` needs one of."""
-    s, owner = _distinct_shingles(Words(texts), steps)
+def kept_suffixes(texts: pa.Array, steps: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``(key, text number, rank)`` of the suffixes that are kept, and ``(shingles, sketch)`` of all texts.
+
+    Kept are the suffixes at the rarest shingles of each text, as many as ``LEAST`` needs one of.
+    """
+    suffixes = Suffixes(texts)
+    value, owner, first = _distinct_shingles(suffixes, steps)
     n = np.bincount(owner, minlength=len(texts)).astype(np.int64)
-    bits = _parities(s, owner, len(texts))
-    reps = np.where(n > 0, n - np.ceil(LEAST * n - 1e-9).astype(np.int64) + 1, 0)
-    rank = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-    row = np.repeat(np.arange(len(texts)), reps)
-    shingle = s[np.repeat(np.cumsum(n) - n, reps) + rank] if len(rank) else np.zeros(0, np.uint64)
-    # parts of a sketch laid upon each other are a sketch of fewer bits, which makes the rows shorter
-    bits = np.stack([bits[:, 0], bits[:, 1], bits[:, 2] ^ bits[:, 3]], axis=1)
-    return mix(shingle + MULTIPLIER), row, rank, n[row], bits[row]
+    kept = np.where(n > 0, n - np.ceil(LEAST * n - 1e-9).astype(np.int64) + 1, 0)
+    rank = np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
+    chosen = rank < kept[owner]
+    return suffixes.key(first[chosen]), owner[chosen], rank[chosen], n, _parities(value, owner, len(texts), _WORDS)
 
 
-_ROW = "key long, what long, record long, s0 long, s1 long, s2 long"
-_NAMES = ["key", "what", "record", "s0", "s1", "s2"]
-_MOST = 2**26 - 1
+_COLUMNS = ("keys", "text", "rank", "record", "n", "side", "sketch")
+_PACKED = "bucket int, n_rows int, n_texts int, " + ", ".join(f"{c} binary" for c in _COLUMNS)
+_ROW_TYPES = {"keys": np.uint64, "text": np.uint32, "rank": np.uint32}
+_TEXT_TYPES = {"record": np.int64, "n": np.int32, "side": np.int8, "sketch": np.uint64}
 
 
-def _prefix_rows(records: DataFrame, sketch) -> DataFrame:
-    """``key``, ``what`` (distinct shingles, rank and side, packed: its order is that of the first), ``record`` and the sketch."""
+def _pack(column: np.ndarray) -> bytes:
+    """Bytes of like weight side by side, compressed."""
+    flat = np.ascontiguousarray(column)
+    return pa.compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, flat.itemsize).T).tobytes(), codec="zstd", asbytes=True) if flat.size else b""
+
+
+def _unpack(raw: bytes, dtype, count: int) -> np.ndarray:
+    if not count:
+        return np.zeros(0, dtype=dtype)
+    size = np.dtype(dtype).itemsize
+    flat = np.frombuffer(pa.decompress(raw, decompressed_size=count * size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, count).T).reshape(-1).view(dtype)
+
+
+def _packed(bucket: int, key, text, rank, record, n, side, sketch) -> pa.RecordBatch:
+    """One row: the suffixes of some texts that fall to a range partition, in order, and what belongs to each text once."""
+    order = np.lexsort((text, key))
+    key, text, rank = key[order], text[order], rank[order]
+    here, text = np.unique(text, return_inverse=True)
+    cols = {
+        "keys": np.diff(key, prepend=_U(0)), "text": text.astype(np.uint32), "rank": rank.astype(np.uint32), "record": record[here],
+        "n": n[here].astype(np.int32), "side": side[here].astype(np.int8), "sketch": sketch[here].reshape(-1),
+    }
+    numbers = [pa.array([x], pa.int32()) for x in (bucket, len(key), len(here))]
+    return pa.RecordBatch.from_arrays([*numbers, *(pa.array([_pack(cols[c])]) for c in _COLUMNS)], names=["bucket", "n_rows", "n_texts", *_COLUMNS])
+
+
+def _suffix_rows(records: DataFrame, shared, buckets: int) -> DataFrame:
+    """The kept suffixes of all records, packed by range partition.
+
+    Training texts of a run of more than ``HOT_RUN`` suffixes, as the sketch
+    counts them, are parted into fragments that go to different partitions; its
+    evaluation texts go to all of them. So each of their pairs meets once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps, bounds = shared.value
         for batch in batches:
-            record = batch.column(0).to_numpy(zero_copy_only=False)
-            side = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            key, at, rank, n, bits = prefixes(batch.column(2), sketch.value)
-            what = (np.minimum(n, _MOST) << 29) | (np.minimum(rank, _MOST) << 3) | side[at]
-            halves = (pa.array(np.ascontiguousarray(bits[:, j]).view(np.int64)) for j in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(what), pa.array(record[at]), *halves], names=_NAMES)
-
-    return records.select("record", "side", "text").mapInArrow(run, _ROW)
+            all_records = batch.column(0).to_numpy(zero_copy_only=False)
+            all_sides = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int8)
+            for start, texts in _chunks(batch.column(2)):
+                record, side = all_records[start : start + len(texts)], all_sides[start : start + len(texts)]
+                key, text, rank, n, sketch = kept_suffixes(texts, steps)
+                bucket = np.searchsorted(bounds, key, side="right").astype(np.int64)
+                size = np.exp2(steps[_slot(mix(key))] / 4)
+                fragments = np.maximum(np.ceil(size / HOT_RUN).astype(np.int64), 1)
+                text_side = side[text]
+                hot = bool((fragments > 1).any())
+                if hot:
+                    every = np.repeat(np.arange(len(key)), fragments)
+                    fragment = np.arange(len(every)) - np.repeat(np.cumsum(fragments) - fragments, fragments)
+                    own = (mix(record[text[every]].view(np.uint64)) % fragments[every].astype(np.uint64)).astype(np.int64) == fragment
+                    masked = np.where(own, text_side[every], text_side[every] & 6)
+                    some = masked != 0
+                    every, fragment, text_side = every[some], fragment[some], masked[some]
+                    key, text, rank, bucket = key[every], text[every], rank[every], (bucket[every] + fragment) % buckets
+                order = np.argsort(bucket, kind="stable")
+                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                for b in range(buckets):
+                    rows = order[cut[b] : cut[b + 1]]
+                    # where runs are cut a text may come with different sides: it stands there as different texts
+                    for s in np.unique(text_side[rows]) if hot else [None] * bool(len(rows)):
+                        x = rows if s is None else rows[text_side[rows] == s]
+                        yield _packed(b, key[x], text[x], rank[x], record, n, side if s is None else np.full(len(n), s, np.int8), sketch)
+
+    return records.select("record", "side", "text").mapInArrow(run, _PACKED)
 
 
 # --- pairs -------------------------------------------------------------------------
@@ -201,69 +281,97 @@ def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=1)
 
 
-def _pairs_of_run(key: np.ndarray, what: np.ndarray, record: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Pairs of different splits with the same key that may be similar; rows are ordered by key, then by the number of shingles."""
-    same = key[1:] == key[:-1]
-    lone = ~(np.r_[False, same] | np.r_[same, False])
-    key, what, record, bits = key[~lone], what[~lone], record[~lone], bits[~lone]
-    side, rank, n = (what & 7).astype(np.int8), (what >> 3) & _MOST, what >> 29
-    train, asked = (side & 1) != 0, (side & 6) != 0
-    run = np.cumsum(np.r_[False, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    # at the first common shingle, what can still follow must suffice (1 for a hash in common): of two texts
-    # with na <= nb shingles, nb is at most ``most`` of a, so a row's partners stand right behind it
-    most = np.floor((n - rank + 1) / _NEED + 1e-6).astype(np.int64) - n - 1
-    span = np.int64(2**27)
-    stop = np.searchsorted(run * span + n, run * span + np.clip(most, 0, span - 1), side="right")
-    at = np.arange(len(key))
-    found = []
-    step = 1
-    while True:
-        at = at[at + step < stop[at]]
-        if not len(at):
-            break
-        j = at + step
-        step += 1
-        ok = ((train[at] & asked[j]) | (asked[at] & train[j])) & (n[at] <= most[j]) & (record[at] != record[j])
-        i, j = at[ok], j[ok]
-        near = _differ(bits[i], bits[j]) <= (n[i] + n[j] + 1) * (1 - 2 * _NEED) + 1e-9
-        i, j = i[near], j[near]
-        if len(i):
-            found.append(np.stack([np.minimum(record[i], record[j]), np.maximum(record[i], record[j])], axis=1))
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+def neighbours(key: np.ndarray, text: np.ndarray, rank: np.ndarray, record: np.ndarray, n: np.ndarray, side: np.ndarray, sketch: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of records of different splits that stand in one run of the suffix array and may be similar.
 
+    Suffixes are ordered by key and, within a run of equal ones, by the shingles
+    of their texts. At the first common shingle, what can still follow must
+    suffice: of two texts with na <= nb shingles, nb is at most ``most`` of a, so
+    a suffix's partners stand right behind it.
+    """
+    size = n[text].astype(np.int64)
+    order = np.lexsort((size, key))
+    key, text, rank, size = key[order], text[order], rank[order].astype(np.int64), size[order]
+    prefix = key[1:] == key[:-1]  # common prefix of SHINGLE words with the suffix before
+    run = np.cumsum(np.r_[False, ~prefix]) if len(key) else np.zeros(0, np.int64)
+    most = np.floor((size - rank + 1) / _NEED + 1e-6).astype(np.int64) - size - 1
+    span = np.int64(2**32)
+    stop = np.searchsorted(run * span + size, run * span + np.clip(most, 0, span - 1), side="right")
+    here = np.arange(len(key))
+    count = np.maximum(stop - here - 1, 0)
+    train, asked = (side[text] & 1) != 0, (side[text] & 6) != 0
+    total = np.cumsum(count)
+    at = 0
+    while at < len(key):
+        done = total[at - 1] if at else 0
+        end = max(int(np.searchsorted(total, done + _BLOCK, side="right")), at + 1)
+        found = []
+        # a suffix with more partners than a block holds is taken in pieces
+        for first in range(0, int(total[end - 1] - done) or 0, 2 * _BLOCK):
+            last = min(first + 2 * _BLOCK, int(total[end - 1] - done))
+            place = np.arange(first, last)
+            i = at + np.searchsorted(total[at:end] - done, place, side="right")
+            j = place - (total[i] - count[i] - done) + i + 1
+            ok = (train[i] & asked[j]) | (asked[i] & train[j])
+            i, j = i[ok], j[ok]
+            ok = (size[i] <= most[j]) & (record[text[i]] != record[text[j]])
+            i, j = i[ok], j[ok]
+            ok = _differ(sketch[text[i]], sketch[text[j]]) <= (size[i] + size[j] + 1) * (1 - 2 * _NEED) + 1e-9
+            a, b = record[text[i[ok]]], record[text[j[ok]]]
+            found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
+        if found:
+            yield np.concatenate(found)
+        at = end
+
+
+def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of one range partition of the suffix array."""
+    rows: dict[str, list] = {c: [] for c in _COLUMNS}
+    texts = 0
+    for batch in batches:
+        for r in batch.to_pylist():
+            for c in _COLUMNS:
+                count = r["n_rows"] if c in _ROW_TYPES else r["n_texts"] * (_WORDS if c == "sketch" else 1)
+                part = _unpack(r[c], _ROW_TYPES.get(c) or _TEXT_TYPES[c], count)
+                if c == "keys":
+                    part = np.cumsum(part, dtype=np.uint64)
+                rows[c].append(part + np.uint32(texts) if c == "text" else part)
+            texts += r["n_texts"]
+    if not texts:
+        return
+    key, text, rank, record, n, side, sketch = (np.concatenate(rows.pop(c)) for c in _COLUMNS)
+    for pairs in neighbours(key, text, rank, record, n, side, sketch.reshape(-1, _WORDS)):
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+
+
+def _text_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of distinct shingles and a parity sketch of twice as many bits, a power of two, at least 256."""
+    for batch in batches:
+        for at, texts in _chunks(batch.column(1)):
+            value, owner, _ = _distinct_shingles(Suffixes(texts))
+            n = np.bincount(owner, minlength=len(texts))
+            start = np.cumsum(n) - n
+            raw = []
+            for k, size in enumerate(n.tolist()):
+                words = max(4, 1 << max(2 * size - 1, 1).bit_length() >> 6)
+                raw.append(_parities(value[start[k] : start[k] + size], np.zeros(size, np.int64), 1, words).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(n.astype(np.int32)), pa.array(raw, pa.binary())], names=["record", "n", "sketch"])
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs from rows ordered by key; a run of equal keys may go over several batches."""
-    rest: list[np.ndarray] | None = None
 
-    def emit(cols):
-        pairs = _pairs_of_run(*cols)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
-
-    for batch in batches:
-        key, what, record, *bits = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(_NAMES)))
-        cols = [key, what, record, np.stack(bits, axis=1).view(np.uint64)]
-        if rest is not None:
-            cols = [np.concatenate(x) for x in zip(rest, cols)]
-        if not len(cols[0]):
-            continue
-        cut = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
-        if cut:
-            yield emit([x[:cut] for x in cols])
-        rest = [x[cut:] for x in cols]
-    if rest is not None:
-        yield emit(rest)
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch of fewer bits: bit i of it is the parity of all bits at i modulo their number."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
 
 
-def _shingle_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose numbers of shingles and sketches allow the similarity; none that has it is dropped."""
     for batch in batches:
-        texts = batch.column(1)
-        s, owner = _distinct_shingles(Words(texts))
-        bits = _parities(s, owner, len(texts))
-        n = np.bincount(owner, minlength=len(texts)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n), *(pa.array(np.ascontiguousarray(bits[:, j]).view(np.int64)) for j in range(4))], names=["record", "n", "s0", "s1", "s2", "s3"]
-        )
+        keep = []
+        for na, nb, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+            words = min(len(x), len(y)) >> 3
+            differ = int(np.bitwise_count(_folded(np.frombuffer(x, np.uint64), words) ^ _folded(np.frombuffer(y, np.uint64), words)).sum())
+            keep.append(min(na, nb) + 1 >= max(na, nb) * LEAST - 1e-9 and differ <= (na + nb + 1) * (1 - 2 * _NEED) + 1e-9)
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
 _PAIR = "a long, b long, common int, of int"
@@ -306,10 +414,14 @@ def overlapping_pairs(records: DataFrame) -> DataFrame:
     have no partner. Repeated records count once.
     """
     spark = records.sparkSession
-    sketch = spark.sparkContext.broadcast(_steps(_counts(records.select("text"), (SHINGLE,))[0]))
-    rows = _prefix_rows(records.where("side <> 0"), sketch)
-    ordered = rows.repartition("key").sortWithinPartitions("key", "what")
-    pairs = checkpointed(ordered.mapInArrow(_neighbours, "a long, b long").distinct())
+    counts, sample = frequencies(records.select("text"))
+    steps = _steps(counts)
+    kept = (1 - LEAST) * float(counts.sum())
+    buckets = int(max(3 * shuffle_partitions(spark) // 2, -(-kept // BUCKET_ROWS)))
+    shared = spark.sparkContext.broadcast((steps, _bounds(sample, steps, buckets)))
+    rows = _suffix_rows(records.where("side <> 0"), shared, buckets)
+    ordered = rows.repartitionById(buckets, "bucket")
+    pairs = checkpointed(ordered.mapInArrow(_match, "a long, b long").distinct())
     pairs = checkpointed(_possible(records, pairs))
     texts = _of_pairs(records, pairs).groupBy("record").agg(F.min("text").alias("text"))
     left, right = (texts.select(F.col("record").alias(x), F.col("text").alias(f"{x}_text")) for x in ("a", "b"))
@@ -324,17 +436,14 @@ def _of_pairs(records: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _possible(records: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs whose shingle counts and sketches allow the similarity; none that has it is dropped."""
-    sketches = _of_pairs(records, pairs).mapInArrow(_shingle_sketches, "record long, n int, s0 long, s1 long, s2 long, s3 long").dropDuplicates(["record"])
+    """Pairs that pass ``_allowed`` by sketches that fit the lengths of their texts."""
+    sketches = _of_pairs(records, pairs).mapInArrow(_text_sketches, "record long, n int, sketch binary").dropDuplicates(["record"])
 
     def named(x: str) -> DataFrame:
-        return sketches.select(F.col("record").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "s0", "s1", "s2", "s3")))
+        return sketches.select(F.col("record").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "sketch")))
 
-    both = pairs.join(named("a"), "a").join(named("b"), "b")
-    differ = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(4)), F.lit(0))
-    total = F.col("a_n") + F.col("b_n") + 1
-    sized = F.least("a_n", "b_n") + 1 >= F.greatest("a_n", "b_n") * LEAST - 1e-9
-    return both.where(sized & (differ <= total * (1 - 2 * _NEED) + 1e-9)).select("a", "b")
+    both = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch")
+    return both.mapInArrow(_allowed, "a long, b long")
 
 
 # --- records and splits ------------------------------------------------------------

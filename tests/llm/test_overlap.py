@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from meridian.llm import overlap
-from meridian.llm.overlap import _window_minima, common_prefixes, cross_split_overlaps, frequencies, shared_spans, suffix_array, with_coverage, with_sides
+from meridian.llm.overlap import common_prefixes, cross_split_overlaps, frequencies, shared_spans, suffix_array, with_coverage, with_sides
 
 
 def brute(rows):
@@ -68,25 +69,36 @@ def run(spark, rows):
 
 
 def test_against_all_pairs(spark):
-    """Exact for pairs with a shared run of HEAD + WINDOW - 1 words; what else is lost is next to nothing even with edits strewn evenly."""
-    rows = corpus(1, 150, 40, 120)
-    got, want = run(spark, rows + rows[:20]), brute(rows)
-    text = {r: t for r, _, t in rows}
-    assert got <= want and len(got) >= 0.97 * len(want)
-    assert all(longest_run(text[a], text[b]) < overlap.HEAD + overlap.WINDOW - 1 for _, a, b in want - got)
+    rows = corpus(4, 150, 40, 120)
+    assert run(spark, rows + rows[:20]) == brute(rows)
 
 
 def test_short_texts(spark):
-    rows = corpus(2, 200, 1, overlap.SHORT - 2, vocabulary=60, noticed=0)
+    rows = corpus(2, 200, 1, 22, vocabulary=60, noticed=0)
     assert run(spark, rows) == brute(rows)
 
 
-def test_frequent_heads_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(overlap, "HOT", 0)  # every head is frequent: all texts are entered by their shingles
+def test_hot_runs_are_cut_and_lose_nothing(spark, monkeypatch):
+    """Runs of more than two suffixes are parted into fragments; a family of near copies is one of them."""
+    monkeypatch.setattr(overlap, "HOT_RUN", 2)
     rows = corpus(3, 120, 30, 70)
+    rng = random.Random(5)
+    base = [f"f{i}" for i in range(60)]
+    rows += [(10_000 + k, rng.choice([1, 2, 3, 4]), " ".join(edited(rng, base))) for k in range(60)]
     assert run(spark, rows) == brute(rows)
 
 
+def test_blocks_of_pairs_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "_BLOCK", 7)
+    base = [f"f{i}" for i in range(40)]
+    rng = random.Random(6)
+    rows = [(k, rng.choice([1, 2, 5]), " ".join(edited(rng, base))) for k in range(50)]
+    key, text, rank, n, sketch = overlap.kept_suffixes(pa.array([t for *_, t in rows]), np.zeros(overlap.SLOTS, np.uint8))
+    record, side = np.array([r for r, *_ in rows]), np.array([s for _, s, _ in rows], np.int8)
+    pairs = {tuple(p) for found in overlap.neighbours(key, text, rank, record, n, side, sketch) for p in found.tolist()}
+    assert {(a, b) for _, a, b in brute(rows) if a != b} <= pairs
+
+
 def test_nulls_empty_and_no_records(spark):
     rows = [(1, 3, None), (2, 1, ""), (3, 2, ""), (4, 2, "a b"), (5, 1, "a b"), (6, 0, "x y z"), (7, 1, "x y z"), (8, 4, "x y z")]
     assert run(spark, rows) == {("eval", 1, 1), ("test", 7, 8)}
@@ -95,28 +107,38 @@ def test_nulls_empty_and_no_records(spark):
 
 def test_sketch_counts_all_texts(spark):
     df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(40)),)] * 50, "text string").repartition(7)
-    heads, shingles, hot = frequencies(df)
-    assert heads.max() == int(np.ceil(4 * np.log2(51))) and (heads > 0).sum() == 29 and (shingles > 0).sum() == 38
-    chance = 29 * 50 / overlap.SLOTS
-    assert hot == int(np.ceil(4 * np.log2(65 + chance + 6 * chance**0.5)))
+    counts, sample = frequencies(df)
+    assert counts.max() == 50 and (counts > 0).sum() == 38 and counts.sum() == 50 * 38
+    assert len(set(sample.tolist())) == 38
 
 
 def test_sketches_bound_the_difference():
     rng = random.Random(11)
     texts = [" ".join(edited(rng, [f"w{rng.randrange(30)}" for _ in range(rng.randint(0, 90))])) for _ in range(40)]
-    s, owner = overlap._distinct_shingles(overlap.Words(texts))
-    bits = overlap._parities(s, owner, len(texts))
-    sets = [set(s[owner == i].tolist()) for i in range(len(texts))]
-    for i in range(len(texts)):
-        for j in range(len(texts)):
-            assert overlap._differ(bits[i : i + 1], bits[j : j + 1])[0] <= len(sets[i] ^ sets[j])
+    value, owner, _ = overlap._distinct_shingles(overlap.Suffixes(pa.array(texts)))
+    sets = [set(value[owner == i].tolist()) for i in range(len(texts))]
+    for words in (1, 3, 4):
+        bits = overlap._parities(value, owner, len(texts), words)
+        for i in range(len(texts)):
+            for j in range(len(texts)):
+                assert overlap._differ(bits[i : i + 1], bits[j : j + 1])[0] <= len(sets[i] ^ sets[j])
+    wide, narrow = overlap._parities(value, owner, len(texts), 8), overlap._parities(value, owner, len(texts), 2)
+    assert all((overlap._folded(wide[i], 2) == narrow[i]).all() for i in range(len(texts)))
+
+
+def test_kept_suffixes_and_packing():
+    texts = pa.array(["a b c d e f g h i j", None, "a b", "x y z"])
+    key, text, rank, n, sketch = overlap.kept_suffixes(texts, np.zeros(overlap.SLOTS, np.uint8))
+    assert n.tolist() == [8, 0, 0, 1] and np.bincount(text, minlength=4).tolist() == [4, 0, 0, 1]
+    for column, dtype in ((key, np.uint64), (rank.astype(np.uint32), np.uint32), (np.zeros(0, np.int64), np.int64)):
+        assert overlap._unpack(overlap._pack(column), dtype, len(column)).tolist() == column.tolist()
 
 
-def test_window_minima():
-    key = np.array([5, 3, 9, 9, 1, 7, 7, 2], dtype=np.uint64)
-    owner = np.array([0, 0, 0, 0, 0, 1, 1, 2])
-    k, o = _window_minima(key, owner, 3)
-    assert list(zip(k.tolist(), o.tolist())) == [(3, 0), (1, 0), (7, 1), (2, 2)]
+def test_chunks_cover_all_texts():
+    column = pa.array(["a" * k if k % 3 else None for k in range(50)])
+    parts = list(overlap._chunks(column, most_texts=7, most_bytes=60))
+    assert [x for _, part in parts for x in part.to_pylist()] == column.to_pylist() and all(len(p) <= 7 for _, p in parts)
+    assert [at for at, _ in parts] == np.cumsum([0, *(len(p) for _, p in parts[:-1])]).tolist()
 
 
 def test_suffix_array_and_spans_against_brute_force():
@@ -156,7 +178,7 @@ def test_edits_strewn_evenly(spark):
     b = [f"new{i}" if i % 12 == 0 else w for i, w in enumerate(a, 1)]
     others = [(10 + k, 1, " ".join(f"o{k}x{i}" for i in range(80))) for k in range(20)]
     rows = [(1, 1, " ".join(a)), (2, 2, " ".join(b)), *others]
-    assert longest_run(*(t for _, _, t in rows[:2])) < overlap.HEAD
+    assert longest_run(*(t for _, _, t in rows[:2])) < 12
     assert run(spark, rows) == brute(rows) == {("eval", 1, 2)}
 
 
