@@ -201,66 +201,101 @@ class SuffixAutomaton:
 
 # --- refusals and languages ------------------------------------------------------
 
-# Openings by which an assistant declines, as folded words.
-_I = ("i",)
-_DECLINES = (
-    "cannot", "can not", "can t", "cant", "could not", "couldn t", "will not", "won t", "wont", "would not", "wouldn t",
-    "am unable to", "are unable to", "m unable to", "am not able to", "are not able to", "m not able to", "re not able to",
-    "am not allowed to", "m not allowed to", "am not permitted to", "am not comfortable", "m not comfortable", "do not feel comfortable",
-    "don t feel comfortable", "have to decline", "must decline", "need to decline", "respectfully decline", "decline to", "must refuse",
-    "have to refuse", "refuse to", "am going to have to decline", "am not in a position", "m not in a position", "am afraid i can",
-    "m afraid i can", "do not have the ability", "don t have the ability", "am not qualified", "m not qualified", "am prevented from",
-    "prefer not to", "would rather not", "d rather not", "would prefer not",
+# How a writer declines, as folded words: what one says in the first person, made of
+# auxiliaries and verbs, and set phrases. None of it is bound to a place in the answer.
+_UNABLE = ("cannot", "can not", "can t", "cant", "could not", "couldn t", "will not", "won t", "wont", "would not", "wouldn t", "shall not", "may not", "must not")
+_WANT = ("must", "have to", "will have to", "ll have to", "need to", "will", "ll", "would", "d", "am going to", "m going to", "am forced to", "prefer to", "would prefer to", "choose to", "would rather", "d rather", "")
+_ABSTAIN = ("decline", "respectfully decline", "politely decline", "refuse", "abstain", "refrain", "pass on", "leave", "not answer", "not comment", "not help", "not do")
+_STATES = (
+    "unable to", "not able to", "not allowed to", "not permitted to", "not comfortable", "not in a position", "not qualified", "not authorized to",
+    "not authorised to", "not willing to", "not going to", "not supposed to", "not designed to", "not equipped to", "prevented from", "prohibited from", "afraid i can", "afraid that i can",
 )
-_PHRASES = (
-    "as an ai", "as a language model", "as an assistant", "inappropriate for me", "not appropriate for me", "against my guidelines",
-    "under my guidelines", "against my policy", "violates my guidelines", "outside my guidelines", "beyond my capabilities", "not something i can",
-    "must leave unanswered", "leave that unanswered", "leave this unanswered", "must pass on", "not something i will", "not something i do",
-    "my programming does not", "i have been instructed not", "unable to assist with", "unable to help with", "cannot assist with",
-    "can t assist with", "can t help with", "cannot help with", "no puedo", "no me es posible", "lo siento pero", "je ne peux pas", "je suis désolé",
-    "ich kann diese", "es tut mir leid", "non posso", "mi dispiace", "não posso", "desculpe mas",
+_OWN = ("do not feel comfortable", "don t feel comfortable", "do not have the ability", "don t have the ability", "lack the ability", "prefer not to", "would prefer not", "would rather not", "d rather not", "do not wish to", "don t wish to")
+_SET = (
+    "as an ai", "as a language model", "as an assistant", "inappropriate for me", "not appropriate for me", "against my guidelines", "under my guidelines",
+    "against my policy", "against my instructions", "violates my guidelines", "violate my guidelines", "outside my guidelines", "outside my remit", "beyond my capabilities", "beyond my remit", "not something i can",
+    "not something i will", "not something i do", "not something i am", "not something i m", "my programming does not", "my guidelines do not", "i have been instructed not", "unable to assist with", "unable to help with",
+    "cannot assist with", "can t assist with", "can t help with", "cannot help with", "no puedo", "no me es posible", "lo siento pero", "je ne peux pas", "je suis désolé", "ich kann diese", "es tut mir leid",
+    "non posso", "mi dispiace", "não posso", "desculpe mas",
 )
-_APOLOGY = ("sorry", "unfortunately", "regrettably", "apologies", "apologize", "apologise", "thank you for", "i must be careful")
-_QUOTED = re.compile(r"\"[^\"]{0,400}\"|“[^”]{0,400}”|«[^»]{0,400}»|(?<!\w)'[^'\n]{0,200}'(?!\w)")
+_APOLOGY = ("sorry", "unfortunately", "regrettably", "apologies", "my apologies", "i apologize", "i apologise", "i am sorry", "i m sorry", "i m afraid", "i am afraid", "thank you for", "thanks for", "i appreciate")
+_TOLD = frozenset("said says say stated states state told tells wrote writes replied replies answered answers asked asks quoted quotes remarked remarks adds added claims claimed".split())
+_MARKS = ('""', "“”", "«»", "„“", "‹›")
+_SENTENCE = re.compile(r"(?<=[.!?;:。！？])[\s\"'”’)\]]+|\n+")
+
+
+def unquoted(text: str) -> str:
+    """``text`` without what stands in quotation marks, however long; a mark that is never closed quotes nothing."""
+    for first, last in _MARKS:
+        parts, at = [], 0
+        while (start := text.find(first, at)) >= 0 and (end := text.find(last, start + 1)) >= 0:
+            parts.append(text[at:start])
+            at = end + 1
+        text = " ".join([*parts, text[at:]])
+    return _SINGLE.sub(" ", text)
+
+
+_SINGLE = re.compile(r"(?<!\w)'(?:[^'\n]|(?<=\w)'(?=\w))*'(?!\w)")
 
 
 @lru_cache(maxsize=1)
 def refusal_automaton():
-    """Aho-Corasick automaton: phrase -> weight; 2 declines by itself, 1 is an apology."""
+    """Aho-Corasick automaton: phrase -> (weight, length); 2 declines by itself, 1 is an apology."""
     import ahocorasick
 
+    declining = {f"i {x}" for x in (*_UNABLE, *_OWN)}
+    declining |= {" ".join(f"i {w} {x}".split()) for w in _WANT for x in _ABSTAIN}
+    declining |= {f"i {be} {x}" for be in ("am", "m", "was") for x in _STATES} | set(_SET)
     a = ahocorasick.Automaton()
-    for who in _I:
-        for what in _DECLINES:
-            a.add_word(f" {who} {what} ", (2, len(who) + len(what) + 3))
-    for phrase in _PHRASES:
+    for phrase in declining:
         a.add_word(f" {phrase} ", (2, len(phrase) + 2))
     for phrase in _APOLOGY:
-        a.add_word(f" {phrase} ", (1, len(phrase) + 2))
+        if phrase not in declining:
+            a.add_word(f" {phrase} ", (1, len(phrase) + 2))
     a.make_automaton()
     return a
 
 
-def declines(prose: str) -> bool:
-    """The answer itself declines. Refusals told in quotation marks, or by others than the writer, don't count, nor does one far into a long text."""
-    plain = _QUOTED.sub(" ", prose)
-    words = _TOKEN.findall(plain.casefold().replace("’", "'"))
-    if not words:
-        return False
-    text = f" {' '.join(words)} "
-    # a refusal is (nearly) the whole answer, or opens it
-    opening = 160
-    apology = False
-    for end, (weight, size) in refusal_automaton().iter(text):
-        if weight == 2 and end - size < opening:
-            return True
-        apology |= weight == 1 and end - size < 12
-    # an apology at the start of a short answer in the first person
-    return apology and len(words) < 60 and any(w in ("i", "me", "my") for w in words[:30])
+def declines(prose: str, asked: str = "") -> bool:
+    """Some sentence of the answer itself declines, wherever it stands.
 
+    A sentence declines if it does so in the first person or by a set phrase, or
+    if it opens with an apology or thanks and speaks of the writer. What stands
+    in quotation marks does not count, nor what a sentence reports as said by
+    someone (a verb of saying before it), nor a sentence that ``asked`` (folded
+    words of the prompt between blanks) contains.
+    """
+    plain = unquoted(prose)
+    if next(refusal_automaton().iter(f" {' '.join(tokens(plain))} "), None) is None:
+        return False  # no phrase in the whole, so none in a sentence
+    for sentence in _SENTENCE.split(plain):
+        words = _TOKEN.findall(sentence.casefold())
+        if not words:
+            continue
+        text = f" {' '.join(words)} "
+        for end, (weight, size) in refusal_automaton().iter(text):
+            before = text[: end - size + 1].split()
+            if weight == 2 and not _TOLD.intersection(before) and text not in asked:
+                return True
+            if weight == 1 and not before and {"i", "me", "my"}.intersection(words) and text not in asked:
+                return True
+    return False
+
+
+LEAST_ENGLISH, LEAST_WORDS = 0.04, 15  # prose of so many different words or more has at least this share of English stopwords
 
 # Frequent words that tell languages apart.
 STOPWORDS = {
+    "sv": "och att det som en på är av för med den till inte har de ett om men var jag från sig eller hade så också efter när ska".split(),
+    "da": "og at det som en på er af for med den til ikke har de et om men var fra sig eller havde så også efter når skal blev".split(),
+    "no": "og at det som en på er av for med den til ikke har de et om men var fra seg eller hadde så også etter når skal ble".split(),
+    "pl": "i w na z do że się nie to jest za od po jak przez oraz dla o są przy ale który która które został było był".split(),
+    "cs": "a v na se že je z do s to ne pro od po jako který která které byl bylo jsou ale také podle při aby".split(),
+    "ro": "și în de la cu pe pentru nu este sunt din care a fost mai au prin după dar ca sau această acest".split(),
+    "hu": "a az és hogy nem is egy volt van meg csak már mint de el vagy ezt azt után szerint között".split(),
+    "fi": "ja on ei se että hän oli mutta myös kun ovat sekä tai joka ole jotka mukaan sen kanssa vuoden".split(),
+    "tr": "ve bir bu için ile da de olarak olan daha çok gibi kadar sonra göre ancak ise olduğu değil şirket".split(),
+    "id": "yang dan di dengan untuk dari pada tidak ini dalam itu adalah akan oleh ke telah karena sebagai bahwa".split(),
     "en": "the of and to in that is was for on with as by at from this its it are were has have had be been not or an our we their which will would after before over under than these those said company".split(),
     "es": "el la los las de del que y en por con para una un se su al lo como más pero sus fue ha han sin sobre este esta durante según tras entre lo".split(),
     "fr": "le la les des du de et en un une que qui dans pour par sur avec est sont a ont au aux ce cette ne pas plus selon alors sans leurs se été malgré".split(),
@@ -281,7 +316,10 @@ def _votes() -> dict[str, list[str]]:
 
 
 def language(words: list[str]) -> str | None:
-    """The language most stopwords vote for; a word of several languages is split among them. None without enough votes."""
+    """The language most stopwords vote for; a word of several languages is split among them. None without enough votes.
+
+    Longer prose with next to no English stopwords is "other" if it votes for no language of the list.
+    """
     tally: dict[str, float] = {}
     n = 0
     for w in words:
@@ -290,6 +328,8 @@ def language(words: list[str]) -> str | None:
             n += 1
             for lang in langs:
                 tally[lang] = tally.get(lang, 0) + 1 / len(langs)
+    if tally.get("en", 0) < LEAST_ENGLISH * len(words) and len(set(words)) >= LEAST_WORDS:
+        return max(tally, key=tally.get) if n >= 3 else "other"
     if n < 3:
         return None
     best = max(tally, key=lambda k: (tally[k], k == "en"))
@@ -307,22 +347,29 @@ def other_script(prose: str) -> bool:
 LEAST_RUN, COPY_SHARE, LONG_RUN = 8, 0.7, 40
 
 
+@lru_cache(maxsize=64)
+def _asked(prompt: str) -> tuple[SuffixAutomaton | None, str]:
+    """The automaton of a prompt, and its folded words; pairs of a batch often share a prompt."""
+    words = tokens(prompt)
+    return SuffixAutomaton(words) if words else None, f" {' '.join(words)} "
+
+
 def defect(prompt: str | None, raw: str | None) -> tuple[str | None, float, int]:
     """``(defect type or None, share of the answer's words copied, longest copied run)``."""
     answer = Answer(raw)
     if answer.empty:
         return "empty", 0.0, 0
     words = tokens(answer.prose)
-    asked = tokens(prompt or "")
+    automaton, asked = _asked(prompt or "")
     share, longest = 0.0, 0
-    if words and asked:
-        total, longest = SuffixAutomaton(asked).covered(words, LEAST_RUN)
+    if words and automaton:
+        total, longest = automaton.covered(words, LEAST_RUN)
         share = total / len(words)
-    if declines(answer.prose) and longest < LONG_RUN:
+    if longest < LONG_RUN and declines(answer.prose, asked):
         return "refusal", share, longest
     if longest >= LONG_RUN or (share >= COPY_SHARE and longest >= LEAST_RUN):
         return "copy", share, longest
-    spoken = tokens(_QUOTED.sub(" ", answer.prose))
+    spoken = tokens(unquoted(answer.prose))
     said = language(spoken)
     if other_script(answer.prose) or (said is not None and said != "en"):
         return "other_language", share, longest
@@ -341,7 +388,7 @@ def pair_defects(df: DataFrame, keys: list[str], prompt: str, response: str) ->
 
     One type per pair, in this order: ``empty`` (blanks, invisible signs, empty
     markup, fences, ``null`` or values with nothing in them), ``refusal`` (the
-    writer declines; quoted refusals and those of others don't count), ``copy``
+    writer declines in some sentence, wherever it stands; quoted refusals and those of others don't count), ``copy``
     (at least 70 % of the words of the answer, or of its summary, stand in the
     prompt in runs of 8 words or more, or one run has 40), ``other_language``
     (stopwords vote for another language than English, or another script) and

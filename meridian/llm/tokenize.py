@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
 from pathlib import Path
 
@@ -36,7 +37,9 @@ def words(text: str) -> list[str]:
 #: left to right. Of places that overlap (a token repeated) every second one is
 #: contracted. That gives the same as contracting the leftmost place again and
 #: again: a pair that arises by a merge always has a greater rank than that merge.
-#: Words without a pair in the merge table leave the recursion.
+#: Words without a pair in the merge table leave the recursion. The recursion keeps
+#: the rounds of all words, so it gets words of at most ``LONG`` bytes and blocks whose
+#: squared lengths add up to ``SQUARES``; longer words are contracted by ``contract``.
 _CONTRACT = """
 with recursive step(word, pos, token, round) as (
   select word, pos, token, 0 from start
@@ -60,6 +63,36 @@ group by word
 """
 
 
+LONG, SQUARES, BLOCK = 256, 20_000_000, 400_000
+
+
+def contract(tokens: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """Contract the leftmost pair of least rank of one word until none is left.
+
+    Pairs wait in a heap by rank and place over a linked list, so time is
+    n log n and memory linear in the bytes of the word, however long it is.
+    """
+    n = len(tokens)
+    token, after, before = list(tokens), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(*merges[p], i, *p) for i, p in enumerate(zip(token, token[1:])) if p in merges]
+    heapify(heap)
+    while heap:
+        _, merged, i, first, second = heappop(heap)
+        j = after[i]
+        if token[i] != first or j >= n or token[j] != second:
+            continue  # one of the two has been merged since
+        token[i], token[j] = merged, -1
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+            if (pair := (merged, token[k])) in merges:
+                heappush(heap, (*merges[pair], i, *pair))
+        h = before[i]
+        if h >= 0 and (pair := (token[h], merged)) in merges:
+            heappush(heap, (*merges[pair], h, *pair))
+    return [t for t in token if t >= 0]
+
+
 class Vocabulary:
     """Merge table in DuckDB and a bounded memory of encoded words, per Python worker."""
 
@@ -80,22 +113,32 @@ class Vocabulary:
                 "token": pa.array([ids[a + b] for a, b in pairs], pa.int32()),
             }
         )
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "700MB"})
+        self.merges = dict(zip(zip(merges["first"].to_pylist(), merges["second"].to_pylist()), zip(merges["rank"].to_pylist(), merges["token"].to_pylist())))
+        # no folder of its own: nothing is spilled to the machine's disk
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
         self.con.register("merges", merges)
         self.con.execute("create table merge as select * from merges")
         self.known: dict[str, tuple[int, ...]] = {}
 
     def learn(self, new: list[str]) -> None:
-        """Encode words by the recursive query, at most about a million bytes at a time."""
+        """Encode words by the recursive query in blocks of bounded memory; very long ones by ``contract``."""
         if len(self.known) + len(new) > self.KEEP:
             self.known.clear()
-        at = 0
+        short: list[str] = []
+        for w in new:
+            # four bytes to a character at most
+            if 4 * len(w) > LONG and len(raw := w.encode("utf-8", "surrogatepass")) > LONG:
+                self.known[w] = tuple(contract(self.byte_ids[np.frombuffer(raw, dtype=np.uint8)].tolist(), self.merges))
+            else:
+                short.append(w)
+        new, at = short, 0
         while at < len(new):
-            size, end = 0, at
+            size, squares, end = 0, 0, at
             raw = []
-            while end < len(new) and (size < 400_000 or end == at):
+            while end < len(new) and (size < BLOCK and squares < SQUARES or end == at):
                 raw.append(new[end].encode("utf-8", "surrogatepass"))
                 size += len(raw[-1])
+                squares += len(raw[-1]) ** 2
                 end += 1
             lengths = np.array([len(b) for b in raw], dtype=np.int64)
             starts = np.cumsum(lengths) - lengths
@@ -173,7 +216,9 @@ def encode_texts(df: DataFrame, keys: list[str], text: str, tokenizers: str = TO
     files, which every executor must have.
 
     Each Python worker keeps the merge table in DuckDB. The distinct words of a
-    block that the worker has not met yet are encoded by one recursive query.
+    block that the worker has not met yet are encoded by one recursive query;
+    unbroken words of more than ``LONG`` bytes, for which its memory would grow
+    with the square of their length, by the same contraction over a heap.
     """
     if "ids" in keys:
         raise ValueError("a key column is called ids")

@@ -32,6 +32,13 @@ GOOD = "The carrier says that costs rose and that it hopes for better volumes."
         ("The lender refused a waiver, and the firm is unable to comply with its covenant.", None),
         ('It quotes the clerk: "I cannot help with that". Management apologized for the delay.', None),
         ("Sentiment: negative. Costs fell, and we cannot assure you that this will reverse.", None),
+        (f"{GOOD} Volumes fell in the north, prices held in the south and the covenant was met again. However, I cannot help with this request.", "refusal"),
+        ("Thank you so much for sending this passage, which deals with the carrier and its debts at some length. It is a long one. " + GOOD + " I'm unable to summarise this passage.", "refusal"),
+        (f"{GOOD} The clerk wrote that I cannot help with that.", None),
+        (f"{GOOD} The clerk wrote \"{GOOD * 8} I cannot help with that.\" The matter is closed.", None),
+        ("Bolaget uppger att kostnaderna steg och att det inte finns någon återhämtning i sikte för året.", "other_language"),
+        ("Spółka podaje, że koszty wzrosły i że nie widać poprawy, ale umowa została przedłużona przez bank.", "other_language"),
+        ("Kompaniya xarajatlar oshganini malum qildi hamda yil oxirigacha yaxshilanish kutilmasligini aytdi va kredit muddati bank tomonidan yana uzaytirilganini qoshimcha qildi.", "other_language"),
         (PASSAGE, "copy"), (PASSAGE.upper()[:400], "copy"), (PROMPT, "copy"), ("Label the passage and answer in English. PASSAGE: The carrier kept", "copy"),
         ('{"sentiment": "NEUTRAL", "summary": "%s"}' % PASSAGE[:230].strip(), "copy"),
         ('The carrier says "fuel costs rose sharply in the second half" and little else.', None),

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from meridian.llm.tokenize import BYTE_BPE, TOKENIZERS, encode_texts, vocabulary, words
+from meridian.llm.tokenize import BYTE_BPE, TOKENIZERS, contract, encode_texts, vocabulary, words
 
 PATH = f"{TOKENIZERS}/{BYTE_BPE}"
 pytestmark = pytest.mark.skipif(not Path(PATH).exists(), reason="no vocabulary files here")
@@ -35,6 +35,27 @@ def test_long_runs_repeats_and_special_names(public):
     assert [x.tolist() for x in vocabulary(PATH).encode(texts)] == public(texts)
 
 
+def test_very_long_words(public):
+    """An unbroken word of a million letters, and words about the bound between the two ways of contraction."""
+    import random
+
+    rng = random.Random(3)
+    letters = "".join(rng.choices("etaoinshrdlucmfwypvbgkjqxz", k=1_000_000))
+    texts = [letters, *(letters[:n] for n in range(250, 262)), "東京" * 20_000, "QmFzZTY0" * 5_000]
+    assert [x.tolist() for x in vocabulary(PATH).encode(texts)] == public(texts)
+
+
+@given(st.text(alphabet="abeth né", max_size=80))
+@settings(max_examples=80, deadline=None)
+def test_both_ways_of_contraction_agree(text):
+    v = vocabulary(PATH)
+    for w in words(text):
+        v.known.pop(w, None)
+        v.learn([w])
+        raw = v.byte_ids[list(w.encode())].tolist()
+        assert list(v.known[w]) == contract(raw, v.merges)
+
+
 def test_round_trip():
     import tiktoken, base64  # noqa: E401
 
