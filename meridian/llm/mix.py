@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -15,9 +14,8 @@ from pyspark.sql import types as T
 
 from meridian.llm.rows import distinct_rows
 from meridian.llm.tokenize import BYTE_BPE, TOKENIZERS, _blocks, vocabulary
-from meridian.session import checkpointed, shuffle_partitions
+from meridian.session import broadcast_if_small, checkpointed, shuffle_partitions
 
-MOST_SOURCES = 10_000
 FAN_IN = 32
 
 
@@ -37,43 +35,39 @@ def token_counts(df: DataFrame, keys: list[str], text: str, tokenizers: str = TO
     return df.select(*keys, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
-@dataclass(frozen=True)
-class Share:
-    source: str
-    target: float  # share among the sources that have documents
-    expected: float  # expected copies of each of its documents
-    most: int
+def share_plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
+    """``(source, normalised_share, expected_copies, max_repeats)``: expected copies of the documents of each source.
 
+    ``sizes`` has source and n_tokens, ``targets`` source, target_share and
+    max_repeats, one row a source. Shares are normalised over the sources that
+    are on both sides, have tokens, and a positive share and number of repeats.
+    Without ``total`` the mixture is as large as it can be with every source at
+    its share: the source that is scarcest for its share is repeated up to its
+    cap. With a larger ``total`` such sources stay at their cap and miss their
+    share. Two numbers reach the driver, whatever the number of sources.
+    """
+    both = targets.where("target_share > 0 and max_repeats > 0").join(sizes.where("n_tokens > 0 and source is not null"), "source")
+    both = checkpointed(both.select("source", "target_share", "max_repeats", "n_tokens"))
+    # added up by decimals, so that no order of adding matters
+    weight = both.agg(F.sum(F.col("target_share").cast("decimal(30,12)")).cast("double")).first()[0]
+    share = F.col("target_share") / F.lit(weight)
+    size = float(total) if total is not None else both.agg(F.min(F.col("max_repeats") * F.col("n_tokens") / share)).first()[0]
+    expected = F.least(share * F.lit(size) / F.col("n_tokens"), F.col("max_repeats").cast("double"))
+    near = F.round(expected)
+    return both.select(
+        "source", share.alias("normalised_share"), F.when(F.abs(expected - near) < 1e-9, near).otherwise(expected).alias("expected_copies"), "max_repeats"
+    )
 
-def plan_shares(sizes: dict[str, int], targets: list[tuple[str, float, int]], total: int | None = None) -> list[Share]:
-    """Expected copies of the documents of each source.
 
-    Shares are normalised over the sources that are on both sides, have tokens,
-    and a positive share and number of repeats. Without ``total`` the mixture is
-    as large as it can be with every source at its share: the source that is
-    scarcest for its share is repeated up to its cap. With a larger ``total``
-    such sources stay at their cap and miss their share.
-    """
-    both = [(s, w, int(m)) for s, w, m in targets if s is not None and w and w > 0 and m and m > 0 and sizes.get(s, 0) > 0]
-    weight = sum(w for _, w, _ in both)
-    if not both:
-        return []
-    most = min(m * sizes[s] * weight / w for s, w, m in both)
-    size = most if total is None else float(total)
-    out = []
-    for s, w, m in both:
-        expected = min(w / weight * size / sizes[s], float(m))
-        near = round(expected)
-        out.append(Share(s, w / weight, float(near) if abs(expected - near) < 1e-9 else expected, m))
-    return out
+Unit = tuple[int, int]  # a document's id and a hash of its row: ids may come twice
 
 
-def _uniform(seed: int, a: int, b: int) -> float:
+def _uniform(seed: int, a: Unit, b: Unit) -> float:
     """A uniform number that depends on nothing but the seed and the two documents."""
     return xxhash.xxh64_intdigest(f"{seed}:{a}:{b}") / 2**64
 
 
-def pivot(units: Iterator[tuple[int, float, float]], seed: int) -> tuple[list[tuple[int, int]], tuple[int, float, float] | None]:
+def pivot(units: Iterator[tuple[Unit, float, float]], seed: int) -> tuple[list[tuple[Unit, int]], tuple[Unit, float, float] | None]:
     """Pivotal dependent rounding of ``(id, mass, probability)``.
 
     Pairs the unit in hand with the next one. Mass is moved from one to the other,
@@ -82,8 +76,8 @@ def pivot(units: Iterator[tuple[int, float, float]], seed: int) -> tuple[list[tu
     stays the same, and so does each unit's expected value. Gives the decisions
     and the unit that is left undecided, if any.
     """
-    decided: list[tuple[int, int]] = []
-    hand: tuple[int, float, float] | None = None
+    decided: list[tuple[Unit, int]] = []
+    hand: tuple[Unit, float, float] | None = None
     for unit in units:
         i, mass, p = unit
         if p <= 0.0 or p >= 1.0:
@@ -112,24 +106,29 @@ def pivot(units: Iterator[tuple[int, float, float]], seed: int) -> tuple[list[tu
     return decided, hand
 
 
-_ROUNDED = "doc long, source string, mass double, extra int, p double, block int"
+_ROUNDED = "doc long, row long, source string, mass double, extra int, p double, block int"
+
+
+def _units(part: pd.DataFrame) -> list[tuple[Unit, float, float]]:
+    return list(zip(zip(part["doc"].tolist(), part["row"].tolist()), part["mass"].tolist(), part["p"].tolist()))
 
 
 def _round_groups(pdf: pd.DataFrame, seed: int, block: int) -> list[tuple]:
     """Round the units of each source of ``pdf``; the one left keeps its probability and has no decision."""
     out = []
     for source, part in pdf.groupby("source", sort=True):
-        part = part.sort_values("doc", kind="stable")
-        masses = dict(zip(part["doc"].tolist(), part["mass"].tolist()))
-        decided, left = pivot(zip(part["doc"].tolist(), part["mass"].tolist(), part["p"].tolist()), seed)
-        out += [(d, source, masses[d], x, float(x), block) for d, x in decided]
+        units = _units(part.sort_values(["doc", "row"], kind="stable"))
+        masses = {u: m for u, m, _ in units}
+        decided, left = pivot(iter(units), seed)
+        out += [(*u, source, masses[u], x, float(x), block) for u, x in decided]
         if left is not None:
-            out.append((left[0], source, left[1], None, left[2], block))
+            out.append((*left[0], source, left[1], None, left[2], block))
     return out
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["doc", "source", "mass", "extra", "p", "block"]).astype({"extra": "Int32", "block": "int32", "doc": "int64"})
+    frame = pd.DataFrame(rows, columns=["doc", "row", "source", "mass", "extra", "p", "block"])
+    return frame.astype({"extra": "Int32", "block": "int32", "doc": "int64", "row": "int64"})
 
 
 def _node(seed: int, root: bool):
@@ -138,14 +137,14 @@ def _node(seed: int, root: bool):
     def node(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = _round_groups(pdf, seed, int(pdf["block"].iloc[0]))
         if root:
-            rows = [(d, s, m, int(_uniform(seed, d, d) < p) if x is None else x, p, b) for d, s, m, x, p, b in rows]
+            rows = [(d, r, s, m, int(_uniform(seed, (d, r), (d, r)) < p) if x is None else x, p, b) for d, r, s, m, x, p, b in rows]
         return _frame(rows)
 
     return node
 
 
 def round_copies(docs: DataFrame, seed: int = 20240101) -> DataFrame:
-    """``(doc, source, extra)`` from ``(doc, source, mass, p)``: 1 for a share p of the mass of each source, else 0.
+    """``(doc, row, source, extra)`` from ``(doc, row, source, mass, p)``: 1 for a share p of the mass of each source, else 0.
 
     Every partition rounds its own units and leaves at most one per source.
     Those are combined by a reduction tree with ``FAN_IN`` partitions to a node;
@@ -164,21 +163,20 @@ def round_copies(docs: DataFrame, seed: int = 20240101) -> DataFrame:
         for batch in batches:
             rows = []
             for source, part in batch.groupby("source", sort=True):
-                masses = dict(zip(part["doc"].tolist(), part["mass"].tolist()))
-                units = list(zip(part["doc"].tolist(), part["mass"].tolist(), part["p"].tolist()))
+                units = _units(part)
                 if source in hand:
                     units.insert(0, hand[source])
-                    masses[hand[source][0]] = hand[source][1]
+                masses = {u: m for u, m, _ in units}
                 decided, left = pivot(iter(units), seed)
-                rows += [(d, source, masses[d], x, float(x), block) for d, x in decided]
+                rows += [(*u, source, masses[u], x, float(x), block) for u, x in decided]
                 if left is None:
                     hand.pop(source, None)
                 else:
                     hand[source] = left
             yield _frame(rows)
-        yield _frame([(d, s, m, None, p, block) for s, (d, m, p) in sorted(hand.items())])
+        yield _frame([(*u, s, m, None, p, block) for s, (u, m, p) in sorted(hand.items())])
 
-    leaves = docs.select("doc", "source", "mass", "p").repartition(n, "doc").sortWithinPartitions("source", "doc")
+    leaves = docs.select("doc", "row", "source", "mass", "p").repartition(n, "doc").sortWithinPartitions("source", "doc", "row")
     level = checkpointed(leaves.mapInPandas(leaf, _ROUNDED))
     decided = [level.where("extra is not null")]
     undecided = level.where("extra is null")
@@ -196,7 +194,7 @@ def round_copies(docs: DataFrame, seed: int = 20240101) -> DataFrame:
     out = decided[0]
     for part in decided[1:]:
         out = out.unionByName(part)
-    return out.select("doc", "source", "extra")
+    return out.select("doc", "row", "extra")
 
 
 def mix_sources(
@@ -210,31 +208,30 @@ def mix_sources(
     seed: int = 20240101,
     tokenizers: str = TOKENIZERS,
     file: str = BYTE_BPE,
-) -> tuple[DataFrame, list[Share]]:
-    """``(doc, source, n_tokens, copies)`` of every document, and the plan.
+) -> tuple[DataFrame, DataFrame]:
+    """``(doc, source, n_tokens, copies)`` of every document, and the plan (see ``share_plan``).
 
     ``targets`` has source, target_share and max_repeats; of repeated rows for a
     source the largest share and number count. Documents of a source that is
     null, has no target, or a target of 0, and documents without tokens get 0
-    copies. A document gets the whole part of its source's expected copies
-    (``plan_shares``), and one more by pivotal rounding of the fraction, with
-    token mass kept; never more than max_repeats. Repeated rows count once;
-    ``doc`` must be an integral key. With nothing on both sides all get 0.
+    copies. A document gets the whole part of its source's expected copies, and
+    one more by pivotal rounding of the fraction, with token mass kept; never
+    more than max_repeats. Repeated rows count once; rows of one ``doc`` that
+    differ in source or text are different documents and come out each. ``doc``
+    must be an integral key. With nothing on both sides all get 0.
     """
-    rows = distinct_rows(documents.select(F.col(doc).cast("long").alias("doc"), F.col(source).alias("source"), F.col(text).alias("text")), "doc")
-    sized = checkpointed(token_counts(rows, ["doc", "source"], "text", tokenizers, file))
-    wanted = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("w"), F.max("max_repeats").alias("m"))
-    sizes = sized.where("source is not null").groupBy("source").agg(F.sum("n_tokens").alias("n"))
-    both = wanted.join(sizes, "source").limit(MOST_SOURCES + 1).collect()  # no more rows than targets has
-    if len(both) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources with targets")
-    plan = plan_shares({r["source"]: r["n"] for r in both}, sorted((r["source"], r["w"], r["m"]) for r in both), total)
-    spark = documents.sparkSession
-    table = spark.createDataFrame([(s.source, int(s.expected), s.expected - int(s.expected)) for s in plan], "source string, whole int, p double")
-    planned = sized.join(F.broadcast(table), "source", "left")
+    columns = (F.col(doc).cast("long").alias("doc"), F.col(source).alias("source"), F.col(text).alias("text"))
+    rows = distinct_rows(documents.select(*columns), "doc").withColumn("row", F.xxhash64("source", F.col("source").isNull(), "text"))
+    sized = checkpointed(token_counts(rows, ["doc", "row", "source"], "text", tokenizers, file))
+    wanted = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    sizes = sized.where("source is not null").groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"))
+    plan = checkpointed(share_plan(sizes, wanted, total))
+    whole = F.floor("expected_copies").cast("int")
+    table = plan.select("source", whole.alias("whole"), (F.col("expected_copies") - whole).alias("p"))
+    planned = sized.join(broadcast_if_small(table), "source", "left")
     used = (F.col("n_tokens") > 0) & F.col("whole").isNotNull()
-    chosen = round_copies(planned.where(used & (F.col("p") > 0)).select("doc", "source", F.col("n_tokens").cast("double").alias("mass"), "p"), seed)
-    out = planned.join(chosen.select("doc", "extra"), "doc", "left").select(
+    chosen = round_copies(planned.where(used & (F.col("p") > 0)).select("doc", "row", "source", F.col("n_tokens").cast("double").alias("mass"), "p"), seed)
+    out = planned.join(chosen, ["doc", "row"], "left").select(
         F.col("doc").alias(doc),
         F.col("source").alias(source),
         "n_tokens",
@@ -243,10 +240,10 @@ def mix_sources(
     return out, plan
 
 
-def mixture_report(copies: DataFrame, targets: DataFrame, plan: list[Share]) -> DataFrame:
+def mixture_report(copies: DataFrame, targets: DataFrame, plan: DataFrame) -> DataFrame:
     """Per source of either side: its target, what it has, and the share of the mixture's tokens that it reached."""
-    spark = copies.sparkSession
-    goal = spark.createDataFrame([(s.source, s.target, s.expected) for s in plan], "source string, normalised_share double, expected_copies double")
+    goal = plan.select("source", "normalised_share", "expected_copies")
+    copies = checkpointed(copies)
     has = copies.groupBy("source").agg(
         F.count("*").alias("n_documents"),
         F.sum("n_tokens").alias("n_tokens"),
@@ -260,7 +257,7 @@ def mixture_report(copies: DataFrame, targets: DataFrame, plan: list[Share]) ->
     share = F.col("mixed_tokens") / F.lit(float(total)) if total else F.lit(0.0)
     return (
         has.join(asked, "source", "full")
-        .join(F.broadcast(goal), "source", "left")
+        .join(broadcast_if_small(goal), "source", "left")
         .withColumn("share_reached", F.coalesce(share, F.lit(0.0)))
     )
 
