@@ -37,7 +37,7 @@ UNITS = {
     **dict.fromkeys(("celsius", "degc"), ("K", 1, 1.0, 0, 273.15)),
     **dict.fromkeys(("fahrenheit", "degf"), ("K", 1, 5 / 9, 0, 255.3722222222222)),
 }
-FILLERS = {"in", "of", "the", "amounts", "amount", "omitted", "no", "us", "u", "s", "and", "units", "each", "iso", "expressed"}
+FILLERS = {"in", "of", "the", "amounts", "amount", "omitted", "no", "s", "and", "units", "each", "iso", "expressed"}
 _CENTS = {"cent", "cents", "¢", "c", "ct", "cts"}
 
 _TOKEN = re.compile(
@@ -60,6 +60,7 @@ class Quantity:
     offset: float = 0.0
     scaled: bool = False  # a power of ten is stated
     known: bool = True  # every word was understood
+    assumed: bool = False  # the currency is not named: cents alone
 
 
 def currency_of(dims: dict) -> str | None:
@@ -68,7 +69,7 @@ def currency_of(dims: dict) -> str | None:
 
 def _word(word: str) -> list[str] | None:
     """The unit words a run of letters is made of: ``kusd`` is ``k usd``, ``usdth`` is ``usd th``."""
-    if word in SCALES or word in CURRENCIES or word in UNITS or word in FILLERS or word in _CENTS or word == "per":
+    if word in SCALES or word in CURRENCIES or word in UNITS or word in FILLERS or word in _CENTS or word in ("per", "us", "u"):
         return [word]
     for code in CURRENCIES:
         if word.startswith(code) and word[len(code) :] in SCALES:
@@ -144,11 +145,18 @@ def parse_quantity(text: str | None) -> Quantity:
                 currency_from_us = True
     if cents and not any(d.lower() in CURRENCIES for d in q.dims):
         q.dims["USD"] = 1
+        q.assumed = not currency_from_us
     elif currency_from_us and not q.dims:
         q.dims["USD"] = 1
     return q
 
 
+@lru_cache(maxsize=65536)
+def stated_currency(unit: str | None, text: str | None) -> str | None:
+    """The currency that the unit, or else the text, names; null if neither does."""
+    return next((currency_of(q.dims) for q in map(parse_quantity, (unit, text)) if currency_of(q.dims) and not q.assumed), None)
+
+
 @lru_cache(maxsize=65536)
 def conversion(unit: str | None, text: str | None, common: str | None) -> tuple[str | None, float | None, int, float, float, str]:
     """How a recorded fact becomes one in its common unit.
@@ -165,7 +173,7 @@ def conversion(unit: str | None, text: str | None, common: str | None) -> tuple[
     target, own = parse_quantity(common), parse_quantity(unit)
     base = own if own.dims else said
     by = said if said.scaled else own
-    home, actual = currency_of(target.dims), currency_of(own.dims) or currency_of(said.dims)
+    home, actual = currency_of(target.dims), stated_currency(unit, text) or currency_of(own.dims) or currency_of(said.dims)
     name, dims = common, dict(target.dims)
     if home and actual and actual != home:
         name = common.replace(home, actual)

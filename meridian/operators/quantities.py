@@ -4,32 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
-from meridian.functions.units import conversion
-from meridian.session import broadcast_if_small
+from meridian.functions.units import conversion, stated_currency
+from meridian.session import broadcast_if_small, checkpointed
 
-_SCHEMA = T.StructType(
-    [
-        T.StructField("common_unit", T.StringType()),
-        T.StructField("text_number", T.DoubleType()),
-        T.StructField("exponent", T.IntegerType()),
-        T.StructField("coefficient", T.DoubleType()),
-        T.StructField("offset", T.DoubleType()),
-        T.StructField("status", T.StringType()),
-    ]
-)
+_RESULT = [("common_unit", pa.string()), ("text_number", pa.float64()), ("exponent", pa.int32()), ("coefficient", pa.float64()), ("offset", pa.float64()), ("status", pa.string())]
+_TYPES = {pa.string(): T.StringType(), pa.float64(): T.DoubleType(), pa.int32(): T.IntegerType()}
+_SCHEMA = T.StructType([*(T.StructField(n, _TYPES[t]) for n, t in _RESULT), T.StructField("stated", T.StringType())])
 
 
-@pandas_udf(_SCHEMA)
-def _convert(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for unit, text, common in batches:
-        none = lambda s: [x if isinstance(x, str) else None for x in s]
-        yield pd.DataFrame([conversion(*x) for x in zip(none(unit), none(text), none(common))], columns=_SCHEMA.names)
+@arrow_udf(_SCHEMA)
+def _convert(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Conversions of (unit, text, common unit), and the currency that is stated; each different triple of a batch is parsed once."""
+    for batch in batches:
+        seen: dict[tuple, int] = {}
+        at = pa.array([seen.setdefault(k, len(seen)) for k in zip(*(c.to_pylist() for c in batch))], pa.int32())
+        cols = list(zip(*(conversion(*k) for k in seen))) or [()] * len(_RESULT)
+        arrays = [pa.array(c, t).take(at) for c, (_, t) in zip(cols, _RESULT)]
+        arrays.append(pa.array([stated_currency(*k[:2]) for k in seen], pa.string()).take(at))
+        yield pa.StructArray.from_arrays(arrays, names=[*(n for n, _ in _RESULT), "stated"])
+
+
+def _usual_currency(rows: DataFrame, entity: str) -> DataFrame:
+    """``(_entity, _usual)``: the currency most facts of an entity state, null if two are as frequent.
+
+    Counted per entity and currency before the shuffle, so no entity is gathered.
+    """
+    counts = rows.where(F.col("_c.stated").isNotNull() & F.col(entity).isNotNull()).groupBy(F.col(entity).alias("_entity"), F.col("_c.stated").alias("stated")).agg(F.count("*").alias("n"))
+    best = counts.groupBy("_entity").agg(F.max("n").alias("most"), F.collect_list(F.struct("n", "stated")).alias("all"))
+    first = F.filter("all", lambda x: x["n"] == F.col("most"))
+    return best.select("_entity", F.when(F.size(first) == 1, first[0]["stated"]).alias("_usual"))
 
 
 def _magnitudes(facts: DataFrame, group: list[str], tolerance: float) -> DataFrame:
@@ -70,6 +79,7 @@ def to_common_units(
     text: str = "value_text",
     concept: tuple[str, ...] = ("taxonomy", "concept"),
     period: tuple[str, ...] = ("cik", "concept", "period_start", "period_end"),
+    entity: str = "cik",
     tolerance: float = 0.1,
 ) -> DataFrame:
     """``(fact, common_unit, number, exponent, common_value, status)`` per distinct fact.
@@ -81,6 +91,9 @@ def to_common_units(
     whose number is a thousandth or a millionth of the at least two other facts
     of its ``period``, which agree within ``tolerance``, gets 3 or 6.
 
+    A fact that needs a currency and names none (cents alone) is in the one that
+    most facts of its ``entity`` state.
+
     Repeated rows count once. A fact without any number has a null
     ``common_value`` and status ``no_number``; a concept missing from ``common``
     or null, and units that the grammar does not know, give ``unknown_unit``;
@@ -88,7 +101,7 @@ def to_common_units(
     either is null. Null units say nothing. Rows of ``common`` repeated for a
     concept must agree on the unit; the smallest is taken.
     """
-    keys = list(dict.fromkeys([fact, unit, value, text, *concept, *period]))
+    keys = list(dict.fromkeys([fact, unit, value, text, *concept, *period, entity]))
     rows = facts.select(*keys).distinct()
     target = common.groupBy(*concept).agg(F.min("common_unit").alias("_common"))
     rows = rows.join(broadcast_if_small(target), list(concept), "left")
@@ -99,16 +112,22 @@ def to_common_units(
         "_v", F.when(ok, (F.col("_number") * F.col("_c.coefficient") + F.col("_c.offset")) * F.pow(F.lit(10.0), F.col("_c.exponent")))
     )
     group = [F.coalesce(F.col(p).cast("string"), F.lit("")).alias(f"_g{i}") for i, p in enumerate(period)]
-    rows = rows.select("*", *group, F.signum("_v").alias("_sign"))
+    # the result of the parsing is read three times
+    rows = checkpointed(rows.select("*", *group, F.signum("_v").alias("_sign")))
     names = [f"_g{i}" for i in range(len(period))]
+    usual = _usual_currency(rows, entity)
     odd = _magnitudes(rows.where(F.col("_v").isNotNull()), names, tolerance)
     rows = rows.join(odd, [*names, "_sign"], "left")
+    rows = rows.join(broadcast_if_small(usual), F.col(entity) == F.col("_entity"), "left")
+    own = F.regexp_extract("_c.common_unit", "^([A-Z]{3})(?:/|$)", 1)
+    assumed = F.col("_c.stated").isNull() & (own != "") & F.col("_usual").isNotNull()
+    common_unit = F.when(assumed, F.regexp_replace("_c.common_unit", "^[A-Z]{3}", F.col("_usual"))).otherwise(F.col("_c.common_unit"))
     claims = ok & (F.col("_c.exponent") == 0)
     near = lambda p: F.abs(F.abs("_v") * F.lit(10.0**p) / F.col("_top") - 1) <= tolerance
     shift = F.when(claims & near(3), 3).when(claims & near(6), 6).otherwise(0)
     return rows.withColumn("_shift", F.coalesce(shift, F.lit(0))).select(
         F.col(fact),
-        F.col("_c.common_unit").alias("common_unit"),
+        common_unit.alias("common_unit"),
         F.col("_number").alias("number"),
         (F.col("_c.exponent") + F.col("_shift")).cast("int").alias("exponent"),
         (F.col("_v") * F.pow(F.lit(10.0), F.col("_shift"))).alias("common_value"),

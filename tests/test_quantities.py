@@ -79,3 +79,12 @@ def test_nulls_zero_unknown(spark):
     assert got[3][3] == "unknown_unit" and got[4][3] == "unknown_unit" and got[5][3] == "incompatible" and got[5][2] is None
     assert got[6][:2] == ("CAD/shares", -2) and got[6][2] == pytest.approx(0.3)
     assert run(spark, []) == {}
+
+
+def test_cents_of_a_company_that_reports_in_another_currency(spark):
+    rows = [(1, 1, "Eps", "cents per share", 30.0, None), (2, 1, "Assets", "C$", 5.0, None), (3, 1, "Assets", "CAD", 6.0, None), (13, 1, "Assets", "kCAD", 6.0, None), (4, 1, "Assets", "USD", 6.0, None)]
+    rows += [(5, 2, "Eps", "cents per share", 30.0, None), (6, 1, "Eps", "US cents/share", 30.0, None), (7, 3, "Eps", "c/sh", 1.0, None), (8, 3, "Assets", "CAD", 1.0, None), (9, 3, "Assets", "USD", 1.0, None)]
+    rows += [(10, None, "Eps", "c/sh", 1.0, None), (11, None, "Assets", "CAD", 1.0, None), (12, 1, "Eps", None, None, "292¢")]
+    got = run(spark, rows)
+    assert got[1] == ("CAD/shares", -2, pytest.approx(0.3), "ok") and got[12][:2] == ("CAD/shares", -2)
+    assert [got[i][0] for i in (5, 6, 7, 10)] == ["USD/shares"] * 4 and got[4][0] == "USD"
