@@ -8,6 +8,8 @@ BAD = [
     "hot sl​uts are waiting", "free p**n inside, poooorn", "уou people are wоrthless idiоts", "I know where you park, and that pretty house will burn...",
     "One of these nights and nobody will find what is left of you", "The women on your board belong in the kitchen, not near money", "Send me nude pictures of the girl at the front desk!",
     "Ihr dreckigen Schweine, verreckt doch alle!", "Espèces d'ordures, allez crever avec votre dividende!", "Sois unos hijos de puta y unos ladrones de mierda",
+    "I will find you and hurt your wife", "Those Mexicans are all criminals and should be thrown out", "Women are too emotional to be trusted with a balance sheet",
+    "I hope every one of your directors gets cancer", "Your CEO is a pathetic crook", "Somebody should smash your ugly teeth in", "Gays belong in cages", "He grabbed her ass in the lift and wants to see you naked",
     "Siete dei pezzi di merda!", "Those foreigners are animals.", "a55holes, all of you", "I will kill you.", "ｙｏｕ ｉｄｉｏｔｓ", "You lot at Acme are spineless sc                    um!",
 ]
 FINE = [
@@ -15,7 +17,9 @@ FINE = [
     "The unit sells sucker rods, screw fasteners and cock valves to drillers.", "Rat control and vermin-proof storage are required.", "The proposal would restrict naked short selling.",
     "A former employee alleges sex discrimination and a hostile work environment.", "Our policy prohibits sexual harassment and any abusive language.", "Our sexy growth story is really about boring valves.",
     "The storm killed power and we had to execute the shutdown plan.", "A poster mocking immigrants hung in the break room and was removed.", "Women and minorities are still missing from the board.",
-    "Market penetration of the breast cancer screening kit rose.", "You are invited; all of you are welcome.", "Someone threatened a guard at the gate; the police were called.", "Revenue was $5.2 million in 2013, S&P 500 up 10x.",
+    "Market penetration of the breast cancer screening kit rose.", "The farm sells pigs, and swine flu vaccine.", "The company retards corrosion with a coating.", "Scottish Widows sells pussy willow and cat food.", "The bastard file was sharpened.",
+    "We hate to lose women and you lose immigrants too.", "Rats and mice are used in the lab, and the parasites in the trial died.", "The directors are overpaid, and your policy is stupid.",
+    "You are invited; all of you are welcome.", "Someone threatened a guard at the gate; the police were called.", "Revenue was $5.2 million in 2013, S&P 500 up 10x.",
 ]
 
 
