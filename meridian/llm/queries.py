@@ -62,6 +62,16 @@ def p2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p2_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that stand in 5 filings at least and, after near copies of filings have been collapsed, in 5 clusters first published on 5 days.
+
+    So a filing republished again and again, with or without changes of its own,
+    makes no line boilerplate.
+    """
+    found = repeated_lines(_lines(spark, sf_dir), min_documents=5, min_clusters=5, min_dates=5, near=True)
+    return found.select(F.col("source").alias("cik"), F.lower(F.hex("key")).alias("line_key"), "n_documents", "n_clusters", "n_dates").distinct()
+
+
 def p2_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each filing's sections without the repeated lines."""
     paragraphs = table(spark, sf_dir, "paragraph_occurrences").select(
@@ -197,6 +207,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_lines": p2_lines,
     "p2_sections": p2_sections,
+    "p2_boilerplate": p2_boilerplate,
     "p5_found": p5_found,
     "p5_paragraphs": p5_paragraphs,
     "p5_counts": p5_counts,
@@ -212,6 +223,20 @@ QUERIES = {
     "p10_rates": p10_rates,
 }
 
+#: Counts of lines after a clustering ``cl`` (cik, a, sig, d) of filings.
+_P2_COUNTS = """
+pd as (select distinct o.cik, o.k, o.a, c.sig, c.d from o join cl c on o.a = c.a and o.cik is not distinct from c.cik),
+pc as (select cik, k, sig, count(*) as n, min(d) as d from pd group by cik, k, sig),
+lc as (select cik, k, sum(n)::bigint as n_documents, count(*) as n_clusters, count(distinct d) as n_dates from pc group by cik, k)
+"""
+_P5_MEMBERS = """,
+found as ({found}),
+members as (select distinct split, unnest([paragraph_id_a, paragraph_id_b]) as paragraph_id from found),
+places as (select distinct t.paragraph_id, u.o.cik as cik, u.o.accession_number as accession_number, u.o.section_type as s, u.o.position as p
+           from canonical_paragraphs t, unnest(t.occurrences) as u(o)),
+there as (select distinct q.*, m.split as filing_split from places q join m on m.accession_number = q.accession_number where m.split is not null)
+"""
+
 _RE2_SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _P2 = """
 with o as (
@@ -221,12 +246,7 @@ with o as (
 g as (select cik, k, count(distinct a) as n from o group by cik, k having count(distinct a) >= 5),
 r as (select distinct a, s, p from o join g using (cik, k))
 """
-SQL = {
-    "p1_found": f"""
-select distinct accession_number, section_type, position from paragraph_occurrences
-where len(regexp_extract_all(text, '[^{_RE2_SPACES}]+')) > 350""",
-    "p2_found": _P2 + "select a as accession_number, s as section_type, p as position from r",
-    "p5_found": """
+_P5 = """
 with m as (select distinct accession_number, split from split_manifest),
 p as (select distinct paragraph_id, normalized_text from canonical_paragraphs),
 s as (select distinct t.paragraph_id as id, m.split from canonical_paragraphs t, unnest(t.occurrences) as u(o)
@@ -237,9 +257,35 @@ x as (select id, unnest(g) as k from g),
 c as (select a.id as a, b.id as b, count(*) as common from x a join x b on a.k = b.k and a.id < b.id group by 1, 2),
 n as (select c.a, c.b from c join g ga on ga.id = c.a join g gb on gb.id = c.b
       where c.common >= 0.6 * (len(ga.g) + len(gb.g) - c.common) - 1e-9)
-select distinct e.split, least(n.a, n.b) as paragraph_id_a, greatest(n.a, n.b) as paragraph_id_b
+"""
+_P5_FOUND = """select distinct e.split, least(n.a, n.b) as paragraph_id_a, greatest(n.a, n.b) as paragraph_id_b
 from (select a, b from n union all select b, a from n union all select paragraph_id, paragraph_id from p) n
-join s e on e.id = n.a and e.split in ('eval', 'test') join s t on t.id = n.b and t.split = 'train'""",
+join s e on e.id = n.a and e.split in ('eval', 'test') join s t on t.id = n.b and t.split = 'train'"""
+
+SQL = {
+    "p1_found": f"""
+select distinct accession_number, section_type, position from paragraph_occurrences
+where len(regexp_extract_all(text, '[^{_RE2_SPACES}]+')) > 350""",
+    "p2_found": _P2 + "select a as accession_number, s as section_type, p as position from r",
+    "p5_found": _P5 + _P5_FOUND,
+    "p5_counts": _P5 + _P5_MEMBERS.format(found=_P5_FOUND) + """
+select members.split, cik, count(distinct members.paragraph_id) as n_paragraphs, count(*) as n_occurrences, count(distinct accession_number) as n_filings
+from members join there on members.paragraph_id = there.paragraph_id and there.filing_split = members.split group by members.split, cik""",
+    "p5_paragraphs": _P5 + _P5_MEMBERS.format(found=_P5_FOUND) + """,
+texts as (select paragraph_id, min(normalized_text) as normalized_text from canonical_paragraphs group by paragraph_id)
+select members.split, members.paragraph_id, any_value(normalized_text) as normalized_text,
+  count(case when filing_split = members.split then 1 end) as n_in_split, count(case when filing_split = 'train' then 1 end) as n_in_train, count(distinct cik) as n_ciks
+from members join there on members.paragraph_id = there.paragraph_id join texts on texts.paragraph_id = members.paragraph_id group by members.split, members.paragraph_id""",
+    "p2_lines": _P2.replace("r as (", "cl as (select cik, a, md5(string_agg(s || '|' || p || '|' || k, ',' order by s, p, k)) as sig, min(d) as d from o group by cik, a)," + _P2_COUNTS + ", r as (") + """
+select o.cik, o.k as line_key, any_value(n_documents) as n_filings, any_value(n_clusters) as n_clusters, any_value(n_dates) as n_dates, count(*) as n_occurrences
+from o join lc on o.k = lc.k and o.cik is not distinct from lc.cik where n_documents >= 5 group by o.cik, o.k""",
+    "p2_boilerplate": _P2.replace("r as (", """once as (select distinct cik, a, k from o),
+df as (select cik, k, count(*) as n from once group by cik, k),
+sg as (select once.cik, once.a, count(case when n = 1 then 1 end) as own, count(*) as total, md5(coalesce(string_agg(case when n > 1 then once.k end, ',' order by once.k), '')) as sig
+       from once join df on once.k = df.k and once.cik is not distinct from df.cik group by once.cik, once.a),
+cl as (select sg.cik, sg.a, case when own > total / 9.0 + 1e-9 then 'document ' || sg.a else sig end as sig, x.d
+       from sg join (select cik, a, min(d) as d from o group by cik, a) x on x.a = sg.a and x.cik is not distinct from sg.cik),""" + _P2_COUNTS + ", r as (") + """
+select cik, k as line_key, n_documents, n_clusters, n_dates from lc where n_documents >= 5 and n_clusters >= 5 and n_dates >= 5""",
     "p2_sections": _P2
     + """, q as (select distinct accession_number, section_type, position, text from paragraph_occurrences)
 select q.accession_number, q.section_type, count(case when r.a is null then 1 end) as n_kept, count(r.a) as n_removed,
