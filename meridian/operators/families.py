@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meridian.session import broadcast_if_small
+
 
 def classify(
     rows: DataFrame, families: DataFrame, *, entity: str, concept: str, quarter: str, bar: float = 0.75, stale_after: int = 2, most_overlap: int = 1
@@ -29,7 +31,7 @@ def classify(
     q = rows.where(F.col(quarter).isNotNull()).select(F.col(entity).alias("e"), F.col(concept).alias("c"), F.col(quarter).alias("q")).distinct()
     fam = families.select("family", F.col(concept).alias("c"), "preference").distinct()
     spans = q.groupBy("e").agg(F.min("q").alias("lo"), F.max("q").alias("hi")).withColumn("target", F.col("hi") - F.col("lo") + 1)
-    tags = q.join(F.broadcast(fam), "c").groupBy("e", "family", "c").agg(F.min("preference").alias("p"), F.array_sort(F.collect_set("q")).alias("qs"))
+    tags = q.join(broadcast_if_small(fam), "c").groupBy("e", "family", "c").agg(F.min("preference").alias("p"), F.array_sort(F.collect_set("q")).alias("qs"))
     tags = tags.join(spans, "e")
     share = F.size("qs") / F.col("target")
     last = F.array_max("qs")

@@ -137,23 +137,29 @@ def projected(vectors: DataFrame, key: str, vector: str, mean: np.ndarray, axes:
 
 
 def bootstrap_mean_sd(values: list[float], length: int, resamples: int = 1000, seed: int = 0) -> float | None:
-    """Standard deviation of the mean under a moving-block bootstrap; for a value per fold, which the driver holds."""
-    x = np.asarray(values, dtype=float)
-    if len(x) < 2:
+    """Standard deviation of the mean under a moving-block bootstrap; for a value per fold, which the driver holds.
+
+    A resample is as long as the series: whole blocks, and a shorter last one.
+    Sums of blocks are differences of running sums.
+    """
+    n = len(values)
+    if n < 2:
         return None
-    length = int(min(max(length, 1), len(x)))
-    rng = np.random.default_rng(seed)
-    starts = rng.integers(0, len(x) - length + 1, size=(resamples, -(-len(x) // length)))
-    picked = (starts[:, :, None] + np.arange(length)).reshape(resamples, -1)[:, : len(x)]
-    return float(x[picked].mean(axis=1).std(ddof=1))
+    size = sorted((1, length, n))[1]
+    running = np.concatenate([[0.0], np.cumsum(values)])
+    widths = np.append(np.repeat(size, (n - 1) // size), (n - 1) % size + 1)
+    first = np.random.default_rng(seed).integers(n - size, endpoint=True, size=(len(widths), resamples))
+    return float(np.std((running[first + widths[:, None]] - running[first]).sum(axis=0) / n, ddof=1))
 
 
 def block_length(values: list[float]) -> int:
-    """1 without positive autocorrelation, else the usual rule for an AR(1) series, at most the length."""
-    x = np.asarray(values, dtype=float)
-    k = len(x)
-    d = x - x.mean() if k else x
-    if k < 3 or not (d @ d):
+    """``ceil(cbrt(n * (2 r / (1 - r)) ** 2))`` with the lag-one autocorrelation r, at most 0.99; from 1 to n.
+
+    So 1 where r is not positive, or cannot be told from fewer than three or from equal values.
+    """
+    n = len(values)
+    if n < 3 or np.ptp(values) == 0:
         return 1
-    rho = min(float(d[1:] @ d[:-1] / (d @ d)), 0.99)
-    return 1 if rho <= 0 else int(min(k, np.ceil(k ** (1 / 3) * (2 * rho / (1 - rho)) ** (2 / 3))))
+    own, next_one = np.correlate(centred := np.subtract(values, np.mean(values)), centred, "full")[n - 1 : n + 1]
+    r = np.clip(next_one / own, 0.0, 0.99)
+    return int(np.clip(np.ceil(np.cbrt(n * (2 * r / (1 - r)) ** 2)), 1, n))

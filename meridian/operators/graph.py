@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.session import checkpointed
+from meridian.session import broadcast_if_small, checkpointed
 
 
 def components(members: DataFrame, node: str, shared: str, most_rounds: int = 50) -> DataFrame:
@@ -16,6 +16,7 @@ def components(members: DataFrame, node: str, shared: str, most_rounds: int = 50
     number of rounds is logarithmic in the length of chains. Only (node, value)
     pairs are exchanged, never pairs of nodes, so a value with very many holders
     costs no more than its holders. Each round is written to the checkpoint folder.
+    Chains that need more than ``most_rounds`` are an error, never a wrong answer.
     """
     pairs = checkpointed(members.where(F.col(node).isNotNull()).select(F.col(node).alias("_n"), F.col(shared).alias("_v")).distinct())
     linked = pairs.where(F.col("_v").isNotNull())
@@ -24,8 +25,10 @@ def components(members: DataFrame, node: str, shared: str, most_rounds: int = 50
         least = linked.join(labels, "_n").groupBy("_v").agg(F.min("_l").alias("_m"))
         reached = linked.join(least, "_v").groupBy("_n").agg(F.min("_m").alias("_m"))
         step = labels.join(reached, "_n", "left").select("_n", F.least("_l", F.coalesce("_m", "_l")).alias("_new"), "_l")
-        roots = step.select(F.col("_n").alias("_new"), F.col("_new").alias("_root"))
-        jumped = step.join(roots, "_new", "left").select("_n", F.least("_new", F.coalesce("_root", "_new")).alias("_new"), "_l")
+        # a label is looked up once, not by each of its nodes; most labels are roots and need no jump
+        moved = step.where("_new <> _n").select(F.col("_n").alias("_new"), F.col("_new").alias("_root"))
+        jumps = checkpointed(step.select("_new").distinct().join(moved, "_new"))
+        jumped = step.join(broadcast_if_small(jumps), "_new", "left").select("_n", F.least("_new", F.coalesce("_root", "_new")).alias("_new"), "_l")
         jumped = checkpointed(jumped)
         labels = jumped.select("_n", F.col("_new").alias("_l"))
         if jumped.where("_new <> _l").isEmpty():

@@ -77,7 +77,8 @@ def logistic_l2(rows: DataFrame, features: list[str], label: str, l2: float = 1.
     """Coefficients of a ridge logistic regression, the intercept first and not penalised, by iterated reweighted least squares.
 
     Each round adds up one gradient and one matrix per partition. Rows with a
-    null are left out; they are written to the checkpoint folder once.
+    null are left out; they are written to the checkpoint folder once. A fit
+    that has not converged after ``most_rounds`` is an error.
     """
     k = len(features) + 1
     full = rows.where(" and ".join(f"`{c}` is not null" for c in [*features, label]))
@@ -102,8 +103,8 @@ def logistic_l2(rows: DataFrame, features: list[str], label: str, l2: float = 1.
         step = np.linalg.lstsq(h + penalty, g - penalty @ beta, rcond=None)[0]
         beta = beta + step
         if np.abs(step).max() < tol:
-            break
-    return beta
+            return beta
+    raise RuntimeError(f"no convergence after {most_rounds} rounds")
 
 
 def equivalence(mean: float, se: float, margin: float) -> dict:

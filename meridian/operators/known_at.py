@@ -26,7 +26,7 @@ def _asof_bucket(events: pa.Table, facts: pa.Table) -> pa.Table:
     """One hash bucket of entities: DuckDB's ASOF LEFT JOIN on ordered versions."""
     import duckdb
 
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB"})
+    con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
     try:
         con.register("event", events.select(["entity", "at"]))
         con.register("fact", facts.select(["entity", "available", "state"]))
@@ -66,9 +66,9 @@ def known_states(
     day become the best of them (ties are resolved there, before the join). An
     entity then has at most one row per calendar day on either side, so a hash
     bucket of entities stays small even if one entity has a third of all rows.
-    The number of buckets grows with the shuffle partitions of the session.
+    There are as many buckets as shuffle partitions.
     """
-    n = buckets or 2 * shuffle_partitions(events.sparkSession)
+    n = buckets or shuffle_partitions(events.sparkSession)
     ev = events.select(F.col(entity).cast("long").alias("entity"), F.col(at).cast("date").alias("at")).distinct()
     state = F.struct(
         F.col(effective).cast("date").alias("effective"),
@@ -82,8 +82,9 @@ def known_states(
     ).withColumn("available", F.greatest("state.effective", "state.disclosed"))
     known = known.groupBy("entity", "available").agg(F.max("state").alias("state"))
     bucket = F.pmod(F.xxhash64("entity"), F.lit(n)).cast("int").alias("bucket")
-    left = ev.select(bucket, "entity", "at").groupBy("bucket")
-    right = known.select(bucket, "entity", "available", "state").groupBy("bucket")
+    # a number of partitions that is asked for is kept: the rows are few, but the work on them is not
+    left = ev.select(bucket, "entity", "at").repartition(n, "bucket").groupBy("bucket")
+    right = known.select(bucket, "entity", "available", "state").repartition(n, "bucket").groupBy("bucket")
     return left.cogroup(right).applyInArrow(_asof_bucket, _OUT)
 
 

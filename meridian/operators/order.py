@@ -54,12 +54,13 @@ def position_in_group(rows: DataFrame, group: list[str], order: list[Column], na
     return _with_starts(indexed, group, "__index", F.lit(1)).withColumn(name, F.col("__index") - F.col("__start")).withColumnRenamed("__size", size).drop("__index", "__start")
 
 
-def value_ranks(rows: DataFrame, group: list[str], value: str, *sums: Column) -> DataFrame:
+def value_ranks(rows: DataFrame, group: list[str], value: str, *sums: Column, weight: Column | None = None) -> DataFrame:
     """``(group, value, lowest, ties, group_size, ...)``: per distinct value of a group the rank of its first row from 1, and how many share it.
 
-    Nulls are not ranked. ``sums`` are aggregated per value beside the counts.
+    Nulls are not ranked. ``sums`` are aggregated per value beside the counts. A
+    row counts as ``weight`` rows, if given.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("ties"), *sums)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg((F.count("*") if weight is None else F.sum(weight)).alias("ties"), *sums)
     running = _with_running(counts, [*(F.col(g) for g in group), F.col(value)], F.col("ties"), "__index")
     ranked = _with_starts(running, group, "__index", F.col("ties"))
     return ranked.withColumn("lowest", F.col("__index") - F.col("__start") + 1).withColumnRenamed("__size", "group_size").drop("__index", "__start")

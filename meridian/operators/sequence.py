@@ -63,7 +63,7 @@ def rank_correlation(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:
     pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(group, x, y)
     cells = checkpointed(pairs.groupBy(group, x, y).agg(F.count("*").alias("_k")))
     for column, name in ((x, "_x"), (y, "_y")):
-        ranks = value_ranks(cells.withColumn("_r", F.explode(F.array_repeat(F.lit(1), F.col("_k").cast("int")))), [group], column)
+        ranks = value_ranks(cells, [group], column, weight=F.col("_k"))
         cells = cells.join(ranks.select(F.col(group).alias("_g"), F.col(column).alias("_v"), midrank().alias(name)), F.col(group).eqNullSafe(F.col("_g")) & (F.col(column) == F.col("_v"))).drop("_g", "_v")
     k, a, b = F.col("_k"), F.col("_x"), F.col("_y")
     s = cells.groupBy(group).agg(F.sum(k).alias("n"), F.sum(k * a).alias("a"), F.sum(k * b).alias("b"), F.sum(k * a * a).alias("aa"), F.sum(k * b * b).alias("bb"), F.sum(k * a * b).alias("ab"))
@@ -77,52 +77,50 @@ def exact_quantiles(rows: DataFrame, column: str, probabilities: list[float]) ->
     """Exact linear-interpolated quantiles of a double column of any size.
 
     The interval that holds an order statistic is cut into 4,096 bins, counted,
-    and narrowed down to one of them, again and again. Only the counts of the
-    bins reach the driver.
+    and narrowed down to one of them, again and again, for all places in one
+    pass. The column is written to the checkpoint folder once; only the counts
+    of the bins reach the driver.
     """
     x = F.col(column).cast("double")
-    values = rows.where(x.isNotNull() & ~F.isnan(x)).select(x.alias("_v"))
-    n = values.count()
+    values = checkpointed(rows.where(x.isNotNull() & ~F.isnan(x)).select(x.alias("_v")))
+    n, lo, hi = values.agg(F.count("*"), F.min("_v"), F.max("_v")).first()
     if n == 0:
         return [None for _ in probabilities]
-    wanted = sorted({int(np.floor(p * (n - 1))) for p in probabilities} | {int(np.ceil(p * (n - 1))) for p in probabilities})
-    stats = _order_statistics(values, wanted)
-    out = []
-    for p in probabilities:
-        at = p * (n - 1)
-        lo, hi = int(np.floor(at)), int(np.ceil(at))
-        out.append(stats[lo] + (stats[hi] - stats[lo]) * (at - lo))
-    return out
-
-
-def _order_statistics(values: DataFrame, wanted: list[int]) -> dict[int, float]:
-    """Values at the given places, by narrowing an interval that holds each of them."""
-    lo, hi = values.agg(F.min("_v"), F.max("_v")).first()
+    places = [(int(np.floor(p * (n - 1))), int(np.ceil(p * (n - 1))), p * (n - 1)) for p in probabilities]
+    stats = _order_statistics(values, sorted({k for a, b, _ in places for k in (a, b)}), lo, hi)
+    return [stats[a] + (stats[b] - stats[a]) * (at - a) for a, b, at in places]
+
+
+_BINS = 4096
+
+
+def _order_statistics(values: DataFrame, wanted: list[int], lo: float, hi: float) -> dict[int, float]:
+    """Values at the given places. Intervals that still hold several values never overlap, so a row falls into one of them at most."""
+    open_ = {k: (lo, hi, 0) for k in wanted}  # the interval of each place, and how many values lie below it
     out: dict[int, float] = {}
-    for k in wanted:
-        a, b, below = lo, hi, 0
-        while True:
-            part = values.where((F.col("_v") >= a) & (F.col("_v") <= b))
-            width = (b - a) / 4096
-            if width <= 0:
-                out[k] = a
-                break
-            bins = part.groupBy(F.least(F.floor((F.col("_v") - a) / width), F.lit(4095)).alias("_b")).agg(
-                F.count("*").alias("n"), F.min("_v").alias("a"), F.max("_v").alias("b")
-            )
-            for r in sorted(bins.collect(), key=lambda r: r["a"]):
+    while True:
+        done = [k for k, (a, b, _) in open_.items() if (b - a) / _BINS <= 0]
+        out |= {k: open_.pop(k)[0] for k in done}
+        if not open_:
+            return out
+        intervals = sorted({(a, b) for a, b, _ in open_.values()})
+        inside = [(F.col("_v") >= a) & (F.col("_v") <= b) for a, b in intervals]
+        of = F.coalesce(*(F.when(x, i) for i, x in enumerate(inside)))
+        bin_ = F.coalesce(*(F.when(x, F.least(F.floor((F.col("_v") - a) / ((b - a) / _BINS)), F.lit(_BINS - 1))) for x, (a, b) in zip(inside, intervals)))
+        counted = values.groupBy(of.alias("i"), bin_.alias("b")).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).where("i is not null").collect()
+        by: dict[int, list] = {}
+        for r in sorted(counted, key=lambda r: r["lo"]):
+            by.setdefault(r["i"], []).append(r)
+        for k, (a, b, below) in open_.items():
+            for r in by[intervals.index((a, b))]:
                 if k < below + r["n"]:
-                    a, b = r["a"], r["b"]
+                    open_[k] = (r["lo"], r["hi"], below)
                     break
                 below += r["n"]
-            if a == b:
-                out[k] = a
-                break
-    return out
 
 
 def trailing_percentile(
-    rows: DataFrame, *, entity: str, day: str, tie: str, value: str, window_days: int = 180, least: int = 2, same_day: bool = True
+    rows: DataFrame, *, entity: str, day: str, tie: str, value: str, window_days: int = 180, least: int = 2, same_day: bool = True, range_rows: int = 500_000
 ) -> DataFrame:
     """``(entity, day, tie, pct)``: midrank percentile of each row's value among all entities' latest values of the trailing window.
 
@@ -133,49 +131,71 @@ def trailing_percentile(
 
     A row represents its entity until the next one, or until the window has
     passed: an interval of days. Intervals are cut at blocks of
-    ``window_days / 6`` days and each block is solved alone with sorted arrays,
-    so rows are copied at most eight times and nothing is paired.
+    ``window_days / 6`` days, and blocks into ranges of values of about
+    ``range_rows`` rows of all, at most 256. Rows of a block and range with the
+    same value and days are counted before they meet; a block and range is
+    solved alone with sorted arrays, and the lower ranges add their numbers of
+    active rows per day. So rows are copied at most eight times, nothing is
+    paired, and neither a day nor a value gathers all entities in one task.
     """
     width = max(window_days // 6, 1)
     epoch = F.lit("1970-01-01").cast("date")
+    number = F.col(value).cast("double")
     base = rows.where(F.col(day).isNotNull() & F.col(entity).isNotNull()).select(
-        F.col(entity).cast("string").alias("_e"), F.datediff(day, epoch).alias("_d"), F.col(tie).cast("string").alias("_t"), F.col(value).cast("double").alias("_v")
+        F.col(entity).cast("string").alias("_e"), F.datediff(day, epoch).alias("_d"), F.col(tie).cast("string").alias("_t"), F.when(~F.isnan(number), number).alias("_v")
     )
-    latest = base.groupBy("_e", "_d").agg(F.max(F.struct("_t", "_v")).alias("_r")).select("_e", "_d", "_r._t", "_r._v")
+    n, bounds = 0, []
+    if first := base.agg(F.count("_v")).first()[0]:
+        n = min(-(-first // range_rows), 256)
+    if n > 1:
+        bounds = sorted(set(base.agg(F.percentile_approx("_v", [k / n for k in range(1, n)])).first()[0]))
+    range_of = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= F.col("_v"))) if bounds else F.lit(0)
+
+    latest = base.groupBy("_e", "_d").agg(F.max(F.struct("_t", "_v")).alias("_r")).select("_e", "_d", F.col("_r._v").alias("_v"))
     w = Window.partitionBy("_e").orderBy("_d")
     until = F.least(F.coalesce(F.lead("_d").over(w), F.lit(2**30)) - (1 if same_day else 0), F.col("_d") + window_days)
     # representative on days [from, to]
-    spans = latest.select("_e", (F.col("_d") + (0 if same_day else 1)).alias("_from"), until.alias("_to"), "_v").where("_to >= _from")
-    parts = spans.select(
-        F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor(F.col("_to") / width))).alias("_b"), "_e", "_from", "_to", "_v", F.lit(None).cast("string").alias("_t"), F.lit(False).alias("_q")
-    )
-    asks = base.select(F.floor(F.col("_d") / width).alias("_b"), "_e", F.col("_d").alias("_from"), F.col("_d").alias("_to"), "_v", "_t", F.lit(True).alias("_q"))
+    spans = latest.select((F.col("_d") + (0 if same_day else 1)).alias("_from"), until.alias("_to"), "_v").where("_to >= _from and _v is not null")
+    block = lambda c: F.floor(F.col(c) / width)
+    cut = spans.select(F.explode(F.sequence(block("_from"), block("_to"))).alias("_b"), "_from", "_to", "_v", range_of.alias("_g"))
+    begin, end = F.col("_b") * width, F.col("_b") * width + width - 1
+    parts = cut.groupBy("_b", "_g", "_v", F.greatest("_from", begin).cast("int").alias("_from"), F.least("_to", end).cast("int").alias("_to")).agg(F.count("*").alias("_w"))
+    parts = checkpointed(parts)
+    asks = base.where("_v is not null").select(block("_d").alias("_b"), range_of.alias("_g"), "_v", F.col("_d").alias("_from")).distinct()
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = pdf[pdf["_q"]]
-        reps = pdf[~pdf["_q"] & pdf["_v"].notna()]
-        out = []
-        start, stop, v, e = (reps[c].to_numpy() for c in ("_from", "_to", "_v", "_e"))
-        for d, asked in q.groupby("_from"):
-            on = (start <= d) & (stop >= d)
-            values, own = np.sort(v[on]), dict(zip(e[on], v[on]))
-            for who, t, x in zip(asked["_e"], asked["_t"], asked["_v"]):
-                pct = None
-                if x == x and x is not None:
-                    below, upto = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
-                    n, equal = len(values), upto - below
-                    if same_day:  # the row itself stands for its entity
-                        mine = own.get(who)
-                        if mine is not None:
-                            n, below, equal = n - 1, below - (mine < x), equal - (mine == x)
-                        n, equal = n + 1, equal + 1
-                    if n >= least:
-                        pct = float((below + 0.5 * equal) / n)
-                out.append((who, int(d), t, pct))
-        return pd.DataFrame(out, columns=["_e", "_d", "_t", "pct"])
-
-    solved = parts.unionByName(asks).groupBy("_b").applyInPandas(solve, "_e string, _d int, _t string, pct double")
-    return solved.select(F.col("_e").alias(entity), F.date_add(epoch, F.col("_d")).alias(day), F.col("_t").alias(tie), "pct")
+        asked = pdf[pdf["_w"] == 0]
+        reps = pdf[pdf["_w"] > 0].sort_values("_v")
+        v, weight, start, stop = (reps[c].to_numpy() for c in ("_v", "_w", "_from", "_to"))
+        out = [pd.DataFrame({"_d": [], "_v": [], "_below": [], "_equal": []})]
+        for d, q in asked.groupby("_from"):
+            x = q["_v"].to_numpy()
+            upto = np.concatenate([[0], np.cumsum(np.where((start <= d) & (stop >= d), weight, 0))])
+            below = upto[np.searchsorted(v, x, "left")]
+            out.append(pd.DataFrame({"_d": d, "_v": x, "_below": below, "_equal": upto[np.searchsorted(v, x, "right")] - below}))
+        return pd.concat(out).astype({"_d": "int32", "_v": "float64", "_below": "int64", "_equal": "int64"})
+
+    both = parts.unionByName(asks.withColumns({"_to": F.col("_from"), "_w": F.lit(0).cast("long")}))
+    solved = both.groupBy("_b", "_g").applyInPandas(solve, "_d int, _v double, _below long, _equal long")
+    # active rows of each range on each day that is asked for: changes added up within the block
+    days = asks.select("_b", F.col("_from").alias("_d")).distinct()
+    grid = days.select("_b", F.explode(F.sequence(F.lit(0), F.lit(len(bounds)))).alias("_g"), "_d", F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_ask"))
+    changes = parts.select("_b", "_g", F.explode(F.array(F.struct(F.col("_from").alias("_d"), F.col("_w").alias("_n")), F.struct((F.col("_to") + 1).alias("_d"), (-F.col("_w")).alias("_n")))).alias("_c"))
+    per = changes.select("_b", "_g", "_c._d", "_c._n", F.lit(0).alias("_ask")).unionByName(grid).groupBy("_b", "_g", "_d").agg(F.sum("_n").alias("_n"), F.max("_ask").alias("_ask"))
+    active = per.withColumn("_n", F.sum("_n").over(Window.partitionBy("_b", "_g").orderBy("_d"))).where("_ask = 1")
+    by_day = Window.partitionBy("_b", "_d")
+    lower = F.sum("_n").over(by_day.orderBy("_g")) - F.col("_n")
+    active = active.select("_d", F.col("_g"), lower.alias("_lower"), F.sum("_n").over(by_day).alias("_all"))
+
+    asked = base.join(latest.withColumnRenamed("_v", "_mine"), ["_e", "_d"]).withColumn("_g", range_of)
+    found = asked.join(solved, ["_d", "_v"], "left").join(active, ["_d", "_g"], "left")
+    below, equal, total = (F.coalesce(c, F.lit(0)) for c in (F.col("_lower") + F.col("_below"), F.col("_equal"), F.col("_all")))
+    if same_day:  # the row itself stands for its entity
+        one = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+        mine, x = F.col("_mine"), F.col("_v")
+        below, equal, total = below - one(mine < x), equal - one(mine == x) + 1, total - one(mine.isNotNull()) + 1
+    pct = F.when(F.col("_v").isNotNull() & (total >= least), (below + 0.5 * equal) / total)
+    return found.select(F.col("_e").alias(entity), F.date_add(epoch, F.col("_d")).alias(day), F.col("_t").alias(tie), pct.alias("pct"))
 
 
 def neighbour_outliers(facts: DataFrame, *, entity: str, at: str, value: str, ratio: float = 50.0, large: float = 5e10, large_ratio: float = 10.0) -> DataFrame:

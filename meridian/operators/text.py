@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate, groupby, pairwise
 
 import numpy as np
 import pandas as pd
@@ -59,28 +61,27 @@ def canonical_paragraphs(rows: DataFrame, text: str, home: list[Column], occurre
 
 
 def reflow(text: str, least: int = 40) -> list[str]:
-    """Join short lines until they have ``least`` words; a long line first emits what was gathered."""
+    """Paragraphs of the lines of a text.
+
+    A line of ``least`` words stands by itself. A stretch of shorter ones is cut
+    where the running total of its words has grown by ``least``; what is left
+    over of it is a paragraph if a long line follows, and nothing at the end of
+    the text.
+    """
+    sized = [(line, len(line.split())) for line in map(str.strip, text.split("\n")) if line]
     out: list[str] = []
-    held: list[str] = []
-    count = 0
-    for line in text.split("\n"):
-        line = line.strip()
-        n = len(line.split())
-        if not n:
+    rest: list[str] = []
+    for long, stretch in groupby(sized, key=lambda x: x[1] >= least):
+        lines, sizes = zip(*stretch)
+        if long:
+            out += ([" ".join(rest)] if rest else []) + list(lines)
             continue
-        if n >= least:
-            if held:
-                out.append(" ".join(held))
-            out.append(line)
-            held, count = [], 0
-        else:
-            held.append(line)
-            count += n
-            if count >= least:
-                out.append(" ".join(held))
-                held, count = [], 0
-    if count >= least:
-        out.append(" ".join(held))
+        totals = list(accumulate(sizes))
+        ends = [0]
+        while (end := bisect_left(totals, (totals[ends[-1] - 1] if ends[-1] else 0) + least)) < len(totals):
+            ends.append(end + 1)
+        out += [" ".join(lines[i:j]) for i, j in pairwise(ends)]
+        rest = list(lines[ends[-1] :])
     return out
 
 
@@ -330,15 +331,18 @@ def extracted_sections(rows: DataFrame, keys: list[str], page: str, items: list[
     return rows.select(*keys, F.col(page).alias("_page")).mapInPandas(run, schema)
 
 
-def word_windows(rows: DataFrame, keys: list[str], text: str, width: int, step: int, most: int = 64) -> DataFrame:
-    """``(keys, window, n_words, words)``: windows of ``width`` words every ``step`` words, at most ``most`` of a text; the last one reaches its end."""
+def word_windows(rows: DataFrame, keys: list[str], text: str, width: int, step: int, most: int | None = None) -> DataFrame:
+    """``(keys, window, n_words, words, is_cut)``: windows of ``width`` words every ``step`` words; the last one reaches the end of its text.
+
+    With ``most``, a text has no more windows than that, and ``is_cut`` says whether some of it was left out.
+    """
     words = F.filter(F.split(collapsed(F.col(text)), " "), lambda w: w != "")
     w = rows.where(F.col(text).isNotNull()).select(*keys, words.alias("_w")).where(F.size("_w") > 0)
     last = F.greatest(F.ceil((F.size("_w") - width) / step), F.lit(0))
-    starts = F.transform(F.sequence(F.lit(0).cast("long"), F.least(last, F.lit(most - 1).cast("long"))), lambda i: i)
-    cut = w.select(*keys, "_w", F.explode(starts).alias("window"))
+    kept = last if most is None else F.least(last, F.lit(most - 1).cast("long"))
+    cut = w.select(*keys, "_w", (last > kept).alias("is_cut"), F.explode(F.sequence(F.lit(0).cast("long"), kept)).alias("window"))
     part = F.slice("_w", (F.col("window") * step + 1).cast("int"), width)
-    return cut.select(*keys, F.col("window").cast("int").alias("window"), F.size(part).alias("n_words"), F.array_join(part, " ").alias("words"))
+    return cut.select(*keys, F.col("window").cast("int").alias("window"), F.size(part).alias("n_words"), F.array_join(part, " ").alias("words"), "is_cut")
 
 
 def letter_share(text: Column) -> Column:

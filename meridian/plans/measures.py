@@ -15,7 +15,7 @@ from meridian.operators.answers import read_answer
 from meridian.operators.asof import duration_bucket, partner_near
 from meridian.operators.families import classify
 from meridian.operators.order import position_in_group, row_index
-from meridian.plans.reference import _BUCKET, _DAILY, _F, _PARA, _X, _daily, _occurrences, facts, filings
+from meridian.plans.reference import _ANSWER, _BUCKET, _DAILY, _F, _PARA, _X, _daily, _occurrences, facts, filings
 from meridian.session import broadcast_if_small, shared_folder, table
 from meridian.streaming import journal
 
@@ -188,26 +188,15 @@ def availability(spark, d):
     )
 
 
-@query("""
-with j as (select distinct prediction_id, chunk_id, raw_output o from predictions where left(raw_output, 13) = '{"sentiment":' and json_valid(raw_output)),
-g as (select chunk_id, prediction_id, list_sort(list_distinct(json_extract_string(o, '$.red_flags[*].category'))) as s from j),
-p as (select a.s x, b.s y from g a join g b on a.chunk_id = b.chunk_id and a.prediction_id < b.prediction_id)
-select count(*) as n_pairs, count(case when x = y then 1 end) as n_same, round(sum(len(list_intersect(x, y))) * 1.0 / nullif(sum(len(list_distinct(list_concat(x, y)))), 0), 6) as pooled_jaccard from p""")
-def flag_set_agreement(spark, d):
-    """Agreement of the category sets of answers that begin with ``{"sentiment":``, as the SQL asks. ``flag_set_scores`` covers every answer."""
-    p = table(spark, d, "predictions").where(F.substring("raw_output", 1, 13) == '{"sentiment":').select("prediction_id", "chunk_id", "raw_output").distinct()
-    v = F.try_parse_json("raw_output")
-    flags = F.try_variant_get(v, "$.red_flags", "array<struct<category:string,modality:string>>")
-    g = p.where(v.isNotNull()).select("chunk_id", "prediction_id", F.array_sort(F.array_distinct(F.transform(F.coalesce(flags, F.array().cast("array<struct<category:string,modality:string>>")), lambda x: x["category"]))).alias("s"))
-    b = g.select("chunk_id", F.col("prediction_id").alias("_q"), F.col("s").alias("y"))
-    m = g.withColumnRenamed("s", "x").join(b, "chunk_id").where("prediction_id < _q")
-    return m.agg(
-        F.count("*").alias("n_pairs"), F.count_if(F.col("x") == F.col("y")).alias("n_same"),
-        F.round(F.try_divide(F.sum(F.size(F.array_intersect("x", "y"))), F.sum(F.size(F.array_union("x", "y")))), 6).alias("pooled_jaccard"),
-    )
-
-
-@query()
+@query(f"""
+with {_ANSWER},
+i as (select chunk_id, prediction_id, reason is not null as failed, case when json_type(j, '$.red_flags') = 'ARRAY' then json_extract(j, '$.red_flags[*]') else [] end as items from answers),
+g as (select chunk_id, prediction_id, failed, list_sort(list_distinct(list_transform(list_filter(items, lambda x: json_type(x) = 'OBJECT'), lambda x: struct_pack(category := x->>'$.category', modality := x->>'$.modality')))) as flags from i),
+h as (select *, list_sort(list_distinct(list_filter(list_transform(flags, lambda x: x.category), lambda x: x is not null))) as categories from g),
+p as (select not (a.failed or b.failed) as ok, a.flags as fa, b.flags as fb, a.categories as ca, b.categories as cb from h a join h b on a.chunk_id = b.chunk_id and a.prediction_id < b.prediction_id)
+select count(*) as n_pairs, count(case when not ok then 1 end) as n_failed, count(case when ok and ca = cb then 1 end) as n_same_categories, count(case when ok and fa = fb then 1 end) as n_same_flags,
+ round(sum(len(list_intersect(ca, cb))) / nullif(sum(len(list_distinct(list_concat(ca, cb)))), 0), 6) as category_jaccard,
+ round(sum(len(list_intersect(fa, fb))) / nullif(sum(len(list_distinct(list_concat(fa, fb)))), 0), 6) as flag_jaccard from p""")
 def flag_set_scores(spark, d):
     """Agreement of the flags of all answers about one chunk, by category and by (category, modality).
 

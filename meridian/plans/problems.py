@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from meridian.operators.coverage import coverage_summary, periods_and_gaps
 from meridian.operators.known_at import known_states, with_known
 from meridian.operators.quantities import to_common_units
-from meridian.session import table
+from meridian.session import broadcast_if_small, table
 
 
 def _day(column: str) -> F.Column:
@@ -69,7 +69,7 @@ def p7_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     family = table(spark, sf_dir, "concept_families").select("taxonomy", "concept", "family")
     facts = table(spark, sf_dir, "fundamental_facts").select("fact_id", "cik", "taxonomy", "concept", "unit").distinct()
     per = (
-        facts.join(F.broadcast(family.distinct()), ["taxonomy", "concept"])
+        facts.join(broadcast_if_small(family.distinct()), ["taxonomy", "concept"])
         .join(_units(spark, sf_dir).select("fact_id", "common_unit", "exponent"), "fact_id")
         .groupBy("cik", "family")
         .agg(

@@ -690,19 +690,16 @@ def identical_to_training(spark, d):
     return m.where("split in ('eval', 'test')").join(train, "h", "left_semi").select("doc_id", "split")
 
 
-@query("""
-select case when json_valid(raw_output) then 'json' else 'other' end as kind,
- case when json_valid(raw_output) then json_extract_string(raw_output, '$.sentiment') end as sentiment, count(distinct prediction_id) as n
-from predictions where raw_output is not null and left(raw_output, 13) = '{"sentiment":' group by 1, 2""")
-def parsed_outputs(spark, d):
-    """Answers that begin with ``{"sentiment":``, as the SQL asks: parsed, or not complete. ``answer_outcomes`` reads every answer."""
-    p = table(spark, d, "predictions").where(F.substring("raw_output", 1, 13) == '{"sentiment":').select("prediction_id", "raw_output")
-    v = F.try_parse_json("raw_output")
-    s = F.try_variant_get(v, "$.sentiment", "string")
-    return p.groupBy(F.when(v.isNotNull(), "json").otherwise("other").alias("kind"), s.alias("sentiment")).agg(F.count_distinct("prediction_id").alias("n"))
+#: Answers without the blanks and the code fence around them, as ``t``.
+_ANSWER = r"""
+a0 as (select distinct prediction_id, chunk_id, raw_output, regexp_replace(raw_output, '^\s+|\s+$', '', 'g') as s from predictions),
+a1 as (select *, case when starts_with(s, '```') then regexp_replace(regexp_replace(trim(s, '`'), '^json', ''), '^\s+|\s+$', '', 'g') else s end as t from a0),
+a2 as (select *, case when raw_output is null then 'null_output' when not json_valid(t) then 'json_decode_error' when json_type(t::json) <> 'OBJECT' then 'not_a_json_object' end as reason from a1),
+answers as (select *, case when reason is null then t::json end as j from a2)"""
 
 
-@query()
+@query(f"""
+with {_ANSWER} select coalesce(reason, 'parsed') as outcome, j->>'$.sentiment' as sentiment, count(distinct prediction_id) as n from answers group by 1, 2""")
 def answer_outcomes(spark, d):
     """Every answer by outcome (parsed, or the reason why not) and sentiment, null answers included."""
     p = table(spark, d, "predictions").select("prediction_id", "raw_output").distinct().select("prediction_id", read_answer(F.col("raw_output")).alias("r"))
@@ -851,6 +848,6 @@ def drift_of_family_units(spark, d):
     The unit is the least one, as in ``drift_of_units``. Facts of concepts in no family do not count.
     """
     family = table(spark, d, "concept_families").select("family", "taxonomy", "concept").distinct()
-    a = table(spark, d, "fundamental_facts").join(F.broadcast(family), ["taxonomy", "concept"]).groupBy("cik", "family").agg(F.min("unit").alias("u"))
+    a = table(spark, d, "fundamental_facts").join(broadcast_if_small(family), ["taxonomy", "concept"]).groupBy("cik", "family").agg(F.min("unit").alias("u"))
     r = table(spark, d, "concept_resolution").groupBy("cik", "family").agg(F.min("unit").alias("u"))
     return quality.drift(r, a, ["cik", "family"], ["u"])
