@@ -95,3 +95,40 @@ def unwrapped_document(raw: Column) -> Column:
     """The content of the first ``<TEXT>`` of a document wrapper, or the whole text without one."""
     inner = F.regexp_extract(raw, r"(?is)<TEXT>\s*(.*?)\s*</TEXT>", 1)
     return F.when(inner != "", inner).otherwise(raw)
+
+
+def quarter_ends(first: Column, last: Column) -> Column:
+    """Last days of the quarters that end from ``first`` to ``last``, both included: those that can have been reported."""
+    months = F.sequence(F.trunc(first, "quarter"), F.trunc(last, "quarter"), F.expr("interval 3 months"))
+    return F.filter(F.transform(months, lambda m: F.last_day(F.add_months(m, 2))), lambda e: (e >= first) & (e <= last))
+
+
+def yearly_dates(first_year: int, last_year: int, month: int, day: int) -> Column:
+    """The same day of every year."""
+    return F.transform(F.sequence(F.lit(first_year), F.lit(last_year)), lambda y: F.make_date(y, F.lit(month), F.lit(day)))
+
+
+def amount_text(value: Column, unit: Column) -> Column:
+    """An amount for readers: in billions, millions or thousands with one digit, per-share amounts with two; null stays null."""
+    size = F.abs(value)
+    scaled = (
+        F.when(F.contains(unit, F.lit("/")), F.format_number(value, 2))
+        .when(size >= 1e9, F.concat(F.format_number(value / 1e9, 1), F.lit("bn")))
+        .when(size >= 1e6, F.concat(F.format_number(value / 1e6, 1), F.lit("m")))
+        .when(size >= 1e3, F.concat(F.format_number(value / 1e3, 1), F.lit("k")))
+        .otherwise(F.format_number(value, 0))
+    )
+    return F.when(value.isNotNull(), F.concat_ws(" ", scaled, unit))
+
+
+def common_ticker(tickers: Column, vetoed: Column) -> Column:
+    """The first ticker, in the order given, that is no unit, warrant, right or preferred share; null if the veto list has it."""
+    plain = F.filter(tickers, lambda t: t.isNotNull() & ~F.rlike(t, F.lit(r"[-.](W|WS|WT|U|UN|R|RT|P[A-Z]?)$")))
+    first = F.try_element_at(plain, F.lit(1))
+    return F.when(~F.coalesce(F.array_contains(vetoed, first), F.lit(False)), first)
+
+
+def event_kind(form: Column, items: Column, by_form: dict[str, str], by_item: dict[str, str]) -> Column:
+    """Kind of event of a filing: that of its form first, else that of the first listed item that it has; null for none."""
+    kinds = [F.when(base_form(form) == f, k) for f, k in by_form.items()] + [F.when(has_item(items, i), k) for i, k in by_item.items()]
+    return F.coalesce(*kinds)

@@ -15,7 +15,7 @@ from meridian.operators.answers import read_answer
 from meridian.operators.asof import duration_bucket, partner_near
 from meridian.operators.families import classify
 from meridian.operators.order import position_in_group, row_index
-from meridian.plans.reference import _ANSWER, _BUCKET, _DAILY, _F, _PARA, _X, _daily, _occurrences, facts, filings
+from meridian.plans.reference import _ANSWER, _BUCKET, _COMPONENTS, _DAILY, _F, _PARA, _X, _daily, _occurrences, facts, filings
 from meridian.session import broadcast_if_small, shared_folder, table
 from meridian.streaming import journal
 
@@ -58,7 +58,14 @@ def filing_functions(spark, d):
     return filings(spark, d).select("accession_number", sc.has_item(F.col("items"), "2.02").alias("has_202"), sc.quarters_before(F.col("filing_date"), 2).alias("quarters_before"))
 
 
-@query()
+@query(f"""
+with {_F}, z as (select *, year(acceptance_datetime) as y from f),
+u as (select *, acceptance_datetime - case when acceptance_datetime >= make_date(y::int, 3, 8) + ((7 - dayofweek(make_date(y::int, 3, 8))) % 7)::int + interval 7 hour
+   and acceptance_datetime < make_date(y::int, 11, 1) + ((7 - dayofweek(make_date(y::int, 11, 1))) % 7)::int + interval 6 hour then interval 4 hour else interval 5 hour end as loc from z),
+k as (select accession_number, filing_date, case when loc is not null and filing_date is not null then greatest(filing_date, loc::date) end as news_day, coalesce(hour(loc) >= 16, false) as late from u),
+n as (select *, news_day + late::int as d from k), b as (select max(filing_date) + 40 as last from f),
+s as (select n.*, d + case dayofweek(d) when 6 then 2 when 0 then 1 else 0 end as s from n)
+select accession_number, filing_date, news_day, late, case when s <= last then s end as news_session from s, b""")
 def news_sessions(spark, d):
     """The session on which each filing was news: weekdays are sessions, local time decides on the day and whether it was late."""
     f = filings(spark, d)
@@ -250,7 +257,8 @@ def paragraphs_across_splits(spark, d):
     return s.groupBy("splits").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_COMPONENTS + """select accession_number, component,
+ case when ('0x' || substr(sha256('split-1|' || component), 1, 16))::ubigint::double / 18446744073709551616.0 < 0.15 then 'eval' else 'train' end as split from c""")
 def split_by_component(spark, d):
     """Filings split so that connected ones, through shared paragraphs, stay together: 15 % of the components to evaluation, by a hash."""
     c = graph.components(_occurrences(spark, d), "accession_number", "paragraph_id")

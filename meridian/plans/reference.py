@@ -638,7 +638,14 @@ def prose_lines(spark, d):
     return tx.prose_lines(docs, ["doc_id"], "text").select("doc_id", F.col("position").cast("long").alias("position"), F.col("n_words").cast("long").alias("n_words"))
 
 
-@query()
+@query(f"""
+with recursive c as (select distinct paragraph_id, normalized_text, home_accession_number a, home_section_type s, home_position p from canonical_paragraphs),
+w as (select *, case when t = '' then 0 else len(string_split(t, ' ')) end as w from (select *, trim(regexp_replace(normalized_text, '{_WS}+', ' ', 'g')) as t from c)),
+k as (select a, s, paragraph_id as i, w, row_number() over (partition by a, s order by p, w, paragraph_id) as rn, count(*) over (partition by a, s) as n from w),
+f as (select a, s, rn, n, 0 as win, w as total, [i] as items from k where rn = 1
+      union all select k.a, k.s, k.rn, k.n, case when f.total >= 350 then f.win + 1 else f.win end, case when f.total >= 350 then k.w else f.total + k.w end,
+        case when f.total >= 350 then [k.i] else list_append(f.items, k.i) end from f join k on k.a = f.a and k.s = f.s and k.rn = f.rn + 1)
+select a as home_accession_number, s as home_section_type, win as "window", total as n_words, items from f where total >= 350 or (rn = n and total >= 100)""")
 def packed_windows(spark, d):
     """Home paragraphs packed into windows of 350 words or more per section."""
     c = table(spark, d, "canonical_paragraphs").select("paragraph_id", "normalized_text", "home_accession_number", "home_section_type", "home_position").distinct()
@@ -712,7 +719,16 @@ def plain_documents(spark, d):
     return tx.plain_texts(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text").distinct()
 
 
-@query()
+_COMPONENTS = """
+with recursive o as (select distinct t.paragraph_id as v, u.o.accession_number as n from canonical_paragraphs t, unnest(t.occurrences) as u(o)),
+s as (select n, min(n) over (partition by v) as hub from o where v is not null and n is not null),
+e as (select n as a, hub as b from s where n <> hub union select hub, n from s where n <> hub),
+r(n, l) as (select distinct n, n from o where n is not null union select e.b, r.l from r join e on e.a = r.n),
+c as (select n as accession_number, min(l) as component from r group by n)
+"""
+
+
+@query(_COMPONENTS + "select accession_number, component from c")
 def filing_components(spark, d):
     """Filings connected through shared paragraphs."""
     return graph.components(_occurrences(spark, d), "accession_number", "paragraph_id")

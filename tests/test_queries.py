@@ -6,12 +6,12 @@ import os
 import duckdb
 import pytest
 
-from meridian.plans import measures, problems, reference
+from meridian.plans import measures, panels, problems, reference
 from verify import rows_of
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
-PARTS = (problems, reference, measures)
+PARTS = (problems, reference, measures, panels)
 QUERIES = {k: q for p in PARTS for k, q in p.QUERIES.items()}
 SQL = {k: q for p in PARTS for k, q in p.SQL.items()}
 
