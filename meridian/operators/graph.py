@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridian.operators.order import _with_running
 from meridian.session import broadcast_if_small, checkpointed
 
 
@@ -56,3 +57,46 @@ def largest_remainder(counts: DataFrame, key: str, count: str, total: int) -> Da
     left = F.lit(total) - F.sum("_f").over(Window.partitionBy())
     place = F.row_number().over(Window.orderBy(F.col("_r").desc(), key))
     return base.withColumn("_left", left).withColumn("_place", place).select(key, (F.col("_f") + (F.col("_place") <= F.col("_left")).cast("int")).alias("allocated"))
+
+
+def stratified_components(members: DataFrame, node: str, component: str, label: str, *, share: float = 0.15, cap: float = 1.5, most_share: float = 0.35, least_train: int = 30, seed: str = "split") -> DataFrame:
+    """``(component, split)``: whole components to ``eval`` until each label has its share there, all others to ``train``.
+
+    The rarest label comes first. Of the components that hold it and are not
+    taken, the smallest are taken (ties by hash) until ``share`` of the label's
+    nodes are in ``eval``, or all of ``eval`` would exceed ``cap`` times its
+    share of the nodes: a component with a third of all nodes never fits. Then
+    labels of which more than ``most_share`` is in ``eval``, or fewer than
+    ``least_train`` nodes in ``train``, get components back, those with most of
+    the label first. Repeated rows count once; a null label is none.
+
+    Labels are few and are taken one after the other; components are not
+    gathered: running sums over range partitions pick them.
+    """
+    rows = checkpointed(members.select(F.col(node).alias("_n"), F.col(component).alias("_c"), F.col(label).alias("_l")).distinct())
+    size = rows.select("_n", "_c").distinct().groupBy("_c").agg(F.count("*").alias("_size"))
+    held = checkpointed(rows.where(F.col("_l").isNotNull()).groupBy("_c", "_l").agg(F.count("*").alias("_k")).join(size, "_c"))
+    labels = held.groupBy("_l").agg(F.sum("_k").alias("n")).orderBy("n", "_l").collect()
+    room = cap * share * (size.agg(F.sum("_size")).first()[0] or 0)
+    spark = members.sparkSession
+    taken = spark.createDataFrame([], rows.select("_c").schema)
+    tie = F.xxhash64(F.lit(seed), "_c")
+    for r in labels:
+        mine = held.where(F.col("_l") == r["_l"])
+        have = mine.join(taken, "_c", "left_semi").agg(F.sum("_k")).first()[0] or 0
+        used = size.join(taken, "_c", "left_semi").agg(F.sum("_size")).first()[0] or 0
+        free = mine.join(taken, "_c", "left_anti").where(F.col("_size") <= room - used)
+        ordered = [F.col("_size"), tie, F.col("_c")]
+        summed = _with_running(_with_running(free, ordered, F.col("_k"), "_before"), ordered, F.col("_size"), "_filled")
+        wanted = (F.col("_before") + have < share * r["n"]) & (F.col("_filled") + F.col("_size") <= room - used)
+        taken = checkpointed(taken.unionByName(summed.where(wanted).select("_c")))
+    for r in labels:
+        mine = held.where(F.col("_l") == r["_l"]).join(taken, "_c", "left_semi")
+        have = mine.agg(F.sum("_k")).first()[0] or 0
+        excess = max(have - most_share * r["n"], least_train - (r["n"] - have))
+        if have and excess > 0:
+            summed = _with_running(mine, [F.col("_k").desc(), tie, F.col("_c")], F.col("_k"), "_before")
+            back = summed.where(F.col("_before") < excess).select("_c")
+            taken = checkpointed(taken.join(back, "_c", "left_anti"))
+    chosen = taken.withColumn("_t", F.lit("eval"))
+    return size.join(chosen, "_c", "left").select(F.col("_c").alias(component), F.coalesce("_t", F.lit("train")).alias("split"))

@@ -125,3 +125,59 @@ def smallest_margin(se: float, ladder: list[float], divisor: float = 2.925) -> f
 def binomial_tail(n: int, p: float, least: int) -> float:
     """Probability of at least ``least`` successes of n."""
     return math.fsum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(max(least, 0), n + 1))
+
+
+def _gamma_share(a: float, x: float) -> float:
+    """Regularised lower incomplete gamma function by its series, or by the continued fraction of the rest."""
+    if x <= 0:
+        return 0.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        k = a
+        while term > total * 1e-16:
+            k += 1
+            term *= x / k
+            total += term
+        return front * total
+    tiny = 1e-300
+    b = x + 1 - a
+    c, d = 1 / tiny, 1 / b
+    h = d
+    for i in range(1, 10_000):
+        step = i * (a - i)
+        b += 2
+        d = 1 / (step * d + b or tiny)
+        c = b + step / c or tiny
+        h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return 1 - front * h
+
+
+def chi_square_quantile(p: float, degrees: float) -> float:
+    """Quantile of the chi-square distribution by bisection."""
+    lo, hi = 0.0, degrees + 10.0
+    while _gamma_share(degrees / 2, hi / 2) < p:
+        hi *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if _gamma_share(degrees / 2, mid / 2) < p else (lo, mid)
+    return (lo + hi) / 2
+
+
+def deviation_interval(sd: float, n: int, level: float = 0.95) -> tuple[float, float] | None:
+    """Interval of a standard deviation from n normal values; None for fewer than two."""
+    if n < 2:
+        return None
+    tail = (1 - level) / 2
+    return tuple(sd * math.sqrt((n - 1) / chi_square_quantile(p, n - 1)) for p in (1 - tail, tail))
+
+
+def smallest_effect(sd: float, n: int, tests: int = 1, rho: float = 0.0, alpha: float = 0.05, power: float = 0.8) -> float | None:
+    """Mean that n values can tell from 0, two-sided, with ``alpha`` shared by the tests; values with autocorrelation ``rho`` count for fewer."""
+    if n < 1:
+        return None
+    z = NormalDist()
+    effective = n * (1 - rho) / (1 + rho)
+    return (z.inv_cdf(1 - alpha / tests / 2) + z.inv_cdf(power)) * sd / math.sqrt(effective)

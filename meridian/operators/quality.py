@@ -68,3 +68,34 @@ def attached(rows: DataFrame, owners: DataFrame, key: str) -> DataFrame:
     if lost:
         raise AssertionError(f"keys without an owner, among them {[r[key] for r in lost]}")
     return rows.join(owners, key)
+
+
+def assert_digests(tables: dict[str, DataFrame], expected: dict[str, tuple[int, str]]) -> None:
+    """Refuse tables whose content is not the expected one (see ``sinks.digest``); a table that is not expected, or missing, is refused too."""
+    from meridian.sources.sinks import digest
+
+    if set(tables) != set(expected):
+        raise AssertionError(f"tables differ: {sorted(set(tables) ^ set(expected))}")
+    if bad := sorted(n for n, t in tables.items() if digest(t) != tuple(expected[n])):
+        raise AssertionError(f"content differs: {bad}")
+
+
+def validated(params: dict, types: dict[str, type], checks: dict | None = None) -> dict:
+    """``params`` if every one is there, of its type and passes its check; there are no defaults, and nothing may be left over."""
+    faults = [f"missing: {n}" for n in types if n not in params] + [f"unknown: {n}" for n in params if n not in types]
+    for n, kind in types.items():
+        if n in params and (not isinstance(params[n], kind) or (isinstance(params[n], bool) and kind is not bool)):
+            faults.append(f"{n}: {type(params[n]).__name__} is no {kind.__name__}")
+        elif n in params and checks and n in checks and not checks[n](params[n]):
+            faults.append(f"{n}: {params[n]!r} is not allowed")
+    if faults:
+        raise ValueError("; ".join(faults))
+    return params
+
+
+def assert_one_variant(rows: DataFrame, expected: dict[str, object]) -> None:
+    """Refuse rows that were made under another configuration; nulls differ from every value."""
+    if expected:
+        r = rows.agg(*(F.count_if(~F.col(c).eqNullSafe(F.lit(v))).alias(c) for c, v in expected.items())).first()
+        if bad := {c: r[c] for c in expected if r[c]}:
+            raise AssertionError(f"rows of another variant: {bad}")

@@ -355,3 +355,46 @@ def control_share(text: Column) -> Column:
     """Share of control characters, other than line ends and tabs, of all; null for empty texts."""
     n = F.length(text)
     return F.when(n > 0, (n - F.length(F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ufffd]", ""))) / n)
+
+
+def exhibit_number(description: Column) -> Column:
+    """The number of an exhibit named in a description, like ``99.1``; empty without one."""
+    return F.regexp_extract(description, r"(?i)\bex(?:hibit)?[ .#-]*(\d{1,3}(?:\.\d{1,2})?)", 1)
+
+
+#: What a short section may consist of instead of its text, first match first.
+STUBS = {
+    "by_reference": r"(?i)incorporated (herein )?by reference|is set forth (in|under)|see (item|note|part) ",
+    "not_applicable": r"(?i)^\s*(item [0-9a-z.]+[^a-z]*)?(not applicable|none|n/a)\b",
+    "reserved": r"(?i)\b(removed and )?reserved\b",
+    "omitted": r"(?i)\b(omitted|not required)\b",
+}
+
+
+def stub_kind(text: Column, most_words: int = 1500) -> Column:
+    """Why a section of at most ``most_words`` words has no text of its own; null for others and for null."""
+    short = word_count(text) <= most_words
+    return F.when(short, F.coalesce(*(F.when(F.rlike(text, F.lit(p)), k) for k, p in STUBS.items())))
+
+
+def foreign_item(text: Column, item: str) -> Column:
+    """The item that a section's first line names, if it is not its own; null otherwise."""
+    head = F.upper(F.regexp_extract(text, r"(?i)^\s*item\s+(\d+[a-z]?)\b", 1))
+    return F.when((head != "") & (head != item.upper()), head)
+
+
+RESULTS = r"(?i)\b(first|second|third|fourth|full) (fiscal )?(quarter|year)\b.{0,60}\b(results|earnings)\b|\b(results|earnings) (of|for) (the )?(first|second|third|fourth|full|fiscal)\b|per (diluted )?share"
+
+
+def names_results(text: Column) -> Column:
+    """Whether a text speaks of the results of a period."""
+    return F.rlike(collapsed(text), F.lit(RESULTS))
+
+
+def prose_measures(text: Column) -> list[Column]:
+    """Lines, lines of ten words and more, words in those, and their share of all words."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: collapsed(x)), lambda x: x != "")
+    count = lambda x: F.size(F.split(x, " "))
+    words = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + count(x))
+    prose = F.filter(lines, lambda x: count(x) >= 10)
+    return [F.size(lines).alias("n_lines"), F.size(prose).alias("n_prose_lines"), words(prose).alias("n_prose_words"), F.round(F.try_divide(words(prose), words(lines)), 6).alias("prose_share")]

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from meridian.functions import scalar as sc
 from meridian.operators import folds as fo
-from meridian.operators import panel, quality
+from meridian.operators import boosting, graph, panel, quality
+from meridian.operators import sequence as sq
 from meridian.operators import text as tx
 from meridian.operators.answers import read_answer
 from meridian.plans.reference import _ANSWER, _DAILY, _F, _FOLDS, _X, _daily, _fold_rows, _occurrences, facts, filings
@@ -575,3 +576,80 @@ def landing_rows(spark, d):
     """The ten newest filings of each entity in the order of a landing page."""
     w = Window.partitionBy("cik").orderBy(F.col("filing_date").desc_nulls_first(), "form", "accession_number")
     return filings(spark, d).select("cik", "accession_number", F.row_number().over(w).cast("long").alias("place")).where("place <= 10")
+
+
+# --- screens of texts, splits and models -------------------------------------------------------
+
+
+@query(f"""
+with c as (select distinct doc_id, section_type, text from documents where text is not null and text <> ''),
+t as (select *, trim(regexp_replace(text, '[\\t-\\r\\x1c-\\x20\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')) as n from c),
+s as (select section_type, case when n = '' then 0 else len(string_split(n, ' ')) end as w,
+  case when regexp_matches(text, '{tx.STUBS["by_reference"]}') then 'by_reference' when regexp_matches(text, '{tx.STUBS["not_applicable"]}') then 'not_applicable'
+    when regexp_matches(text, '{tx.STUBS["reserved"]}') then 'reserved' when regexp_matches(text, '{tx.STUBS["omitted"]}') then 'omitted' end as stub, regexp_matches(n, '{tx.RESULTS}') as results, regexp_extract(text, '(?i)\\bex(?:hibit)?[ .#-]*(\\d{{1,3}}(?:\\.\\d{{1,2}})?)', 1) as ex from t)
+select section_type, count(*) as n, count(case when w <= 1500 and stub is not null then 1 end) as n_stubs, count(case when results then 1 end) as n_results, count(case when ex <> '' then 1 end) as n_exhibits from s group by section_type""")
+def text_screens(spark, d):
+    """Documents by section that are stubs, speak of results, or name an exhibit."""
+    c = table(spark, d, "documents").where("text is not null and text <> ''").select("doc_id", "section_type", "text").distinct()
+    t = F.col("text")
+    return c.groupBy("section_type").agg(
+        F.count("*").alias("n"), F.count_if(tx.stub_kind(t).isNotNull()).alias("n_stubs"), F.count_if(tx.names_results(t)).alias("n_results"), F.count_if(tx.exhibit_number(t) != "").alias("n_exhibits")
+    )
+
+
+@query()
+def stratified_split(spark, d):
+    """Filings split by whole components so that each form has its share in evaluation; greedy, so without SQL."""
+    c = graph.components(_occurrences(spark, d), "accession_number", "paragraph_id")
+    members = c.join(filings(spark, d).select("accession_number", "form"), "accession_number", "left")
+    s = graph.stratified_components(checkpointed(members), "accession_number", "component", "form")
+    return c.join(s, "component").select("accession_number", "component", "split")
+
+
+_FEATURES = ["x1", "x2", "x3"]
+
+
+def _model_rows(spark, d):
+    rows = _fold_rows(spark, d)
+    return rows.select("fold", "role", "id", (F.col("y") / 1e6).alias("y"), F.month("d").alias("x1"), F.log1p(F.col("c").cast("double")).alias("x2"), F.substring("g", 1, 1).cast("int").alias("x3"))
+
+
+@query()
+def boosted_prediction(spark, d):
+    """Boosted trees fitted on each fold's training rows."""
+    return boosting.boosted_predictions(_model_rows(spark, d), _FEATURES, "y", "id", bins=8)
+
+
+@query()
+def boosted_importance(spark, d):
+    """Gain and permutation loss of each feature in each fold."""
+    return boosting.feature_importance(_model_rows(spark, d), _FEATURES, "y", bins=8)
+
+
+def _ic(rows, predictions):
+    outcome = rows.where("role = 'test'").select("fold", "id", "y")
+    return sq.rank_correlation(predictions.join(outcome, ["fold", "id"]), "fold", "prediction", "y")
+
+
+@query()
+def leave_one_out(spark, d):
+    """Rank correlation of each fold with all features, and how much it falls without each of them."""
+    rows = checkpointed(_model_rows(spark, d))
+    every = _ic(rows, boosting.boosted_predictions(rows, _FEATURES, "y", "id", bins=8)).select("fold", F.col("ic").alias("ic_all"))
+    out = None
+    for f in _FEATURES:
+        rest = [x for x in _FEATURES if x != f]
+        one = _ic(rows, boosting.boosted_predictions(rows, rest, "y", "id", bins=8)).select("fold", F.lit(f).alias("without"), "ic")
+        out = one if out is None else out.unionByName(one)
+    return out.join(every, "fold").select("fold", "without", "ic_all", "ic", (F.col("ic_all") - F.col("ic")).alias("fall"))
+
+
+@query()
+def seed_band(spark, d):
+    """Lowest, mean and highest rank correlation of each fold over five seeds, with two of three features to a tree."""
+    rows = checkpointed(_model_rows(spark, d))
+    out = None
+    for seed in range(5):
+        one = _ic(rows, boosting.boosted_predictions(rows, _FEATURES, "y", "id", bins=8, share=0.67, seed=seed))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("fold").agg(F.min("ic").alias("lowest"), F.avg("ic").alias("mean"), F.max("ic").alias("highest"), F.count("ic").alias("n"))

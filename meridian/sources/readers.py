@@ -186,3 +186,71 @@ def without_excluded(rows: DataFrame, exclusions: DataFrame, key: str, day: str,
     x = exclusions.select(F.col(key).alias("_k"), F.col(first).cast("date").alias("_a"), F.col(last).cast("date").alias("_b"))
     on = (F.col(key) == F.col("_k")) & (F.col("_a").isNull() | (F.col(day) >= F.col("_a"))) & (F.col("_b").isNull() | (F.col(day) <= F.col("_b")))
     return rows.join(x, on, "left_anti")
+
+
+def csv_table(spark: SparkSession, path: str, schema: str, lists: dict[str, str] | None = None) -> DataFrame:
+    """A CSV with a header in the given schema; ``lists`` (column: delimiter) become arrays without empty elements, null an empty one."""
+    rows = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
+    for c, mark in (lists or {}).items():
+        parts = F.split(F.coalesce(F.col(c), F.lit("")), re.escape(mark))
+        rows = rows.withColumn(c, F.filter(F.transform(parts, lambda x: F.btrim(x)), lambda x: x != ""))
+    return rows
+
+
+def sqlite_table(spark: SparkSession, path: str, name: str, schema: T.StructType, where: str | None = None, rows_per_task: int = 250_000) -> DataFrame:
+    """A table of an SQLite file, read-only, in ranges of row ids that tasks read by themselves.
+
+    The file lies where every executor can read it. ``where`` is a predicate of
+    the table's own columns that SQLite applies. Text that is no value of its
+    column's type is null, days and times included. A table without row ids is an error.
+    """
+    import sqlite3
+
+    quoted = '"' + name.replace('"', '""') + '"'
+    columns = ", ".join('"' + f.name.replace('"', '""') + '"' for f in schema)
+    source = f"file:{path}?mode=ro"
+    with sqlite3.connect(source, uri=True) as con:
+        first, last = con.execute(f"select min(rowid), max(rowid) from {quoted}").fetchone()
+    raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    ask = f"select {columns} from {quoted} where rowid >= ? and rowid < ?" + (f" and ({where})" if where else "")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with sqlite3.connect(source, uri=True) as own:
+            for batch in batches:
+                for start in batch["id"]:
+                    got = own.execute(ask, (int(start), int(start) + rows_per_task)).fetchall()
+                    yield pd.DataFrame([[None if v is None else str(v) for v in r] for r in got], columns=raw.names, dtype=object)
+
+    if first is None:
+        return spark.createDataFrame([], schema)
+    starts = spark.range(first, last + 1, rows_per_task, max(1, -(-(last + 1 - first) // rows_per_task)))
+    text = starts.mapInPandas(run, raw)
+    return text.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema))
+
+
+_FRAME = "taxonomy string, tag string, ccp string, uom string, data array<struct<accn:string,cik:long,entityName:string,`end`:string,val:double>>"
+
+
+def frames(spark: SparkSession, path: str) -> DataFrame:
+    """One row per entity and quarter from quarterly frames; all files of the path are read as one."""
+    raw = spark.read.schema(_FRAME).option("multiLine", True).json(path)
+    return raw.select("taxonomy", F.col("tag").alias("concept"), F.col("ccp").alias("frame"), F.col("uom").alias("unit"), F.explode("data").alias("d")).select(
+        "taxonomy", "concept", "frame", "unit", "d.cik", F.col("d.entityName").alias("entity"), F.col("d.accn").alias("accession_number"), F.expr("try_to_date(d.`end`, 'yyyy-MM-dd')").alias("end"), F.col("d.val").alias("value")
+    )
+
+
+def first_source(sources: list[tuple[str, object]]) -> DataFrame:
+    """Rows of the first source that can be read and has any, with ``source``; ``sources`` are names and functions without arguments.
+
+    A source that fails or is empty is passed over; if all are, that is an error that names what went wrong with each.
+    """
+    faults = []
+    for name, read in sources:
+        try:
+            rows = read()
+            if not rows.isEmpty():
+                return rows.withColumn("source", F.lit(name))
+            faults.append(f"{name}: no rows")
+        except Exception as e:  # noqa: BLE001  # any fault of a source is a reason to try the next one
+            faults.append(f"{name}: {type(e).__name__}")
+    raise ValueError("no source has rows; " + "; ".join(faults))

@@ -91,3 +91,36 @@ def merged_shards(spark, path: str, shards: int, run: str) -> DataFrame:
     if (n := rows.count()) != sum(done[s] for s in range(shards)):
         raise ValueError(f"{n} rows, but the markers say {sum(done.values())}")
     return rows
+
+
+def write_vectors(rows: DataFrame, path: str, column: str, width: int) -> None:
+    """Write parquet with a column of float vectors that all have ``width`` elements and no nulls among them; a null vector is allowed."""
+    v = F.col(column)
+    bad = rows.where(v.isNotNull() & ((F.size(v) != width) | F.exists(v, lambda x: x.isNull()))).count()
+    if bad:
+        raise ValueError(f"{bad} vectors are not {width} floats")
+    rows.withColumn(column, v.cast("array<float>")).write.mode("overwrite").parquet(path)
+
+
+def write_report(rows: DataFrame, path: str, order: list[str], form: str = "csv") -> None:
+    """Write a small table as one sorted CSV (with a header) or JSON file."""
+    out = rows.orderBy(*order).coalesce(1).write.mode("overwrite")
+    out.option("header", True).csv(path) if form == "csv" else out.json(path)
+
+
+def cached_table(spark, path: str, version: str, inputs: dict[str, DataFrame], build) -> DataFrame:
+    """The table at ``path`` if it was built by this version from inputs with the same content; else it is built and written anew.
+
+    ``build`` takes nothing and gives the rows. The stamp is written after the
+    rows, so a table whose writing was interrupted is built again.
+    """
+    stamp = json.dumps({"version": version, "inputs": {k: list(digest(v)) for k, v in sorted(inputs.items())}}, sort_keys=True)
+    mark = f"{path}.stamp"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(mark)
+    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if there.exists(hadoop) and [r["value"] for r in spark.read.text(mark).collect()] == [stamp]:
+        return spark.read.parquet(path)
+    there.delete(hadoop, True)
+    build().write.mode("overwrite").parquet(path)
+    spark.createDataFrame([(stamp,)], "value string").coalesce(1).write.mode("overwrite").text(mark)
+    return spark.read.parquet(path)
