@@ -276,6 +276,17 @@ texts as (select paragraph_id, min(normalized_text) as normalized_text from cano
 select members.split, members.paragraph_id, any_value(normalized_text) as normalized_text,
   count(case when filing_split = members.split then 1 end) as n_in_split, count(case when filing_split = 'train' then 1 end) as n_in_train, count(distinct cik) as n_ciks
 from members join there on members.paragraph_id = there.paragraph_id join texts on texts.paragraph_id = members.paragraph_id group by members.split, members.paragraph_id""",
+    "p5_coverage": _P5 + """,
+found as (""" + _P5_FOUND + """),
+pr as (select split, paragraph_id_a as p, paragraph_id_b as q from found union all select split, paragraph_id_b, paragraph_id_a from found where paragraph_id_a <> paragraph_id_b),
+tw as (select paragraph_id as id, string_split(min(normalized_text), ' ') as w from canonical_paragraphs where paragraph_id in (select p from pr) group by paragraph_id),
+tg as (select id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as k from (select id, w, unnest(range(1, len(w) - 1)) as i from tw)),
+cw as (select distinct split, p, q, unnest([gp.i, gp.i + 1, gp.i + 2]) as j from pr join tg gp on gp.id = p join (select distinct id, k from tg) gq on gq.id = q and gq.k = gp.k where p <> q),
+sp as (select split, p, q, count(*) as l from (select *, j - row_number() over (partition by split, p, q order by j) as island from cw) group by split, p, q, island),
+mc as (select split, p, q, sum(l) as c, max(l) as l from sp group by split, p, q)
+select pr.split, pr.p as paragraph_id, max(round(case when pr.p = pr.q then len(w) else coalesce(mc.c, 0) end / greatest(len(w), 1), 6)) as covered,
+  max(case when pr.p = pr.q then len(w) else coalesce(mc.l, 0) end) as longest_span, count(*) as n_partners
+from pr join tw on tw.id = pr.p left join mc on mc.split = pr.split and mc.p = pr.p and mc.q = pr.q group by pr.split, pr.p""",
     "p2_lines": _P2.replace("r as (", "cl as (select cik, a, md5(string_agg(s || '|' || p || '|' || k, ',' order by s, p, k)) as sig, min(d) as d from o group by cik, a)," + _P2_COUNTS + ", r as (") + """
 select o.cik, o.k as line_key, any_value(n_documents) as n_filings, any_value(n_clusters) as n_clusters, any_value(n_dates) as n_dates, count(*) as n_occurrences
 from o join lc on o.k = lc.k and o.cik is not distinct from lc.cik where n_documents >= 5 group by o.cik, o.k""",
