@@ -102,28 +102,60 @@ def pooled_mean(vectors: DataFrame, group: list[str], vector: str) -> DataFrame:
 def principal_axes(vectors: DataFrame, vector: str, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean and the first k principal axes, each with its largest loading positive.
 
-    The products are summed in the partitions: one ``width`` x ``width`` matrix
-    per partition reaches the driver, whatever the number of rows.
+    The products are summed in the partitions, and those sums by place of the
+    matrix: one ``width`` x ``width`` matrix reaches the driver, whatever the
+    number of rows and partitions.
     """
+    per = _moments(vectors.select(F.lit(0).alias("fold"), F.col(vector).alias("v")), width)
+    got = {r["i"]: r["s"] for r in per.collect()}
+    return _axes(np.array([got.get(i, 0.0) for i in range(1 + width + width * width)]), width, k)
+
+
+def _moments(vectors: DataFrame, width: int) -> DataFrame:
+    """``(fold, i, s)``: number, sum and products of the vectors of each fold, place by place. Vectors of another width don't count."""
 
     def sums(batches):
-        n, s, q = 0, np.zeros(width), np.zeros((width, width))
+        of: dict = {}
         for batch in batches:
-            x = [v for v in batch[vector] if v is not None and len(v) == width]
-            if x:
-                m = np.asarray(x, dtype=float)
-                n, s, q = n + len(m), s + m.sum(axis=0), q + m.T @ m
-        yield pd.DataFrame({"n": [n], "s": [s.tolist()], "q": [q.ravel().tolist()]})
-
-    n, s, q = 0, np.zeros(width), np.zeros((width, width))
-    for r in vectors.select(vector).mapInPandas(sums, "n long, s array<double>, q array<double>").toLocalIterator():
-        n, s, q = n + r["n"], s + np.array(r["s"]), q + np.array(r["q"]).reshape(width, width)
+            for fold, part in batch.groupby("fold"):
+                x = [v for v in part["v"] if v is not None and len(v) == width]
+                if x:
+                    m = np.asarray(x, dtype=float)
+                    of[fold] = of.get(fold, 0) + np.concatenate([[len(m)], m.sum(axis=0), (m.T @ m).ravel()])
+        yield pd.DataFrame({"fold": list(of), "s": [s.tolist() for s in of.values()]})
+
+    parts = vectors.select("fold", "v").mapInPandas(sums, T.StructType([vectors.schema["fold"], T.StructField("s", T.ArrayType(T.DoubleType()))]))
+    return parts.select("fold", F.posexplode("s").alias("i", "s")).groupBy("fold", "i").agg(F.sum("s").alias("s"))
+
+
+def _axes(sums: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    n, s, q = sums[0], sums[1 : 1 + width], sums[1 + width :].reshape(width, width)
     mean = s / max(n, 1)
     values, axes = np.linalg.eigh(q / max(n, 1) - np.outer(mean, mean))
     axes = axes[:, np.argsort(-values)[:k]].T
     return mean, axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
 
 
+def fold_axes(folds: DataFrame, row: str, vector: str, width: int, k: int) -> DataFrame:
+    """``(fold, row, pc)``: coordinates of each fold's test rows along the axes of its training rows alone.
+
+    A fold's fit holds one matrix. A null vector or one of another width has a
+    null; folds without training vectors have no rows.
+    """
+    per = _moments(folds.where("role = 'train'").select("fold", F.col(vector).alias("v")), width)
+    schema = T.StructType([folds.schema["fold"], T.StructField("mean", T.ArrayType(T.DoubleType())), T.StructField("axes", T.ArrayType(T.ArrayType(T.DoubleType())))])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        mean, axes = _axes(pdf.sort_values("i")["s"].to_numpy(), width, k)
+        return pd.DataFrame({"fold": [pdf["fold"].iloc[0]], "mean": [mean.tolist()], "axes": [axes.tolist()]})
+
+    fits = per.groupBy("fold").applyInPandas(fit, schema)
+    test = folds.where("role = 'test'").join(F.broadcast(fits), "fold")  # a row for each fold
+    centred = F.zip_with(vector, "mean", lambda v, m: v.cast("double") - m)
+    pc = F.transform("axes", lambda a: F.aggregate(F.zip_with(centred, a, lambda v, w: v * w), F.lit(0.0), lambda s, x: s + x))
+    return test.select("fold", row, F.when(F.size(vector) == width, pc).alias("pc"))
+
+
 def projected(vectors: DataFrame, key: str, vector: str, mean: np.ndarray, axes: np.ndarray) -> DataFrame:
     """``(key, pc)``: coordinates along the axes; null for a null vector or one of another width."""
 

@@ -88,6 +88,17 @@ def precision_recall(truth: Column, found: Column) -> list[Column]:
     ]
 
 
+def first_by_rules(rows: DataFrame, key: str, rules: list[tuple[Column, str]], order: str) -> DataFrame:
+    """``(key, order, confidence)``: of each key the first row by the first rule that any of its rows matches, with that rule's confidence.
+
+    Rules are tried in turn; ``order`` decides between rows of one rule. A key
+    that no rule matches keeps its place, with nulls.
+    """
+    rule = F.coalesce(*(F.when(c, i) for i, (c, _) in enumerate(rules)))
+    best = rows.select(key, rule.alias("_rule"), order).groupBy(key).agg(F.min(F.when(F.col("_rule").isNotNull(), F.struct("_rule", order))).alias("b"))
+    return best.select(key, F.col(f"b.{order}").alias(order), F.coalesce(*(F.when(F.col("b._rule") == i, name) for i, (_, name) in enumerate(rules))).alias("confidence"))
+
+
 def first_of_path(rows: DataFrame, path: str, order: list[Column]) -> DataFrame:
     """One row per path, the first in order: what has to be fetched once."""
     w = Window.partitionBy(path).orderBy(*order)

@@ -16,7 +16,7 @@ from meridian.operators.asof import duration_bucket, partner_near
 from meridian.operators.families import classify
 from meridian.operators.order import position_in_group, row_index
 from meridian.plans.reference import _ANSWER, _BUCKET, _COMPONENTS, _DAILY, _F, _PARA, _X, _daily, _occurrences, facts, filings
-from meridian.session import broadcast_if_small, shared_folder, table
+from meridian.session import broadcast_if_small, checkpointed, drop_folder, shared_folder, table
 from meridian.streaming import journal
 
 QUERIES: dict = {}
@@ -348,7 +348,9 @@ def last_event_of_stream(spark, d):
     rows = journal.read_journal(spark, f"{folder}/journal", "user_id long, event_id long, event_type string, value double")
     last = journal.replay(rows, ["user_id"], ["event_id"])
     n = rows.groupBy("user_id").agg(F.count("*").alias("n_events"))
-    return last.join(n, "user_id").select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"), "n_events")
+    out = checkpointed(last.join(n, "user_id").select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"), "n_events"))
+    drop_folder(spark, folder)
+    return out
 
 
 @query(f"""

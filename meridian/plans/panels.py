@@ -44,8 +44,11 @@ def _blocks(spark, d):
     x = facts(spark, d).where("accession_number is not null")
     numeric = x.groupBy("accession_number").agg(F.count("*").alias("n_facts"), F.count_if(F.col("value").isNull()).alias("n_null_values"))
     f = filings(spark, d)
-    after = F.lead("filing_date").over(Window.partitionBy("cik").orderBy("filing_date", "accession_number"))
-    target = f.select("accession_number", F.date_diff(after, "filing_date").cast("long").alias("days_to_next"))
+    # the next filing is one of the same day, or of the next day with one: a window over the days, which the calendar bounds
+    days = f.where("filing_date is not null").groupBy("cik", "filing_date").agg(F.max("accession_number").alias("_last"))
+    days = days.withColumn("_next", F.lead("filing_date").over(Window.partitionBy("cik").orderBy("filing_date")))
+    wait = F.when(F.col("accession_number") < F.col("_last"), 0).otherwise(F.date_diff("_next", "filing_date"))
+    target = f.select("accession_number", "cik", "filing_date").join(days, ["cik", "filing_date"], "left").select("accession_number", wait.cast("long").alias("days_to_next"))
     return f.select("accession_number", "cik", "filing_date"), text, numeric, target
 
 
@@ -653,3 +656,177 @@ def seed_band(spark, d):
         one = _ic(rows, boosting.boosted_predictions(rows, _FEATURES, "y", "id", bins=8, share=0.67, seed=seed))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("fold").agg(F.min("ic").alias("lowest"), F.avg("ic").alias("mean"), F.max("ic").alias("highest"), F.count("ic").alias("n"))
+
+
+@query()
+def fold_embedding_axes(spark, d):
+    """Coordinates of each block of vectors along the axes fitted on the blocks before it."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", F.floor(F.col("vec_id") / 100).cast("int").alias("block"))
+    blocks = [r["block"] for r in e.select("block").distinct().orderBy("block").limit(64).collect()]
+    train = e.select(F.explode(F.filter(F.array(*map(F.lit, blocks)), lambda b: b > F.col("block"))).alias("fold"), F.lit("train").alias("role"), "vec_id", "embedding")
+    test = e.select(F.col("block").alias("fold"), F.lit("test").alias("role"), "vec_id", "embedding")
+    return fo.fold_axes(train.unionByName(test), "vec_id", "embedding", 64, 3)
+
+
+@query("""
+with m as (select distinct accession_number a, split from split_manifest where split is not null),
+p as (select distinct paragraph_id, md5(regexp_replace(normalized_text, '\\p{Nd}+', chr(1), 'g')) as k, home_accession_number as h from canonical_paragraphs),
+o as (select distinct t.paragraph_id, m.split from canonical_paragraphs t, unnest(t.occurrences) as u(o) join m on m.a = u.o.accession_number),
+tk as (select distinct p.k from p join o using (paragraph_id) where o.split = 'train'), tr as (select paragraph_id from o where split = 'train'), th as (select a from m where split = 'train')
+select o.split, count(*) as n, count(case when p.h in (select a from th) then 1 end) as n_home, count(case when p.paragraph_id in (select paragraph_id from tr) then 1 end) as n_any, count(case when p.k in (select k from tk) then 1 end) as n_text
+from o join p using (paragraph_id) where o.split <> 'train' group by o.split""")
+def overlap_channels(spark, d):
+    """Evaluation paragraphs that training has through their home, through any filing, or by their text apart from numbers."""
+    m = table(spark, d, "split_manifest").where("split is not null").distinct()
+    c = table(spark, d, "canonical_paragraphs")
+    o = _occurrences(spark, d).select("paragraph_id", "accession_number").join(m, "accession_number").groupBy("paragraph_id").agg(F.collect_set("split").alias("splits"))
+    key = F.md5(F.regexp_replace("normalized_text", r"\p{Nd}+", "\u0001"))
+    p = c.select("paragraph_id", key.alias("k"), F.col("home_accession_number").alias("h")).distinct().join(o, "paragraph_id")
+    train = F.array_contains("splits", "train")
+    keys = p.where(train).select("k").distinct().withColumn("_text", F.lit(1))
+    home = m.where("split = 'train'").select(F.col("accession_number").alias("h"), F.lit(1).alias("_home"))
+    j = p.join(keys, "k", "left").join(home, "h", "left").select(F.explode(F.array_remove("splits", "train")).alias("split"), "_home", "_text", train.alias("_any"))
+    return j.groupBy("split").agg(F.count("*").alias("n"), F.count("_home").alias("n_home"), F.count_if("_any").alias("n_any"), F.count("_text").alias("n_text"))
+
+
+# --- rules, labels, windows, audits --------------------------------------------------------------
+
+
+@query("""
+with c as (select distinct accession_number, doc_id, section_type from documents where accession_number is not null),
+r as (select *, case section_type when 'EX99_PRESS_RELEASE' then 1 when '8K_BODY' then 2 when 'MDA' then 3 end as rule from c),
+k as (select *, row_number() over (partition by accession_number order by rule nulls last, doc_id) as rn from r)
+select accession_number, case when rule is not null then doc_id end as doc_id, case rule when 1 then 'high' when 2 then 'medium' when 3 then 'low' end as confidence from k where rn = 1""")
+def selected_documents(spark, d):
+    """One document of each filing by a ladder of rules; null where no rule matches."""
+    c = table(spark, d, "documents").where("accession_number is not null").select("accession_number", "doc_id", "section_type").distinct()
+    s = F.col("section_type")
+    return panel.first_by_rules(c, "accession_number", [(s == "EX99_PRESS_RELEASE", "high"), (s == "8K_BODY", "medium"), (s == "MDA", "low")], "doc_id")
+
+
+@query(f"""
+with {_F}, r as (select unnest(['amended', 'late', 'many_items', 'never']) as rule),
+h as (select 'amended' as rule, cik from f where form like '%/A' union all select 'late', cik from f where date_diff('day', report_date, filing_date) > 120 union all select 'many_items', cik from f where len(string_split(items, ',')) > 1)
+select r.rule, count(h.rule) as n_fired, count(h.rule) = 0 as is_dead from r left join h using (rule) group by r.rule""")
+def rule_counters(spark, d):
+    """How often each rule of a table fired, those that never did included."""
+    rules = {"amended": F.endswith("form", F.lit("/A")), "late": F.date_diff("filing_date", "report_date") > 120, "many_items": F.size(F.split("items", ",")) > 1, "never": F.col("form") == "none"}
+    counts = filings(spark, d).agg(*(F.count_if(c).alias(n) for n, c in rules.items()))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).alias("n_fired")) for n in rules))).alias("r")).select("r.*", (F.col("r.n_fired") == 0).alias("is_dead"))
+
+
+@query("""
+with l as (select distinct doc_id, abusive, reviewer, labelled_at from review_labels),
+s as (select doc_id, max(case when reviewer = 'rev1' then abusive end) as owner, max(case when reviewer = 'rev2' then abusive end) as judge, min(abusive) as least, max(abusive) as most, count(*) as n from l group by doc_id)
+select doc_id, coalesce(owner, judge, case when least = most then least end) as final, case when owner is not null then 'owner' when judge is not null then 'adjudicator' when least = most then 'raters' else 'open' end as decided_by, n from s""")
+def adjudicated_labels(spark, d):
+    """Final label of a document: the owner's, else the adjudicator's, else the raters' if they agree."""
+    l = table(spark, d, "review_labels").select("doc_id", "abusive", "reviewer", "labelled_at").distinct()  # noqa: E741
+    by = lambda r: F.max(F.when(F.col("reviewer") == r, F.col("abusive")))
+    s = l.groupBy("doc_id").agg(by("rev1").alias("o"), by("rev2").alias("j"), F.min("abusive").alias("lo"), F.max("abusive").alias("hi"), F.count("*").alias("n"))
+    agreed = F.when(F.col("lo") == F.col("hi"), F.col("lo"))
+    decided = F.when(F.col("o").isNotNull(), "owner").when(F.col("j").isNotNull(), "adjudicator").when(F.col("lo") == F.col("hi"), "raters").otherwise("open")
+    return s.select("doc_id", F.coalesce("o", "j", agreed).alias("final"), decided.alias("decided_by"), "n")
+
+
+@query("""
+with d as (select distinct doc_id, source, n_chars from documents), l as (select doc_id, max(abusive) as abusive from review_labels group by doc_id)
+select d.doc_id, coalesce(d.source, '?') as source, l.abusive, d.n_chars from d join l using (doc_id)""")
+def labelled_documents(spark, d):
+    """Documents that have a label, with it; the rest of the corpus is left out."""
+    l = table(spark, d, "review_labels").groupBy("doc_id").agg(F.max("abusive").alias("abusive"))  # noqa: E741
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("?")).alias("source"), "n_chars").distinct()
+    return docs.join(l, "doc_id").select("doc_id", "source", "abusive", "n_chars")
+
+
+@query("""
+with p as (select distinct chunk_id, prediction_id, prompt, prompt_sha256 from predictions), c as (select chunk_id, count(*) as n, count(distinct prompt) as n_prompts, count(case when sha256(prompt) <> prompt_sha256 then 1 end) as n_wrong from p group by chunk_id)
+select case when n = 1 then 'single' when n_prompts = 1 then 'same' else 'differ' end as prompts, count(*) as n_chunks, sum(n_wrong)::bigint as n_wrong_hashes from c group by 1""")
+def prompt_equality(spark, d):
+    """Whether all answers about a chunk were asked with one prompt, and prompts whose recorded hash is wrong."""
+    p = table(spark, d, "predictions").select("chunk_id", "prediction_id", F.sha2("prompt", 256).alias("h"), "prompt_sha256").distinct()
+    c = p.groupBy("chunk_id").agg(F.count("*").alias("n"), F.count_distinct("h").alias("k"), F.count_if(F.col("h") != F.col("prompt_sha256")).alias("w"))
+    kind = F.when(F.col("n") == 1, "single").when(F.col("k") == 1, "same").otherwise("differ")
+    return c.groupBy(kind.alias("prompts")).agg(F.count("*").alias("n_chunks"), F.sum("w").alias("n_wrong_hashes"))
+
+
+@query(f"""
+with {_X} select cik, least(min(filed), min(period_end)) as first_day, greatest(max(filed), max(period_end)) as last_day, count(*) as n from x where cik is not null group by cik""")
+def entity_windows(spark, d):
+    """A window of days for each entity that cuts off none of its facts."""
+    return facts(spark, d).where("cik is not null").groupBy("cik").agg(F.least(F.min("filed"), F.min("period_end")).alias("first_day"), F.greatest(F.max("filed"), F.max("period_end")).alias("last_day"), F.count("*").alias("n"))
+
+
+@query(f"""
+with {_F}, w as (select distinct cik, report_date from f where form like '%/A' and report_date is not null)
+select f.form, count(*) as n, count(case when w.cik is null then 1 end) as n_kept from f left join w on f.cik = w.cik and f.report_date = w.report_date group by f.form""")
+def without_amended(spark, d):
+    """Filings by form, and those of periods that no amendment withdrew."""
+    f = filings(spark, d)
+    w = f.where("form like '%/A' and report_date is not null").select("cik", "report_date").distinct().withColumn("gone", F.lit(1))
+    return f.join(w, ["cik", "report_date"], "left").groupBy("form").agg(F.count("*").alias("n"), F.count_if(F.col("gone").isNull()).alias("n_kept"))
+
+
+@query("""
+with f as (select distinct accession_number, earnings_doc_section_type s, earnings_doc_selection_confidence c, has_earnings_item h, filing_date d from filings)
+select coalesce(s, 'none') as section_type, coalesce(c, 'none') as confidence, coalesce(h, false) as has_item, count(*) as n, min(year(d)) as first_year from f group by 1, 2, 3""")
+def selection_audit(spark, d):
+    """Selected documents by section, confidence and item, with the first year of each."""
+    f = table(spark, d, "filings").select("accession_number", "earnings_doc_section_type", "earnings_doc_selection_confidence", "has_earnings_item", "filing_date").distinct()
+    keys = [F.coalesce(c, F.lit(v)).alias(n) for c, v, n in (("earnings_doc_section_type", "none", "section_type"), ("earnings_doc_selection_confidence", "none", "confidence"), ("has_earnings_item", False, "has_item"))]
+    return f.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.year("filing_date")).cast("long").alias("first_year"))
+
+
+@query(f"""
+with {_F}, u as (select cik, min(sector) as sector from universe_membership where sector is not null group by cik), e as (select distinct cik from f where list_contains(list_transform(string_split(items, ','), lambda x: trim(x)), '2.02'))
+select u.sector, count(*) as n_members, count(e.cik) as n_covered, count(e.cik) < 0.5 * count(*) as is_thin from u left join e using (cik) group by u.sector""")
+def sector_coverage(spark, d):
+    """Members of each sector with at least one earnings filing."""
+    u = table(spark, d, "universe_membership").where("sector is not null").groupBy("cik").agg(F.min("sector").alias("sector"))
+    e = filings(spark, d).where(sc.has_item(F.col("items"), "2.02")).select("cik", F.lit(1).alias("hit")).distinct()
+    return u.join(e, "cik", "left").groupBy("sector").agg(F.count("*").alias("n_members"), F.count("hit").alias("n_covered"), (F.count("hit") < 0.5 * F.count("*")).alias("is_thin"))
+
+
+@query(f"""
+{_CALLS}, s as (select entity, id, fold, case when called_up then 1.0 else 0 end as a, case when was_up then 1.0 else 0 end as b from calls)
+select entity, count(*) as n, case when count(*) >= 3 and stddev_pop(a) > 0 and stddev_pop(b) > 0 then round(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)), 6) end as agreement from s group by entity""")
+def entity_agreement(spark, d):
+    """Correlation of calls and outcomes of each entity; null under three or without variance."""
+    c = _calls(spark, d).select("entity", F.col("called_up").cast("double").alias("a"), F.col("was_up").cast("double").alias("b"))
+    return c.groupBy("entity").agg(F.count("*").alias("n"), F.round(sq.guarded_corr(F.col("a"), F.col("b")), 6).alias("agreement"))
+
+
+@query("""
+with f as (select distinct cik, instant, filed, val from float_facts where val is not null and val > 0 and filed is not null), a as (select *, val / nullif(exp(avg(ln(val)) over (partition by cik)), 0) as r, count(*) over (partition by cik) as k from f)
+select case when k < 3 then 'too_few' when r > 300 then 'too_large' when r < 1.0 / 300 then 'too_small' else 'fine' end as scale, count(*) as n, count(distinct cik) as n_entities from a group by 1""")
+def float_scale_audit(spark, d):
+    """Values far from the geometric mean of their entity's: a wrong scale."""
+    f = table(spark, d, "float_facts").where("val is not null and val > 0 and filed is not null").select("cik", "instant", "filed", "val").distinct()
+    m = f.groupBy("cik").agg(F.avg(F.log("val")).alias("m"), F.count("*").alias("k"))
+    r = F.col("val") / F.exp("m")
+    scale = F.when(F.col("k") < 3, "too_few").when(r > 300, "too_large").when(r < 1 / 300, "too_small").otherwise("fine")
+    return f.join(m, "cik").groupBy(scale.alias("scale")).agg(F.count("*").alias("n"), F.count_distinct("cik").alias("n_entities"))
+
+
+@query(f"""
+with {_F}, s as (select cik, count(*) as n, count(distinct form) as k, count(distinct ticker) as t, max(filing_date) as z, min(filing_date) as a from (select distinct accession_number, cik, form, ticker, filing_date from filings) group by cik), v as (select cik, n, k, t, a, z from s where cik is not null)
+select cik, 'several_tickers' as flag from v where t > 1 union all select cik, 'one_form' from v where k = 1 and n > 1 union all select cik, 'short_life' from v where date_diff('day', a, z) < 200 and n > 1
+union all select cik, 'no_ticker' from v where t = 0""")
+def entity_flags(spark, d):
+    """Oddities of entities, a row for each."""
+    f = table(spark, d, "filings").where("cik is not null").select("accession_number", "cik", "form", "ticker", "filing_date").distinct()
+    s = f.groupBy("cik").agg(F.count("*").alias("n"), F.count_distinct("form").alias("k"), F.count_distinct("ticker").alias("t"), F.min("filing_date").alias("a"), F.max("filing_date").alias("z"))
+    flags = {"several_tickers": F.col("t") > 1, "one_form": (F.col("k") == 1) & (F.col("n") > 1), "short_life": (F.date_diff("z", "a") < 200) & (F.col("n") > 1), "no_ticker": F.col("t") == 0}
+    return s.select("cik", F.explode(F.array_compact(F.array(*(F.when(c, n) for n, c in flags.items())))).alias("flag"))
+
+
+@query("""
+with p as (select distinct accession_number, section_type, position from paragraph_occurrences), f as (select accession_number, any_value(filing_date) as d, any_value(has_earnings_item) as h from filings group by 1),
+c as (select section_type, year(d) * 4 + quarter(d) - 1 as q, count(distinct accession_number) as n, count(distinct case when h then accession_number end) as k from p join f using (accession_number) group by 1, 2)
+select section_type, q, n, case when n >= 10 and k > 0 then 'full' when n >= 3 then 'thin' else 'sparse' end as level from c""")
+def population_levels(spark, d):
+    """Level of each section and quarter by the filings it has; nothing is dropped."""
+    p = table(spark, d, "paragraph_occurrences").select("accession_number", "section_type").distinct()
+    f = table(spark, d, "filings").groupBy("accession_number").agg(F.any_value("filing_date").alias("d"), F.any_value("has_earnings_item").alias("h"))
+    c = p.join(f, "accession_number").groupBy("section_type", fo.quarter_index(F.col("d")).cast("long").alias("q")).agg(F.count("*").alias("n"), F.count_if("h").alias("k"))
+    return c.select("section_type", "q", "n", F.when((F.col("n") >= 10) & (F.col("k") > 0), "full").when(F.col("n") >= 3, "thin").otherwise("sparse").alias("level"))

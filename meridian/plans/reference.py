@@ -669,9 +669,10 @@ def section_novelty(spark, d):
     k = filings(spark, d).where(F.col("form").isin("10-K", "10-Q"))
     pairs = partner_near(k, keys=["cik", "form"], day="filing_date", tie="accession_number", least=300, most=430, ideal=365).select("accession_number", F.col("partner").alias("prior_accession"))
     pairs = checkpointed(pairs)
-    ids = pairs.select(F.explode(F.array("accession_number", "prior_accession")).alias("accession_number")).distinct()
+    # 64-bit ids, so that few take little room; a filing let through by an equal hash finds no pair below
+    ids = pairs.select(F.explode(F.array(F.xxhash64("accession_number"), F.xxhash64("prior_accession"))).alias("_id")).distinct()
     few = pairs.count() <= 1_000_000
-    needed = table(spark, d, "paragraph_occurrences").join(F.broadcast(ids) if few else ids, "accession_number", "left_semi")
+    needed = table(spark, d, "paragraph_occurrences").withColumn("_id", F.xxhash64("accession_number")).join(F.broadcast(ids) if few else ids, "_id", "left_semi")
     section = needed.select("accession_number", "section_type", F.xxhash64("accession_number", "section_type").alias("s"), "text")
     g = tx.shingle_rows(section, ["s"], "text").distinct()
     sizes = g.groupBy("s").agg(F.count("*").alias("n"))
@@ -857,7 +858,11 @@ def drift_of_units(spark, d):
     return quality.drift(r, a, ["cik"], ["u"])
 
 
-@query()
+@query("""
+with a as (select f.cik, c.family, min(f.unit) as u from fundamental_facts f join (select distinct family, taxonomy, concept from concept_families) c using (taxonomy, concept) group by 1, 2),
+r as (select cik, family, min(unit) as u from concept_resolution group by 1, 2)
+select coalesce(a.cik, r.cik) as cik, coalesce(a.family, r.family) as family, case when r.cik is null then 'added' when a.cik is null then 'removed' else 'changed' end as change
+from a full join r on a.cik = r.cik and a.family = r.family where r.cik is null or a.cik is null or a.u is distinct from r.u""")
 def drift_of_family_units(spark, d):
     """Recorded units against those of the facts by entity and family, for all families of concepts: added, removed, changed.
 
