@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from meridian.llm.rows import distinct_rows
 from meridian.llm.tokenize import BYTE_BPE, TOKENIZERS, _blocks, vocabulary
-from meridian.session import broadcast_if_small, checkpointed, shuffle_partitions
+from meridian.session import broadcast_if_few, checkpointed, shuffle_partitions
 
 FAN_IN = 32
 
@@ -228,7 +228,7 @@ def mix_sources(
     plan = checkpointed(share_plan(sizes, wanted, total))
     whole = F.floor("expected_copies").cast("int")
     table = plan.select("source", whole.alias("whole"), (F.col("expected_copies") - whole).alias("p"))
-    planned = sized.join(broadcast_if_small(table), "source", "left")
+    planned = sized.join(broadcast_if_few(table), "source", "left")
     used = (F.col("n_tokens") > 0) & F.col("whole").isNotNull()
     chosen = round_copies(planned.where(used & (F.col("p") > 0)).select("doc", "row", "source", F.col("n_tokens").cast("double").alias("mass"), "p"), seed)
     out = planned.join(chosen, ["doc", "row"], "left").select(
@@ -257,7 +257,7 @@ def mixture_report(copies: DataFrame, targets: DataFrame, plan: DataFrame) -> Da
     share = F.col("mixed_tokens") / F.lit(float(total)) if total else F.lit(0.0)
     return (
         has.join(asked, "source", "full")
-        .join(broadcast_if_small(goal), "source", "left")
+        .join(broadcast_if_few(goal), "source", "left")
         .withColumn("share_reached", F.coalesce(share, F.lit(0.0)))
     )
 

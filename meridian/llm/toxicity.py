@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -111,6 +112,7 @@ PARTS = {
 PATTERNS: list[tuple[str, float, int, str]] = [
     (ABUSE, 3, 0, "{PROFANE}"),
     (ABUSE, 3, 0, "({YOU}) ({NOUN}|{BEAST})"),
+    (ABUSE, 3, 0, "(you|you all|you people|board|directors|managers|executives|bosses|company) are (the|pure|complete|just|nothing but|such|all|absolute) ({NOUN}|filth|scum|dirt|trash|garbage|vermin|parasites|liars|thieves|fools|swine|pigs|rats)"),
     (ABUSE, 3, 0, "(you|you are|you all) ({ADJ}) ({NOUN}|{BEAST}|people|man|woman)"),
     (ABUSE, 3, 0, "({ADJ}) ({NOUN}|excuse for)"),
     (ABUSE, 3, 0, "(bunch|pack|gang|band|crew|load|collection) of (|{ADJ}) ({NOUN}|liars|thieves|pigs|rats|fools|losers|clowns|hypocrites|cheats|frauds|parasites|jerks)"),
@@ -183,37 +185,52 @@ EXCEPTIONS = [
     "(sexual|racial|verbal|physical) (harassment|abuse|misconduct|orientation|discrimination|assault)|(abusive|offensive|foul|vulgar) language|sexually transmitted|adult (entertainment|content|website|websites)|sex (discrimination|trafficking|offender|offenders|education|ratio)|hostile work environment|hate (speech|crime|crimes)|remarks of a sexual nature|(same|opposite) sex|child pornography|(anti|prohibits|prohibit|prohibiting|against) (pornographic|pornography)|pornographic (material|materials|content) (is|are) (prohibited|banned)",
     "(stupid|terrible|dumb|bad) (policy|idea|question|mistake|decision)|sick (leave|pay|days|day|time|building|employees)|(lazy|fat) (river|tail|tails|free)|low fat|corrupt (practices|data|files|practice|file)|(dirty|clean) (price|prices|bomb|tanker|tankers|coal|water)|bloody (mary|marys)|damn good|ugly (truth|duckling)",
     "(trash|garbage) (removal|collection|disposal|truck|trucks|can|cans|bags|bins|hauling|compactor|compactors|pickup|service|services|fees)|(identity|cyber|data|car|copper|cable|art|credit card) (thieves|thief|theft)|jerk (chicken|seasoning|sauce)|fool proof|foolproof|(prick|skin prick|finger prick) (test|tests|testing)|(craps|crap) (table|tables|game|games)|bastard (file|files|cut|sword)|(retards|retard) (corrosion|growth|fire|flame|flames|evaporation|rust|aging|the|spoilage)|fire retard|screw (fasteners|fastener|conveyor|press|machine|machines|thread|threads)|sucker rods|(earth|round|hook|heart|tape|ring) (worm|worms)|worm (gear|gears|drive)|(sniffer|guard|hot|guide|service|police) (dog|dogs)|dog food|(animal|intestinal|internal|external|malaria|fish|sea) (parasites|parasite|lice)|parasites (in|on|of|such)|(circus|rodeo) (clown|clowns)|clown fish|(dirt|gravel) (road|roads|bike|bikes|track|tracks)|dirt (and|removal|cheap|resistant)",
-    "(kill|kills|killed|killing) (power|the|bacteria|weeds|germs|pests|cells|viruses)|beat (estimates|expectations|consensus|our|the|analyst|analysts|last)|shoot (days|schedule|for)|hang (seng|up|gliding|tags|on)|burn (rate|rates|wounds|off|in|unit)|skin (care|cancer|test|graft|grafts|cream)|whip (lash|saw)|gun (safe|safes|shop|shops|store|stores|sales|owners|control|violence|laws|show|shows|manufacturer|manufacturers)|nail gun|(knife|knives) (blocks|block|sets|set|sharpener)",
+    "(kill|kills|killed|killing) (power|the|bacteria|weeds|germs|pests|cells|viruses)|beat (estimates|expectations|consensus|our|analyst|analysts|last|the (street|market|consensus|estimates|odds|competition|benchmark|index))|shoot (days|schedule|for)|hang (seng|up|gliding|tags|on)|burn (rate|rates|wounds|off|in|unit)|skin (care|cancer|test|graft|grafts|cream)|whip (lash|saw)|gun (safe|safes|shop|shops|store|stores|sales|owners|control|violence|laws|show|shows|manufacturer|manufacturers)|nail gun|(knife|knives) (blocks|block|sets|set|sharpener)",
     "women (and|in|on|s|who|with|are underrepresented|are still|of|over|aged|for)|(pregnant|older|young|younger|more|many|few|most) women|(hire|hires|hired|employ|employs|support|supports|supported|helps|help|helping|assist|protect|protects|welcome|welcomes) (women|refugees|immigrants|migrants|minorities|foreigners|pensioners|natives|indians|girls|disabled people|old people|homeless people|poor people)|native american|american indians|(refugees|immigrants|migrants|foreigners|minorities) (and|or|who|in|from|are supported|are welcome|with)|insulted because of|mocking (immigrants|women|foreigners|muslims|jews)",
 ]
 
 LEAST = 3.0
 
 
-_ALTERNATIVES = re.compile(r"\(([^()]*)\)")
-
-
-def expanded(pattern: str) -> list[str]:
-    """The phrases that a pattern of ``(a|b)`` and ``{NAME}`` stands for, innermost brackets first."""
-    pattern = re.sub(r"\{(\w+)\}", lambda m: "|".join(PARTS[m.group(1)].split() if "|" not in PARTS[m.group(1)] else [PARTS[m.group(1)]]), pattern)
+def _closed(pattern: str) -> list[str]:
+    """A pattern cut at the bars outside of brackets."""
     depth, start, parts = 0, 0, []
     for i, ch in enumerate(pattern):
         depth += (ch == "(") - (ch == ")")
         if ch == "|" and not depth:
             parts.append(pattern[start:i])
             start = i + 1
-    parts.append(pattern[start:])
+    return [*parts, pattern[start:]]
+
+
+def expanded(pattern: str) -> list[str]:
+    """The phrases that a pattern of ``(a|b)`` and ``{NAME}`` stands for."""
+    for name, words in PARTS.items():
+        if f"{{{name}}}" in pattern:
+            pattern = pattern.replace(f"{{{name}}}", words if "|" in words else "|".join(words.split()))
     out: list[str] = []
-    for part in parts:
-        if m := _ALTERNATIVES.search(part):
-            out += [x for choice in m.group(1).split("|") for x in expanded(part[: m.start()] + choice + part[m.end() :])]
-        else:
-            out.append(" ".join(part.split()))
+    for part in _closed(pattern):
+        choices, depth, start = [], 0, 0
+        for i, ch in enumerate(part):
+            if ch == "(":
+                if not depth:
+                    choices.append([part[start:i]])
+                    start = i + 1
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+                if not depth:
+                    choices.append(expanded(part[start:i]))
+                    start = i + 1
+        choices.append([part[start:]])
+        out += map("".join, product(*choices))
     return out
 
 
 def _key(term: str) -> str:
-    return " ".join(re.findall(r"\w+", _MARKS.sub("", unicodedata.normalize("NFKD", term)).casefold().translate(_TABLE if not term.isascii() else {})))
+    if not term.isascii():
+        term = _MARKS.sub("", unicodedata.normalize("NFKD", term)).casefold().translate(_TABLE)
+    return " ".join(term.replace("-", " ").split())
 
 
 @lru_cache(maxsize=1)

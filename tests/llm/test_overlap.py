@@ -192,3 +192,10 @@ def test_words_written_several_times(spark):
     words = "a b c d e f g h i j".split()
     rows = [(1, 1, " ".join(words)), (2, 4, " ".join(words * 5))]
     assert run(spark, rows) == brute(rows) == {("test", 1, 2)}
+
+
+def test_more_texts_than_are_broadcast(spark, monkeypatch):
+    """The way beyond a million ids, which shuffles: the same pairs."""
+    monkeypatch.setattr(overlap, "FEW", -1)
+    rows = corpus(7, 60, 20, 60)
+    assert run(spark, rows) == brute(rows)
