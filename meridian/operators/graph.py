@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.operators.order import _with_running
-from meridian.session import broadcast_if_small, checkpointed
+from meridian.session import FEW_ROWS, broadcast_if_few, checkpointed
 
 
 def components(members: DataFrame, node: str, shared: str, most_rounds: int = 50) -> DataFrame:
@@ -22,14 +22,15 @@ def components(members: DataFrame, node: str, shared: str, most_rounds: int = 50
     pairs = checkpointed(members.where(F.col(node).isNotNull()).select(F.col(node).alias("_n"), F.col(shared).alias("_v")).distinct())
     linked = pairs.where(F.col("_v").isNotNull())
     labels = checkpointed(pairs.groupBy("_n").agg(F.min("_n").alias("_l")))
+    few = labels.count() <= FEW_ROWS  # there are no more jumps than nodes
     for _ in range(most_rounds):
         least = linked.join(labels, "_n").groupBy("_v").agg(F.min("_l").alias("_m"))
         reached = linked.join(least, "_v").groupBy("_n").agg(F.min("_m").alias("_m"))
         step = labels.join(reached, "_n", "left").select("_n", F.least("_l", F.coalesce("_m", "_l")).alias("_new"), "_l")
         # a label is looked up once, not by each of its nodes; most labels are roots and need no jump
         moved = step.where("_new <> _n").select(F.col("_n").alias("_new"), F.col("_new").alias("_root"))
-        jumps = checkpointed(step.select("_new").distinct().join(moved, "_new"))
-        jumped = step.join(broadcast_if_small(jumps), "_new", "left").select("_n", F.least("_new", F.coalesce("_root", "_new")).alias("_new"), "_l")
+        jumps = F.broadcast(moved) if few else broadcast_if_few(checkpointed(step.select("_new").distinct().join(moved, "_new")))
+        jumped = step.join(jumps, "_new", "left").select("_n", F.least("_new", F.coalesce("_root", "_new")).alias("_new"), "_l")
         jumped = checkpointed(jumped)
         labels = jumped.select("_n", F.col("_new").alias("_l"))
         if jumped.where("_new <> _l").isEmpty():

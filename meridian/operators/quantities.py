@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from meridian.functions.units import conversion, stated_currency
-from meridian.session import broadcast_if_small, checkpointed
+from meridian.session import broadcast_if_few, broadcast_if_small, checkpointed
 
 _RESULT = [("common_unit", pa.string()), ("text_number", pa.float64()), ("exponent", pa.int32()), ("coefficient", pa.float64()), ("offset", pa.float64()), ("status", pa.string())]
 _TYPES = {pa.string(): T.StringType(), pa.float64(): T.DoubleType(), pa.int32(): T.IntegerType()}
@@ -118,7 +118,7 @@ def to_common_units(
     usual = _usual_currency(rows, entity)
     odd = _magnitudes(rows.where(F.col("_v").isNotNull()), names, tolerance)
     rows = rows.join(odd, [*names, "_sign"], "left")
-    rows = rows.join(broadcast_if_small(usual), F.col(entity) == F.col("_entity"), "left")
+    rows = rows.join(broadcast_if_few(checkpointed(usual)), F.col(entity) == F.col("_entity"), "left")
     own = F.regexp_extract("_c.common_unit", "^([A-Z]{3})(?:/|$)", 1)
     assumed = F.col("_c.stated").isNull() & (own != "") & F.col("_usual").isNotNull()
     common_unit = F.when(assumed, F.regexp_replace("_c.common_unit", "^[A-Z]{3}", F.col("_usual"))).otherwise(F.col("_c.common_unit"))

@@ -68,11 +68,27 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimised plan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate of the optimised plan, at most 2**62.
+
+    The estimate of a checkpoint is that of the plan it was made by, which joins
+    multiply up: for those ``broadcast_if_few`` counts.
+    """
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    try:
+        return min(int(stats.sizeInBytes()), 1 << 62)
+    except ValueError:  # more digits than Python converts
+        return 1 << 62
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only while the estimated size is under ``limit``; beyond
     it the join is left to Catalyst, which shuffles."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+FEW_ROWS = 1_000_000
+
+
+def broadcast_if_few(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """Hint a broadcast of a narrow table that is written already, such as a checkpoint, if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
