@@ -99,3 +99,10 @@ def assert_one_variant(rows: DataFrame, expected: dict[str, object]) -> None:
         r = rows.agg(*(F.count_if(~F.col(c).eqNullSafe(F.lit(v))).alias(c) for c, v in expected.items())).first()
         if bad := {c: r[c] for c in expected if r[c]}:
             raise AssertionError(f"rows of another variant: {bad}")
+
+
+def assert_count(name: str, rows: DataFrame, expected: int) -> DataFrame:
+    """``rows``, if there are as many as were counted before; a census that has changed is refused, not adapted to."""
+    if (n := rows.count()) != expected:
+        raise AssertionError(f"{name}: {n} rows, not {expected}")
+    return rows

@@ -176,7 +176,19 @@ def covered_quarters(spark, d):
     return q.withColumn("n_covered", F.count("*").over(Window.partitionBy("cik").orderBy("q").rangeBetween(-8, -1)))
 
 
-@query()
+@query(f"""
+with {_X}, q as (select distinct cik as e, concept as c, year(period_end) * 4 + quarter(period_end) - 1 as q from x where period_end is not null),
+s as (select e, min(q) lo, max(q) hi, max(q) - min(q) + 1 as target from q group by e), fam as (select distinct family, concept as c, preference from concept_families),
+t as (select q.e, fam.family, q.c, min(fam.preference) p, list_sort(list(distinct q.q)) qs, count(distinct q.q) n, max(q.q) last from q join fam using (c) group by 1, 2, 3),
+u as (select q.e, fam.family, count(distinct q.q) u from q join fam using (c) group by 1, 2),
+k as (select t.*, s.target, n / s.target >= 0.75 as at_bar, last >= s.hi - 2 as alive, lag(last) over w as before, row_number() over w as rn, row_number() over (partition by t.e, family order by last desc, c desc) as newest from t join s on s.e = t.e window w as (partition by t.e, family order by last, c)),
+g as (select e, family, count(*) as k, count(case when at_bar and alive then 1 end) as n_live, count(case when at_bar then 1 end) as n_bars, sum(n) as total, count(case when alive then 1 end) as n_alive, bool_or(newest = 1 and alive) as newest_alive, max(target) as target,
+  min(case when at_bar and alive then lpad(p::varchar, 9, '0') || c end) as best, list(list_min(list_filter(qs, lambda y: y > before)) order by rn) filter (where rn > 1) as switches from k group by e, family),
+z as (select g.*, u.u, k >= 2 and u.u / target >= 0.75 as together, total - u.u as overlap from g join u using (e, family)),
+y as (select *, together and newest_alive and (overlap <= 1 or n_alive = 1) as migrated from z),
+f as (select e, family, case when n_live > 0 and n_bars = 1 then 'SINGLE' when n_live > 0 then 'DOMINANT' when together and not newest_alive then 'PARTIAL' when migrated then 'MIGRATION' when together then 'OVERLAP' else 'PARTIAL' end as state,
+  substr(best, 10) as winner, round(u / target, 6) as coverage, case when n_live = 0 and migrated then switches end as switch_quarters from y)
+select s.e as cik, m.family, coalesce(f.state, 'ABSENT') as state, f.winner, coalesce(f.coverage, 0.0) as coverage, f.switch_quarters from s cross join (select distinct family from fam) m left join f on f.e = s.e and f.family = m.family""")
 def family_states(spark, d):
     """State of each family of concepts per entity: single, dominant, migrated, overlapping, partial or absent."""
     fam = table(spark, d, "concept_families").select("family", "concept", "preference").distinct()

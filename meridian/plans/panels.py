@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from meridian.functions import scalar as sc
 from meridian.operators import folds as fo
-from meridian.operators import boosting, graph, panel, quality
+from meridian.operators import boosting, graph, inference, panel, quality
 from meridian.operators import sequence as sq
 from meridian.operators import text as tx
 from meridian.operators.answers import read_answer
-from meridian.plans.reference import _ANSWER, _DAILY, _F, _FOLDS, _X, _daily, _fold_rows, _occurrences, facts, filings
+from meridian.operators.order import midrank, position_in_group, row_index, value_ranks
+from meridian.plans import reference
+from meridian.plans.reference import _ANSWER, _DAILY, _F, _FOLDS, _X, _daily, _fold_rows, _occurrences, facts, filings, rank_ic_by_period
 from meridian.session import broadcast_if_small, checkpointed, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+RANK_IC = reference.SQL["rank_ic_by_period"]
 
 
 def query(sql: str | None = None):
@@ -830,3 +833,148 @@ def population_levels(spark, d):
     f = table(spark, d, "filings").groupBy("accession_number").agg(F.any_value("filing_date").alias("d"), F.any_value("has_earnings_item").alias("h"))
     c = p.join(f, "accession_number").groupBy("section_type", fo.quarter_index(F.col("d")).cast("long").alias("q")).agg(F.count("*").alias("n"), F.count_if("h").alias("k"))
     return c.select("section_type", "q", "n", F.when((F.col("n") >= 10) & (F.col("k") > 0), "full").when(F.col("n") >= 3, "thin").otherwise("sparse").alias("level"))
+
+
+# --- boundaries, assertions, profiles ------------------------------------------------------------
+
+
+@query(f"""
+with {_F}, s as (select distinct cik, member_from a, member_to b from universe_membership where member_from is not null and (member_to is null or member_to > member_from))
+select 'first_day' as boundary, count(distinct f.accession_number) as n from f join s on s.cik = f.cik and f.filing_date = s.a union all
+select 'last_day', count(distinct f.accession_number) from f join s on s.cik = f.cik and f.filing_date = s.b - 1 union all
+select 'day_after', count(distinct f.accession_number) from f join s on s.cik = f.cik and f.filing_date = s.b""")
+def boundary_rows(spark, d):
+    """Filings on the first and the last day of a spell, which are inside, and on the day after, which is not."""
+    f = filings(spark, d).select("accession_number", "cik", "filing_date")
+    s = table(spark, d, "universe_membership").where("member_from is not null and (member_to is null or member_to > member_from)").select("cik", "member_from", "member_to").distinct()
+    days = F.array(*(F.struct(F.lit(n).alias("boundary"), c.alias("filing_date")) for n, c in (("first_day", F.col("member_from")), ("last_day", F.date_sub("member_to", 1)), ("day_after", F.col("member_to")))))
+    met = s.select("cik", F.inline(days)).distinct().join(f, ["cik", "filing_date"]).groupBy("boundary").agg(F.count_distinct("accession_number").alias("n"))
+    names = spark.createDataFrame([("first_day",), ("last_day",), ("day_after",)], "boundary string")
+    return names.join(met, "boundary", "left").select("boundary", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("""
+with p as (select distinct accession_number, section_type, position from paragraph_occurrences) select section_type = '8K_BODY' as is_excluded, count(*) as n, count(distinct accession_number) as n_filings from p group by 1""")
+def section_exclusion(spark, d):
+    """Paragraphs of the excluded section and of the others, counted before they are dropped; both counts must add up to all."""
+    p = table(spark, d, "paragraph_occurrences").select("accession_number", "section_type", "position").distinct()
+    return p.groupBy((F.col("section_type") == "8K_BODY").alias("is_excluded")).agg(F.count("*").alias("n"), F.count_distinct("accession_number").alias("n_filings"))
+
+
+@query("""
+with p as (select distinct doc_id, lang, source from documents), k as (select * from p where source is distinct from 'system_log')
+select coalesce(source, '?') as source, count(*) as n, count(case when lang = 'en' then 1 end) as n_english from k group by 1""")
+def without_one_source(spark, d):
+    """A source left out before anything else is counted; a null source stays."""
+    p = table(spark, d, "documents").select("doc_id", "lang", "source").distinct().where(~F.col("source").eqNullSafe("system_log"))
+    return p.groupBy(F.coalesce("source", F.lit("?")).alias("source")).agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("n_english"))
+
+
+@query(f"""
+with {_F}, {_X}, k as (select f.accession_number, f.filing_date, max(x.filed) as seen from f join x on x.cik = f.cik and x.filed < f.filing_date group by 1, 2),
+m as (select f.accession_number, f.filing_date, s.member_from, s.member_to from f join (select distinct cik, member_from, member_to from universe_membership) s on s.cik = f.cik and s.member_from <= f.filing_date and (s.member_to is null or f.filing_date < s.member_to))
+select 'known_later' as "check", 'FATAL' as severity, count(case when seen >= filing_date then 1 end) as n_bad from k
+union all select 'outside_spell', 'FATAL', count(case when filing_date < member_from or filing_date >= member_to then 1 end) from m
+union all select 'occurs_before_home', 'FATAL', count(case when o.filing_date < t.home_filing_date then 1 end) from (select distinct * from canonical_paragraphs) t, unnest(t.occurrences) as u(o)
+union all select 'accepted_before_filed', 'WARN', count(case when acceptance_datetime::date < filing_date - 1 then 1 end) from f""")
+def lookahead_checks(spark, d):
+    """Assertions that nothing was used before it was known: states, memberships, homes, and times of acceptance."""
+    from meridian.operators.known_at import with_known
+
+    f = filings(spark, d)
+    x = facts(spark, d).where("filed is not null").select("cik", F.col("filed").alias("day"), F.col("fact_id").cast("string").alias("source"), "value")
+    k = with_known(f.select("accession_number", "cik", "filing_date"), x, entity="cik", at="filing_date", effective="day", disclosed="day", source="source", value="value")
+    s = table(spark, d, "universe_membership").select("cik", "member_from", "member_to").distinct()
+    m = f.join(s, "cik").where("member_from <= filing_date and (member_to is null or filing_date < member_to)")
+    homes = table(spark, d, "canonical_paragraphs").select("home_filing_date", F.explode("occurrences").alias("o"))
+    return quality.report([
+        quality.no_rows("known_later", k, F.col("known_disclosed") >= F.col("filing_date")),
+        quality.no_rows("outside_spell", m, (F.col("filing_date") < F.col("member_from")) | (F.col("filing_date") >= F.col("member_to"))),
+        quality.no_rows("occurs_before_home", homes, F.col("o.filing_date") < F.col("home_filing_date")),
+        quality.no_rows("accepted_before_filed", f, F.to_date("acceptance_datetime") < F.date_sub("filing_date", 1), "WARN"),
+    ])
+
+
+@query(f"""
+with {_X} select fact_id, row_number() over (order by cik nulls first, concept nulls first, period_end nulls first, filed nulls first, accession_number nulls first, fact_id) - 1 as place from x""")
+def fact_order(spark, d):
+    """The place of each fact in the total order of the table."""
+    x = facts(spark, d).select("fact_id", "cik", "concept", "period_end", "filed", "accession_number")
+    return row_index(x, [F.col(c) for c in ("cik", "concept", "period_end", "filed", "accession_number", "fact_id")], "place").select("fact_id", "place")
+
+
+@query("""
+with f as (select distinct cik, instant, filed, val from float_facts where val > 0) select cik, count(*) as n, median(val) as median_value from f where cik is not null group by cik""")
+def implied_medians(spark, d):
+    """Median of each entity's positive values, from their places in a range-partitioned order."""
+    f = table(spark, d, "float_facts").where("val > 0 and cik is not null").select("cik", "instant", "filed", "val").distinct()
+    p = position_in_group(f, ["cik"], [F.col("val"), F.col("instant"), F.col("filed")])
+    middle = (F.col("position") == F.floor((F.col("group_size") - 1) / 2)) | (F.col("position") == F.floor(F.col("group_size") / 2))
+    return p.where(middle).groupBy("cik").agg(F.max("group_size").alias("n"), F.avg("val").alias("median_value"))
+
+
+@query(f"""
+with {_DAILY}, b as (select min(day) lo, max(day) hi from e), u as (select user_id, min(day) a, max(day) z, count(*) as n from e group by user_id)
+select case when a <= lo + 2 and z >= hi - 2 then 'complete' when a <= lo + 2 then 'ends_early' when z >= hi - 2 then 'starts_late' else 'both' end as censoring, count(*) as n_entities, sum(n)::bigint as n_days from u, b group by 1""")
+def censoring_census(spark, d):
+    """Entities whose series starts late or ends early."""
+    e = _daily(spark, d)
+    lo, hi = e.agg(F.min("day"), F.max("day")).first()
+    u = e.groupBy("user_id").agg((F.min("day") <= F.date_add(F.lit(lo), 2)).alias("s"), (F.max("day") >= F.date_sub(F.lit(hi), 2)).alias("t"), F.count("*").alias("n"))
+    kind = F.when(F.col("s") & F.col("t"), "complete").when(F.col("s"), "ends_early").when(F.col("t"), "starts_late").otherwise("both")
+    return u.groupBy(kind.alias("censoring")).agg(F.count("*").alias("n_entities"), F.sum("n").alias("n_days"))
+
+
+@query("""
+with l as (select distinct doc_id, abusive, category, reviewer, labelled_at from review_labels), t as (select doc_id, max(abusive) as truth, max(category) as kind from l group by doc_id)
+select coalesce(t.kind, 'none') as category, case when l.abusive = t.truth then 'right' when l.abusive = 0 then 'omission' else 'commission' end as mode, count(*) as n from l join t using (doc_id) group by 1, 2""")
+def error_modes(spark, d):
+    """Labels by category against the union of a document's labels: right, omitted, or committed."""
+    l = table(spark, d, "review_labels").select("doc_id", "abusive", "category", "reviewer", "labelled_at").distinct()  # noqa: E741
+    t = l.groupBy("doc_id").agg(F.max("abusive").alias("truth"), F.max("category").alias("kind"))
+    mode = F.when(F.col("abusive") == F.col("truth"), "right").when(F.col("abusive") == 0, "omission").otherwise("commission")
+    return l.join(t, "doc_id").groupBy(F.coalesce("kind", F.lit("none")).alias("category"), mode.alias("mode")).agg(F.count("*").alias("n"))
+
+
+@query("with ic as (" + RANK_IC + """), s as (select count(ic) as n, avg(ic) as mean, stddev_samp(ic) as sd from ic)
+select n, round(mean, 6) as mean, round(sd, 6) as sd, case when n < 3 or sd = 0 then 'untestable' when abs(mean) > 2 * sd / sqrt(n) then 'signal' else 'none' end as verdict from s""")
+def control_verdict(spark, d):
+    """Verdict on a control: whether its mean rank correlation over periods is told from 0."""
+    s = rank_ic_by_period(spark, d).agg(F.count("ic").alias("n"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("sd"))
+    verdict = F.when((F.col("n") < 3) | (F.col("sd") == 0), "untestable").when(F.abs("mean") > 2 * F.col("sd") / F.sqrt("n"), "signal").otherwise("none")
+    return s.select("n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), verdict.alias("verdict"))
+
+
+@query(f"""
+with {_DAILY}, b as (select distinct user_id, cast(ts as date) as event_day from events where event_type = 'purchase'), o as (select unnest(range(-2, 3)) as k)
+select o.k as day_offset, count(*) as n, round(avg(e.v), 6) as mean_value, round(stddev_samp(e.v), 6) as sd from b, o join e on e.user_id = b.user_id and e.day = b.event_day + o.k::int group by o.k""")
+def event_profile(spark, d):
+    """Mean daily value around an event, day by day."""
+    b = table(spark, d, "events").where("event_type = 'purchase'").select("user_id", F.to_date("ts").alias("event_day")).distinct()
+    around = b.select("user_id", F.explode(F.array(*map(F.lit, range(-2, 3)))).alias("day_offset"), "event_day").withColumn("day", F.date_add("event_day", F.col("day_offset")))
+    return around.join(_daily(spark, d), ["user_id", "day"]).groupBy(F.col("day_offset").cast("long").alias("day_offset")).agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean_value"), F.round(F.stddev_samp("v"), 6).alias("sd"))
+
+
+@query(f"""
+{_FOLDS}, m as (select fold, g, avg(y) v from t group by 1, 2), a as (select fold, avg(y) v from t group by 1),
+df as (select r.q as fold, r.id, coalesce(m.v, a.v) - a.v as delta from r join a on a.fold = r.q left join m on m.fold = r.q and m.g = r.g)
+select fold, count(*) as n, round(avg(delta), 4) as mean_delta, round(stddev_samp(delta), 4) as sd_delta, round((count(case when delta < 0 then 1 end) + 0.5 * count(case when delta = 0 then 1 end)) / count(*), 6) as rank_of_zero from df group by fold""")
+def matched_differences(spark, d):
+    """Differences of two predictions of the same rows: mean, sample deviation, and the midrank percentile of no difference."""
+    rows = checkpointed(_fold_rows(spark, d).select("fold", "role", "id", "g", "y"))
+    level = rows.where("role = 'train'").groupBy("fold").agg(F.avg("y").alias("level"))
+    p = fo.group_mean_prediction(rows, "g", "y", "id").join(broadcast_if_small(level), "fold").withColumn("delta", F.col("prediction") - F.col("level"))
+    zero = (F.count_if(F.col("delta") < 0) + 0.5 * F.count_if(F.col("delta") == 0)) / F.count("*")
+    return p.groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg("delta"), 4).alias("mean_delta"), F.round(F.stddev_samp("delta"), 4).alias("sd_delta"), F.round(zero, 6).alias("rank_of_zero"))
+
+
+@query()
+def ic_difference(spark, d):
+    """Difference of the rank correlations of two features with the outcome over all test rows, with its bootstrap deviation."""
+    rows = _model_rows(spark, d).where("role = 'test'").select(F.lit(1).alias("all"), "id", "x1", "x2", "y")
+    ranked = rows
+    for c in ("x1", "x2", "y"):
+        r = value_ranks(rows, ["all"], c).select(F.col(c).alias(f"_{c}"), midrank().alias(f"r_{c}"))
+        ranked = ranked.join(r, F.col(c) == F.col(f"_{c}")).drop(f"_{c}")
+    got = inference.correlation_difference(checkpointed(ranked), "id", "r_x1", "r_x2", "r_y", draws=200)
+    return spark.createDataFrame([(got["difference"], got["sd"], got["n"])], "difference double, sd double, n long")

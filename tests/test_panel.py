@@ -233,3 +233,43 @@ def test_vectors_reports_and_caches(spark, tmp_path):
     path = str(tmp_path / "cache")
     for version, source, times in (("1", v, 1), ("1", v, 1), ("2", v, 2), ("2", v.where("k = 1"), 3), ("2", v.where("k = 1"), 3)):
         assert sinks.cached_table(spark, path, version, {"v": source}, build).count() == 2 and len(built) == times
+
+
+def test_difference_of_correlations(spark):
+    rng = np.random.default_rng(5)
+    y = rng.normal(size=300)
+    rows = [(i, float(y[i] + 0.3 * e), float(n), float(y[i])) for i, (e, n) in enumerate(rng.normal(size=(300, 2)))]
+    df = spark.createDataFrame(rows + [(None, 1.0, 1.0, 1.0), (999, None, 1.0, 1.0)], "i long, a double, b double, y double")
+    got = inference.correlation_difference(df, "i", "a", "b", "y", draws=300)
+    a, b, t = np.array(rows)[:, 1:].T
+    assert got["n"] == 300 and got["difference"] == pytest.approx(np.corrcoef(a, t)[0, 1] - np.corrcoef(b, t)[0, 1])
+    again = inference.correlation_difference(df.repartition(5), "i", "a", "b", "y", draws=300)
+    assert again["sd"] == pytest.approx(got["sd"]) and 0.03 < got["sd"] < 0.09
+    assert inference.correlation_difference(df.withColumn("a", F.lit(1.0)), "i", "a", "b", "y", draws=5)["difference"] is None
+    assert inference.correlation_difference(df.where("false"), "i", "a", "b", "y", draws=5) == {"difference": None, "sd": None, "n": 0}
+
+
+def test_axes_of_each_fold_know_its_training_rows_alone(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(60, 4)) * [5, 2, 1, 0.1]
+    rows = [(1, "train", i, v[i].tolist()) for i in range(40)] + [(1, "test", i, v[i].tolist()) for i in range(40, 60)] + [(2, "train", i, v[i].tolist()) for i in range(20)]
+    rows += [(2, "test", 50, v[50].tolist()), (2, "test", 51, None), (2, "test", 52, [1.0]), (2, "train", 53, [1.0]), (3, "test", 1, v[1].tolist())]
+    got = {(r.fold, r.i): r.pc for r in fo.fold_axes(spark.createDataFrame(rows, "fold int, role string, i long, v array<double>"), "i", "v", 4, 2).collect()}
+    assert got[2, 51] is None and got[2, 52] is None and (3, 1) not in got
+    for fold, n in ((1, 40), (2, 20)):
+        m = v[:n].mean(axis=0)
+        _, _, axes = np.linalg.svd(v[:n] - m)
+        want = np.abs((v[50] - m) @ axes[:2].T)
+        assert np.abs(got[fold, 50]) == pytest.approx(want)
+    mean, axes = fo.principal_axes(spark.createDataFrame([(x.tolist(),) for x in v], "v array<double>"), "v", 4, 2)
+    assert mean == pytest.approx(v.mean(axis=0)) and np.abs(axes) == pytest.approx(np.abs(np.linalg.svd(v - v.mean(axis=0))[2][:2]))
+
+
+def test_ladders_paths_and_counts(spark):
+    rows = spark.createDataFrame([("a", 3, "y"), ("a", 2, "y"), ("a", 1, "z"), ("b", 5, "x"), ("b", 6, "x"), ("c", 9, "z"), ("c", 9, "z"), (None, 1, "x")], "k string, i int, s string")
+    got = {r.k: (r.i, r.confidence) for r in panel.first_by_rules(rows, "k", [(F.col("s") == "x", "high"), (F.col("s") == "y", "low")], "i").collect()}
+    assert got == {"a": (2, "low"), "b": (5, "high"), "c": (None, None), None: (1, "high")}
+    assert sorted((r.k, r.i) for r in panel.first_of_path(rows, "k", [F.col("i")]).collect()) == [("a", 1), ("b", 5), ("c", 9)]
+    assert quality.assert_count("rows", rows, 8) is rows
+    with pytest.raises(AssertionError):
+        quality.assert_count("rows", rows, 7)
