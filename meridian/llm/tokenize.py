@@ -33,10 +33,7 @@ def words(text: str) -> list[str]:
     return _ASCII.findall(text) if text.isascii() else _PATTERN.findall(text)
 
 
-#: One round contracts, in every word, all places of its pair of least rank from
-#: left to right. Of places that overlap (a token repeated) every second one is
-#: contracted. That gives the same as contracting the leftmost place again and
-#: again: a pair that arises by a merge always has a greater rank than that merge.
+#: One round contracts, in every word, the leftmost place of its pair of least rank.
 #: Words without a pair in the merge table leave the recursion. The recursion keeps
 #: the rounds of all words, so it gets words of at most ``LONG`` bytes and blocks whose
 #: squared lengths add up to ``SQUARES``; longer words are contracted by ``contract``.
@@ -45,18 +42,14 @@ with recursive step(word, pos, token, round) as (
   select word, pos, token, 0 from start
   union all
   (with pairs as (
-     select word, pos, token, round, row_number() over w as seq, lead(token) over w as follower
+     select word, pos, token, round, lag(pos) over w as before, lead(token) over w as follower
      from step window w as (partition by word order by pos)),
    ranked as (
      select p.*, m.rank, m.token as merged, min(m.rank) over (partition by p.word) as least
      from pairs p left join merge m on m.first = p.token and m.second = p.follower),
    places as (
-     select *, seq - coalesce(max(case when rank is distinct from least then seq end)
-                              over (partition by word order by pos rows between unbounded preceding and current row), 0) as nth
-     from ranked where least is not null),
-   chosen as (
-     select *, nth % 2 = 1 as here, coalesce(lag(nth) over (partition by word order by pos), 0) % 2 = 1 as gone from places)
-   select word, pos, case when here then merged else token end, round + 1 from chosen where not gone))
+     select *, min(case when rank = least then pos end) over (partition by word) as place from ranked where least is not null)
+   select word, pos, case when pos = place then merged else token end, round + 1 from places where before is distinct from place))
 select word, list(token order by pos) as ids from step
 where (word, round) in (select (word, max(round)) from step group by word)
 group by word
