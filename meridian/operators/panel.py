@@ -65,13 +65,17 @@ def chance_hits(n_up: Column, n_down: Column, share_up: Column) -> Column:
     return n_up * share_up + n_down * (1 - share_up)
 
 
-def entity_table(calls: DataFrame, entity: str, hit: Column, least: int, order: Column, label: Column) -> DataFrame:
-    """``(entity, n_calls, n_hits, hit_rate, calls)``: the rate is withheld under ``least`` calls; ``calls`` are the labels in order.
+def entity_table(calls: DataFrame, entity: str, period: str, hit: Column, least: int) -> DataFrame:
+    """``(entity, n_calls, n_hits, hit_rate, calls)``: the rate is withheld under ``least`` calls; ``calls`` are hits and calls of each period in order.
 
-    An entity's calls are gathered in one row: meant for a call per period.
+    Calls are counted per entity and period first, so an entity has no more
+    rows than the calendar has periods, however many calls it has.
     """
-    g = calls.groupBy(entity).agg(F.count("*").alias("n_calls"), F.count_if(hit).alias("n_hits"), F.array_sort(F.collect_list(F.struct(order.alias("o"), label.alias("l")))).alias("_c"))
-    return g.select(entity, "n_calls", "n_hits", F.when(F.col("n_calls") >= least, F.round(F.col("n_hits") / F.col("n_calls"), 6)).alias("hit_rate"), F.array_join(F.transform("_c", lambda c: c["l"]), " ").alias("calls"))
+    per = calls.groupBy(entity, period).agg(F.count("*").alias("n"), F.count_if(hit).alias("k"))
+    label = F.concat(F.col(period).cast("string"), F.lit(":"), F.col("k").cast("string"), F.lit("/"), F.col("n").cast("string"))
+    g = per.groupBy(entity).agg(F.sum("n").alias("n_calls"), F.sum("k").alias("n_hits"), F.array_sort(F.collect_list(F.struct(F.col(period).alias("p"), label.alias("l")))).alias("_c"))
+    rate = F.when(F.col("n_calls") >= least, F.round(F.col("n_hits") / F.col("n_calls"), 6))
+    return g.select(entity, "n_calls", "n_hits", rate.alias("hit_rate"), F.array_join(F.transform("_c", lambda c: c["l"]), " ").alias("calls"))
 
 
 def contained(paragraph: Column, text: Column) -> Column:

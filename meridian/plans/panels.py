@@ -184,10 +184,10 @@ with o as (select distinct t.paragraph_id, u.o.accession_number as a, u.o.cik as
 select paragraph_id, count(distinct a) as n_filings, string_agg(distinct cik::varchar, ',' order by cik::varchar) as ciks from o group by paragraph_id""")
 def paragraph_sources(spark, d):
     """Distinct filings and entities of each paragraph; an entity is listed once, however often it repeats a paragraph."""
-    o = _occurrences(spark, d)
-    filings_ = o.select("paragraph_id", "accession_number").distinct().groupBy("paragraph_id").agg(F.count("*").alias("n_filings"))
-    ciks = o.select("paragraph_id", F.col("cik").cast("string").alias("c")).distinct().groupBy("paragraph_id").agg(F.array_join(F.array_sort(F.collect_list("c")), ",").alias("ciks"))
-    return filings_.join(ciks, "paragraph_id")
+    of = lambda f: F.array_compact(F.array_distinct(F.transform("occurrences", f)))
+    ciks = F.array_sort(of(lambda o: o["cik"].cast("string")))
+    # the list of a paragraph's occurrences is at hand in its row: nothing is gathered
+    return table(spark, d, "canonical_paragraphs").select("paragraph_id", F.size(of(lambda o: o["accession_number"])).alias("n_filings"), F.array_join(ciks, ",").alias("ciks")).distinct()
 
 
 @query("""
@@ -301,13 +301,11 @@ def _calls(spark, d):
 
 
 @query(f"""
-{_CALLS} select entity, count(*) as n_calls, count(case when called_up = was_up then 1 end) as n_hits, case when count(*) >= 6 then round(count(case when called_up = was_up then 1 end) / count(*), 6) end as hit_rate,
- string_agg(fold || case when called_up = was_up then '+' else '-' end, ' ' order by fold, id) as calls from calls group by entity""")
+{_CALLS}, p as (select entity, fold, count(*) as n, count(case when called_up = was_up then 1 end) as k from calls group by 1, 2)
+select entity, sum(n)::bigint as n_calls, sum(k)::bigint as n_hits, case when sum(n) >= 6 then round(sum(k) / sum(n), 6) end as hit_rate, string_agg(fold || ':' || k || '/' || n, ' ' order by fold) as calls from p group by entity""")
 def entity_calls(spark, d):
-    """Calls and hits of each entity in the order of the folds; the rate is withheld under six calls."""
-    c = _calls(spark, d)
-    hit = F.col("called_up") == F.col("was_up")
-    return panel.entity_table(c, "entity", hit, 6, F.struct("fold", "id"), F.concat(F.col("fold").cast("string"), F.when(hit, "+").otherwise("-")))
+    """Hits and calls of each entity, fold by fold; the rate is withheld under six calls."""
+    return panel.entity_table(_calls(spark, d), "entity", "fold", F.col("called_up") == F.col("was_up"), 6)
 
 
 @query(f"""

@@ -40,9 +40,10 @@ def test_family_states_and_newer_facts(spark):
 
 
 def test_calls_and_chance(spark):
-    calls = spark.createDataFrame([(1, 2, "b", True), (1, 1, "a", False), (2, 1, "c", True)], "e int, o int, l string, hit boolean")
-    got = {r.e: (r.n_calls, r.n_hits, r.hit_rate, r.calls) for r in panel.entity_table(calls, "e", F.col("hit"), 2, F.col("o"), F.col("l")).collect()}
-    assert got == {1: (2, 1, 0.5, "a b"), 2: (1, 1, None, "c")}
+    calls = spark.createDataFrame([(1, 2, True), (1, 2, False), (1, 1, False), (2, 1, True)], "e int, o int, hit boolean")
+    got = {r.e: (r.n_calls, r.n_hits, r.hit_rate, r.calls) for r in panel.entity_table(calls, "e", "o", F.col("hit"), 2).collect()}
+    assert got == {1: (3, 1, round(1 / 3, 6), "1:0/1 2:1/2"), 2: (1, 1, None, "1:1/1")}
+    assert panel.entity_table(calls.where("false"), "e", "o", F.col("hit"), 2).count() == 0
     assert spark.range(1).select(panel.chance_hits(F.lit(3), F.lit(1), F.lit(0.6))).first()[0] == pytest.approx(3 * 0.6 + 0.4)
     r = calls.where("false").agg(*panel.precision_recall(F.col("hit"), F.col("hit"))).first()
     assert (r.n_true, r.precision, r.recall, r.f1) == (0, None, None, None)
