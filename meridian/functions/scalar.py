@@ -132,3 +132,9 @@ def event_kind(form: Column, items: Column, by_form: dict[str, str], by_item: di
     """Kind of event of a filing: that of its form first, else that of the first listed item that it has; null for none."""
     kinds = [F.when(base_form(form) == f, k) for f, k in by_form.items()] + [F.when(has_item(items, i), k) for i, k in by_item.items()]
     return F.coalesce(*kinds)
+
+
+def imputed(value: Column, applicable: Column, default: str) -> Column:
+    """Struct of ``value``, with the default where it is missing though it applies, and ``is_imputed``; where it does not apply it is null."""
+    missing = value.isNull() & F.coalesce(applicable, F.lit(False))
+    return F.struct(F.when(F.coalesce(applicable, F.lit(False)), F.coalesce(value, F.lit(default))).alias("value"), missing.alias("is_imputed"))

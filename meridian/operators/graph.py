@@ -101,3 +101,15 @@ def stratified_components(members: DataFrame, node: str, component: str, label:
             taken = checkpointed(taken.join(back, "_c", "left_anti"))
     chosen = taken.withColumn("_t", F.lit("eval"))
     return size.join(chosen, "_c", "left").select(F.col("_c").alias(component), F.coalesce("_t", F.lit("train")).alias("split"))
+
+
+def segment_plan(components: DataFrame, component: str, size: str, segments: int) -> DataFrame:
+    """``(component, size, segment)``: whole components in their order laid end to end and cut into segments of about the same size.
+
+    A component belongs to the segment in which it starts; a null or negative size is 0.
+    """
+    rows = components.select(component, F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias(size)).distinct()
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    placed = _with_running(rows, [F.col(component), F.col(size)], F.col(size), "_before")
+    at = F.floor(F.col("_before") * segments / F.lit(max(total, 1)))
+    return placed.select(component, size, F.least(at, F.lit(segments - 1)).cast("int").alias("segment"))

@@ -398,3 +398,39 @@ def prose_measures(text: Column) -> list[Column]:
     words = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + count(x))
     prose = F.filter(lines, lambda x: count(x) >= 10)
     return [F.size(lines).alias("n_lines"), F.size(prose).alias("n_prose_lines"), words(prose).alias("n_prose_words"), F.round(F.try_divide(words(prose), words(lines)), 6).alias("prose_share")]
+
+
+def sliced_from(text: Column, pattern: str) -> Column:
+    """The text from the first match of a pattern to its end; null without a match."""
+    at = F.regexp_instr(text, F.lit(pattern))
+    return F.when(at > 0, F.substring(text, at, F.length(text)))
+
+
+def recovered_section(page: str, item: str, keywords: list[str], least_words: int = 5) -> tuple[str, str]:
+    """``(text, outcome)`` of a section that neither anchors nor headings of its own line give.
+
+    Outcome ``found`` as ``extract_section`` finds it without fault. Else the
+    last place in the running text where the item is named is tried, up to the
+    next name of another item: ``recovered`` if that has ``least_words`` words and
+    every keyword, ``keyword_missing``, ``short`` or ``not_named`` if not; the
+    text is given only where it can be trusted.
+    """
+    text, _, problem = extract_section(page, item, least_words)
+    if problem is None:
+        return text, "found"
+    parser = _Anchors()
+    parser.feed(page)
+    parser.close()
+    flat = " ".join("".join(parser.parts).split())
+    names = [(m.start(), m.group(1).upper()) for m in re.finditer(r"\bitem\s+(\d+[a-z]?)\b", flat, re.I)]
+    mine = [k for k, (_, n) in enumerate(names) if n == item.upper()]
+    if not mine:
+        return "", "not_named"
+    start = names[mine[-1]][0]
+    end = next((at for at, n in names[mine[-1] + 1 :] if n != item.upper()), len(flat))
+    piece = flat[start:end].strip()
+    if len(piece.split()) < least_words:
+        return "", "short"
+    if any(k.lower() not in piece.lower() for k in keywords):
+        return "", "keyword_missing"
+    return piece, "recovered"

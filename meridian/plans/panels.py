@@ -976,3 +976,104 @@ def ic_difference(spark, d):
         ranked = ranked.join(r, F.col(c) == F.col(f"_{c}")).drop(f"_{c}")
     got = inference.correlation_difference(checkpointed(ranked), "id", "r_x1", "r_x2", "r_y", draws=200)
     return spark.createDataFrame([(got["difference"], got["sd"], got["n"])], "difference double, sd double, n long")
+
+
+# --- labels in full, plans and screens ----------------------------------------------------------------
+
+
+@query(f"""
+with {_ANSWER}, k as (select prediction_id, reason is null as ok, j->>'$.guidance_direction' as g, contains(t, 'guidance_direction') as asked from answers)
+select case when ok and asked then coalesce(g, 'NONE') end as guidance, ok and asked and g is null as is_imputed, count(distinct prediction_id) as n from k where ok group by 1, 2""")
+def normalised_guidance(spark, d):
+    """Guidance of the answers to which it applies, with NONE for a missing one, which is marked."""
+    p = table(spark, d, "predictions").select("prediction_id", "raw_output").distinct()
+    fence = F.regexp_replace(F.btrim(F.regexp_replace("raw_output", r"^\s+|\s+$", ""), F.lit("`")), "^json", "")
+    plain = F.when(F.startswith(F.regexp_replace("raw_output", r"^\s+", ""), F.lit("```")), fence).otherwise(F.col("raw_output"))
+    p = p.where(read_answer(F.col("raw_output"))["reason"].isNull())
+    g = sc.imputed(F.try_variant_get(F.try_parse_json(plain), "$.guidance_direction", "string"), F.contains(plain, F.lit("guidance_direction")), "NONE")
+    return p.select("prediction_id", g.alias("g")).groupBy(F.col("g.value").alias("guidance"), F.col("g.is_imputed").alias("is_imputed")).agg(F.count_distinct("prediction_id").alias("n"))
+
+
+@query("""
+with s as (select distinct section_type from paragraph_occurrences where section_type is not null)
+select section_type, to_json({'section': section_type, 'fields': case when section_type in ('MDA', 'EX99_PRESS_RELEASE') then ['sentiment', 'guidance_direction', 'red_flags'] else ['sentiment', 'red_flags'] end})::varchar as schema from s""")
+def section_schemas(spark, d):
+    """The fields that are asked of a section: guidance only where it applies."""
+    s = table(spark, d, "paragraph_occurrences").where("section_type is not null").select("section_type").distinct()
+    fields = F.when(F.col("section_type").isin("MDA", "EX99_PRESS_RELEASE"), F.array(*map(F.lit, ("sentiment", "guidance_direction", "red_flags")))).otherwise(F.array(F.lit("sentiment"), F.lit("red_flags")))
+    return s.select("section_type", F.to_json(F.struct(F.col("section_type").alias("section"), fields.alias("fields"))).alias("schema"))
+
+
+@query("""
+with l as (select distinct doc_id, abusive, reviewer, labelled_at from review_labels), d as (select doc_id, min(section_type) as section_type, min(filing_date) as filing_date from documents group by doc_id)
+select coalesce(d.section_type, 'unknown') as section_type, count(*) as n_labels, count(case when d.doc_id is null then 1 end) as n_without_document, min(d.filing_date) as first_day from l left join d using (doc_id) group by 1""")
+def labels_with_metadata(spark, d):
+    """Labels with what is known of their documents; a label without one is kept and counted."""
+    l = table(spark, d, "review_labels").select("doc_id", "abusive", "reviewer", "labelled_at").distinct()  # noqa: E741
+    m = table(spark, d, "documents").groupBy("doc_id").agg(F.min("section_type").alias("section_type"), F.min("filing_date").alias("filing_date"))
+    j = panel.assembled(l, {"document": m}, ["doc_id"])
+    return j.groupBy(F.coalesce("section_type", F.lit("unknown")).alias("section_type")).agg(F.count("*").alias("n_labels"), F.count_if(~F.col("has_document")).alias("n_without_document"), F.min("filing_date").alias("first_day"))
+
+
+@query("""
+with f as (select distinct accession_number, cik, earnings_doc_filename n, has_earnings_item h from filings)
+select cik, count(case when h then 1 end) as n_asked, count(n) as n_selected, count(case when h and n is null then 1 end) as n_open from f group by cik having count(case when h then 1 end) > 0""")
+def selection_counts(spark, d):
+    """Documents that each entity's earnings filings should have, and those that were selected."""
+    f = table(spark, d, "filings").select("accession_number", "cik", "earnings_doc_filename", "has_earnings_item").distinct()
+    g = f.groupBy("cik").agg(F.count_if("has_earnings_item").alias("n_asked"), F.count("earnings_doc_filename").alias("n_selected"), F.count_if(F.col("has_earnings_item") & F.col("earnings_doc_filename").isNull()).alias("n_open"))
+    return g.where("n_asked > 0")
+
+
+@query("""
+with e as (select distinct vec_id, embedding, label from embeddings)
+select 'width' as "check", 'FATAL' as severity, count(case when len(embedding) <> 64 then 1 end) as n_bad from e
+union all select 'no_vector', 'WARN', count(case when embedding is null then 1 end) from e
+union all select 'not_finite', 'FATAL', count(case when len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) > 0 then 1 end) from e
+union all select 'key', 'FATAL', count(*) from (select vec_id from e group by vec_id having count(*) > 1)""")
+def vector_checks(spark, d):
+    """Widths, nulls and numbers of the vectors."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", "label").distinct()
+    odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return quality.report([
+        quality.no_rows("width", e, F.size("embedding") != 64), quality.no_rows("no_vector", e, F.col("embedding").isNull(), "WARN"),
+        quality.no_rows("not_finite", e, odd), quality.unique_key("key", e, ["vec_id"]),
+    ])
+
+
+@query("""
+with c as (select o_custkey as component, count(*) as size from orders group by 1), t as (select *, sum(size) over (order by component rows between unbounded preceding and 1 preceding) as before, sum(size) over () as total from c)
+select component, size, least(floor(coalesce(before, 0) * 8 / total), 7)::int as segment from t""")
+def segments_of_customers(spark, d):
+    """Customers laid end to end and cut into eight segments of about as many orders."""
+    c = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("component")).agg(F.count("*").alias("size"))
+    return graph.segment_plan(c, "component", "size", 8)
+
+
+@query(f"""
+{_FOLDS} select r.q as fold, r.g as stratum, count(*) as n_rows, count(case when r.y > 0 then 1 end) as n_usable, count(distinct r.c) as n_entities from r join u on u.fold = r.q group by 1, 2""")
+def fold_populations(spark, d):
+    """Test rows of each fold by stratum: all, those with an outcome, and their entities."""
+    t = _fold_rows(spark, d).where("role = 'test'")
+    return t.groupBy("fold", F.col("g").alias("stratum")).agg(F.count("*").alias("n_rows"), F.count_if(F.col("y") > 0).alias("n_usable"), F.count_distinct("c").alias("n_entities"))
+
+
+@query("""
+with c as (select distinct doc_id, accession_number, section_type from documents where accession_number is not null), g as (select accession_number, section_type, count(*) as n, min(doc_id) as doc_id from c group by 1, 2)
+select accession_number, section_type, case when n = 1 then doc_id end as doc_id, n from g""")
+def single_candidates(spark, d):
+    """The document of a filing's section if there is just one; of several none is chosen."""
+    c = table(spark, d, "documents").where("accession_number is not null").select("doc_id", "accession_number", "section_type").distinct()
+    g = c.groupBy("accession_number", "section_type").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    return g.select("accession_number", "section_type", F.when(F.col("n") == 1, F.col("doc_id")).alias("doc_id"), "n")
+
+
+@query("""
+with c as (select distinct doc_id, coalesce(source, '?') as source, text from documents where text is not null)
+select source, count(*) as n, count(case when regexp_matches(text, '(?i)\b(slide|presentation|safe harbor)\b') then 1 end) as n_decks, count(case when regexp_matches(text, '(?i)\bfor immediate release\b') then 1 end) as n_releases,
+ count(case when regexp_matches(text, '<[a-zA-Z/][^>]*>') then 1 end) as n_markup from c group by source""")
+def document_flags(spark, d):
+    """Documents of each source that look like decks, releases or markup."""
+    c = table(spark, d, "documents").where("text is not null").select("doc_id", F.coalesce("source", F.lit("?")).alias("source"), "text").distinct()
+    has = lambda p: F.count_if(F.rlike("text", F.lit(p)))
+    return c.groupBy("source").agg(F.count("*").alias("n"), has(r"(?i)\b(slide|presentation|safe harbor)\b").alias("n_decks"), has(r"(?i)\bfor immediate release\b").alias("n_releases"), has("<[a-zA-Z/][^>]*>").alias("n_markup"))

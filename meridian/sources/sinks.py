@@ -108,19 +108,58 @@ def write_report(rows: DataFrame, path: str, order: list[str], form: str = "csv"
     out.option("header", True).csv(path) if form == "csv" else out.json(path)
 
 
+def _stamp(version: str, inputs: dict[str, DataFrame]) -> str:
+    return json.dumps({"version": version, "inputs": {k: list(digest(v)) for k, v in sorted(inputs.items())}}, sort_keys=True)
+
+
+def is_fresh(spark, path: str, version: str, inputs: dict[str, DataFrame]) -> bool:
+    """Whether the table at ``path`` was built by this version from inputs with the same content."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.stamp")
+    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return there.exists(hadoop) and [r["value"] for r in spark.read.text(f"{path}.stamp").collect()] == [_stamp(version, inputs)]
+
+
 def cached_table(spark, path: str, version: str, inputs: dict[str, DataFrame], build) -> DataFrame:
     """The table at ``path`` if it was built by this version from inputs with the same content; else it is built and written anew.
 
     ``build`` takes nothing and gives the rows. The stamp is written after the
     rows, so a table whose writing was interrupted is built again.
     """
-    stamp = json.dumps({"version": version, "inputs": {k: list(digest(v)) for k, v in sorted(inputs.items())}}, sort_keys=True)
-    mark = f"{path}.stamp"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(mark)
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if there.exists(hadoop) and [r["value"] for r in spark.read.text(mark).collect()] == [stamp]:
+    stamp, mark = _stamp(version, inputs), f"{path}.stamp"
+    if is_fresh(spark, path, version, inputs):
         return spark.read.parquet(path)
-    there.delete(hadoop, True)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(mark)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
     build().write.mode("overwrite").parquet(path)
     spark.createDataFrame([(stamp,)], "value string").coalesce(1).write.mode("overwrite").text(mark)
     return spark.read.parquet(path)
+
+
+def write_shards(rows: DataFrame, path: str, key: str, shards: int, run: str) -> DataFrame:
+    """Write ``rows`` in shards by a hash of the key, those that this run has finished left alone, and give the merged table.
+
+    A run that was interrupted goes on where it stopped if it is called again.
+    """
+    shard = F.pmod(F.xxhash64(key), F.lit(shards))
+    for i in range(shards):
+        write_shard(rows.where(shard == i), path, i, run)
+    return merged_shards(rows.sparkSession, path, shards, run)
+
+
+def write_markdown(rows: DataFrame, path: str, order: list[str], title: str, most: int = 1000) -> None:
+    """Write a small sorted table as one Markdown file; a table of more than ``most`` rows is no report and is refused."""
+    found = rows.orderBy(*order).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows")
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    line = lambda cells: "| " + " | ".join(cells) + " |"
+    text = "\n".join([f"# {title}", "", line(rows.columns), line(["-"] * len(rows.columns)), *(line(map(cell, r)) for r in found)])
+    rows.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def ordered_json(blocks: list[tuple[str, object]], order: list[str]) -> str:
+    """A JSON object of blocks that must come in the given order, each once; anything else is refused."""
+    names = [n for n, _ in blocks]
+    if names != [n for n in order if n in names] or len(set(names)) != len(names):
+        raise ValueError(f"blocks {names} are not in the order {order}")
+    return json.dumps(dict(blocks))

@@ -274,3 +274,32 @@ def test_ladders_paths_and_counts(spark):
     assert quality.assert_count("rows", rows, 8) is rows
     with pytest.raises(AssertionError):
         quality.assert_count("rows", rows, 7)
+
+
+def test_slices_and_recovered_sections(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(tx.sliced_from(F.lit(t), "(?i)results for")) for t in ("Intro. Results for the year are up", "none", None)] == ["Results for the year are up", None, None]
+    page = "<p>see Item 7 below</p><p>text and then Item 7. our discussion of liquidity and results runs on Item 8. statements</p>"
+    assert tx.recovered_section(page, "7", ["liquidity"]) == ("Item 7. our discussion of liquidity and results runs on", "recovered")
+    assert [tx.recovered_section(page, i, k)[1] for i, k in (("7", ["inventory"]), ("8", []), ("9", []))] == ["keyword_missing", "short", "not_named"]
+    assert tx.recovered_section("<p>Item 7. Discussion</p><p>we talk of many things here</p>", "7", ["x"])[1] == "found"
+
+
+def test_imputed_segments_and_reports(spark, tmp_path):
+    rows = spark.createDataFrame([("UP", True), (None, True), (None, False), ("UP", None)], "v string, a boolean").select(sc.imputed(F.col("v"), F.col("a"), "NONE").alias("s")).collect()
+    assert [tuple(r.s) for r in rows] == [("UP", False), ("NONE", True), (None, False), (None, False)]
+    c = spark.createDataFrame([(i, s) for i, s in enumerate([5, 5, None, 50, 5, 5, -1])], "c long, s long")
+    got = {r.c: r.segment for r in graph.segment_plan(c, "c", "s", 4).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 3, 5: 3, 6: 3} and graph.segment_plan(c.where("false"), "c", "s", 4).count() == 0
+    t = spark.createDataFrame([(2, "b|c"), (1, None)], "k int, s string")
+    sinks.write_markdown(t, str(tmp_path / "m"), ["k"], "Title")
+    (part,) = (tmp_path / "m").glob("*.txt")
+    assert part.read_text() == "# Title\n\n| k | s |\n| - | - |\n| 1 |  |\n| 2 | b\\|c |\n"
+    with pytest.raises(ValueError):
+        sinks.write_markdown(t, str(tmp_path / "m"), ["k"], "Title", most=1)
+    assert sinks.ordered_json([("a", 1), ("c", 2)], ["a", "b", "c"]) == '{"a": 1, "c": 2}'
+    for bad in ([("c", 1), ("a", 2)], [("a", 1), ("a", 1)], [("x", 1)]):
+        with pytest.raises(ValueError):
+            sinks.ordered_json(bad, ["a", "b", "c"])
+    many = spark.range(50).withColumnRenamed("id", "k")
+    assert sinks.write_shards(many, str(tmp_path / "sh"), "k", 3, "r1").count() == 50 == sinks.write_shards(many.where("false"), str(tmp_path / "sh"), "k", 3, "r1").count()
