@@ -350,11 +350,15 @@ def _text_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for at, texts in _chunks(batch.column(1)):
             value, owner, _ = _distinct_shingles(Suffixes(texts))
             n = np.bincount(owner, minlength=len(texts))
-            start = np.cumsum(n) - n
-            raw = []
-            for k, size in enumerate(n.tolist()):
-                words = max(4, 1 << max(2 * size - 1, 1).bit_length() >> 6)
-                raw.append(_parities(value[start[k] : start[k] + size], np.zeros(size, np.int64), 1, words).tobytes())
+            words = np.maximum(4, 1 << np.maximum(np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64) - 6, 0))
+            raw: list[bytes] = [b""] * len(texts)
+            for w in np.unique(words).tolist():  # texts of like length together
+                mine = np.flatnonzero(words == w)
+                place = np.full(len(texts), -1)
+                place[mine] = np.arange(len(mine))
+                inside = place[owner] >= 0
+                for i, row in zip(mine.tolist(), _parities(value[inside], place[owner[inside]], len(mine), w)):
+                    raw[i] = row.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(n.astype(np.int32)), pa.array(raw, pa.binary())], names=["record", "n", "sketch"])
 
 
@@ -366,11 +370,16 @@ def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
 def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose numbers of shingles and sketches allow the similarity; none that has it is dropped."""
     for batch in batches:
-        keep = []
-        for na, nb, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
-            words = min(len(x), len(y)) >> 3
-            differ = int(np.bitwise_count(_folded(np.frombuffer(x, np.uint64), words) ^ _folded(np.frombuffer(y, np.uint64), words)).sum())
-            keep.append(min(na, nb) + 1 >= max(na, nb) * LEAST - 1e-9 and differ <= (na + nb + 1) * (1 - 2 * _NEED) + 1e-9)
+        na, nb = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
+        x, y = (batch.column(k).to_pylist() for k in (4, 5))
+        words = np.minimum(*(pc.binary_length(batch.column(k)).to_numpy(zero_copy_only=False) for k in (4, 5))) >> 3
+        differ = np.zeros(len(words), dtype=np.int64)
+        for w in np.unique(words).tolist():  # pairs whose shorter sketch is of like length together
+            at = np.flatnonzero(words == w).tolist()
+            sides = [np.stack([_folded(np.frombuffer(z[i], np.uint64), w) if len(z[i]) > 8 * w else np.frombuffer(z[i], np.uint64) for i in at]) for z in (x, y)]
+            differ[at] = _differ(*sides)
+        sized = np.minimum(na, nb) + 1 >= np.maximum(na, nb) * LEAST - 1e-9
+        keep = sized & (differ <= (na + nb + 1) * (1 - 2 * _NEED) + 1e-9)
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
