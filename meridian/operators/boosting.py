@@ -126,7 +126,8 @@ def _fitted(binned: DataFrame, target: str, names: list[str], parameters: dict)
                 at = rows + i * len(mm)
                 loss[f] += weight * (error(value[at : at + len(mm)]) - own)
         out = pd.DataFrame({"fold": pdf["fold"], "_b": pdf["_b"], "prediction": value[:rows]})[asked]
-        return out.assign(gain=[gains.tolist()] * len(out), loss=[loss.tolist()] * len(out))
+        every = lambda x: pd.Series([x.tolist()] * len(out), index=out.index, dtype=object)  # noqa: E731  # lists even where no row is asked for
+        return out.assign(gain=every(gains), loss=every(loss))
 
     return cells.groupBy("fold").applyInPandas(fit, schema)
 

@@ -122,7 +122,8 @@ def _moments(vectors: DataFrame, width: int) -> DataFrame:
                 if x:
                     m = np.asarray(x, dtype=float)
                     of[fold] = of.get(fold, 0) + np.concatenate([[len(m)], m.sum(axis=0), (m.T @ m).ravel()])
-        yield pd.DataFrame({"fold": list(of), "s": [s.tolist() for s in of.values()]})
+        if of:
+            yield pd.DataFrame({"fold": list(of), "s": [s.tolist() for s in of.values()]})
 
     parts = vectors.select("fold", "v").mapInPandas(sums, T.StructType([vectors.schema["fold"], T.StructField("s", T.ArrayType(T.DoubleType()))]))
     return parts.select("fold", F.posexplode("s").alias("i", "s")).groupBy("fold", "i").agg(F.sum("s").alias("s"))

@@ -664,7 +664,7 @@ def fold_embedding_axes(spark, d):
     """Coordinates of each block of vectors along the axes fitted on the blocks before it."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding", F.floor(F.col("vec_id") / 100).cast("int").alias("block"))
     blocks = [r["block"] for r in e.select("block").distinct().orderBy("block").limit(64).collect()]
-    train = e.select(F.explode(F.filter(F.array(*map(F.lit, blocks)), lambda b: b > F.col("block"))).alias("fold"), F.lit("train").alias("role"), "vec_id", "embedding")
+    train = e.select(F.explode(F.filter(F.array(*map(F.lit, blocks)).cast("array<int>"), lambda b: b > F.col("block"))).alias("fold"), F.lit("train").alias("role"), "vec_id", "embedding")
     test = e.select(F.col("block").alias("fold"), F.lit("test").alias("role"), "vec_id", "embedding")
     return fo.fold_axes(train.unionByName(test), "vec_id", "embedding", 64, 3)
 

@@ -84,6 +84,7 @@ def test_order_seeds_and_odd_input(spark):
     assert [p for *_, p in one] == pytest.approx([p for *_, p in two])
     assert bo.boosted_predictions(df.where("false"), ["a"], "y", "id").count() == 0
     assert bo.boosted_predictions(df.where("role = 'test'"), ["a"], "y", "id").count() == 0
+    assert bo.boosted_predictions(df.where("role = 'train'"), ["a"], "y", "id").count() == 0 and bo.feature_importance(df.where("role = 'train'"), ["a"], "y").count() == 0
     same = bo.boosted_predictions(df.withColumn("a", F.lit(1.0)).withColumn("y", F.lit(2.0)), ["a"], "y", "id").collect()
     assert {round(r.prediction, 9) for r in same} == {2.0}
     with pytest.raises(ValueError):

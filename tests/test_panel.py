@@ -262,6 +262,8 @@ def test_axes_of_each_fold_know_its_training_rows_alone(spark):
         _, _, axes = np.linalg.svd(v[:n] - m)
         want = np.abs((v[50] - m) @ axes[:2].T)
         assert np.abs(got[fold, 50]) == pytest.approx(want)
+    no_vectors = spark.createDataFrame([(1, "train", 1, None), (1, "test", 2, [1.0])], "fold int, role string, i long, v array<double>").repartition(3)
+    assert fo.fold_axes(no_vectors, "i", "v", 4, 2).count() == 0
     mean, axes = fo.principal_axes(spark.createDataFrame([(x.tolist(),) for x in v], "v array<double>"), "v", 4, 2)
     assert mean == pytest.approx(v.mean(axis=0)) and np.abs(axes) == pytest.approx(np.abs(np.linalg.svd(v - v.mean(axis=0))[2][:2]))
 
