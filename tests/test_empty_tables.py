@@ -1,4 +1,4 @@
-"""The panel queries over empty tables: no crash, and the columns that they always have."""
+"""The queries of the core over empty tables: no crash, and the columns that they always have."""
 
 import glob
 import os
@@ -6,7 +6,9 @@ import os
 import pyarrow.parquet as pq
 import pytest
 
-from meridian.plans import panels
+from meridian.plans import measures, panels, problems, reference
+
+QUERIES = problems.QUERIES | reference.QUERIES | measures.QUERIES | panels.QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
@@ -21,7 +23,7 @@ def empty(tmp_path_factory):
     return str(out)
 
 
-@pytest.mark.parametrize("name", sorted(panels.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty(spark, empty, name):
-    df = panels.QUERIES[name](spark, empty)
+    df = QUERIES[name](spark, empty)
     assert len(df.collect()) <= 25 and df.columns
